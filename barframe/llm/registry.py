@@ -7,6 +7,8 @@ from importlib import import_module
 _WHERE = {
     "op3_quality_rules": "quality",
     "op4_sharding": "sharding",
+    "op5_sentencepiece": "pieces",
+    "op8_packing": "packing",
     "op10_chat_formatting": "chat",
 }
 
