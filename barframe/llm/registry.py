@@ -8,6 +8,7 @@ _WHERE = {
     "op3_quality_rules": "quality",
     "op4_sharding": "sharding",
     "op5_sentencepiece": "pieces",
+    "op7_media_columns": "gif",
     "op8_packing": "packing",
     "op10_chat_formatting": "chat",
 }
