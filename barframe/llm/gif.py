@@ -134,7 +134,7 @@ def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
         to = to[to]
     lengths = lengths[:n] + 1
     starts = np.cumsum(lengths) - lengths
-    shift = np.where(repeats, starts[back] - starts, 0)
+    shift = np.where(repeats, starts[np.maximum(back, 0)] - starts, 0)
     source = np.arange(int(lengths.sum())) + np.repeat(shift, lengths)
     while True:
         further = source[source]
