@@ -10,6 +10,7 @@ _WHERE = {
     "op5_sentencepiece": "pieces",
     "op7_media_columns": "gif",
     "op8_packing": "packing",
+    "op9_language_id": "langid",
     "op10_chat_formatting": "chat",
 }
 
