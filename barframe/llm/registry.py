@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _WHERE = {
+    "op1_html_extraction": "html",
     "op3_quality_rules": "quality",
     "op4_sharding": "sharding",
     "op5_sentencepiece": "pieces",
