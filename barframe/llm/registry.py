@@ -9,6 +9,7 @@ _WHERE = {
     "op3_quality_rules": "quality",
     "op4_sharding": "sharding",
     "op5_sentencepiece": "pieces",
+    "op6_ngram_jaccard": "jaccard",
     "op7_media_columns": "gif",
     "op8_packing": "packing",
     "op9_language_id": "langid",
