@@ -17,7 +17,7 @@ def noise(n=300):
 
 def test_tokenizer_equals_library():
     t = Tokenizer(public_path("byte_bpe_50k.json"))
-    for x in TEXTS + noise():
+    for x in [*TEXTS, *noise(), " " * 3000 + "x", "a" + "\n \t" * 1000, "日本" * 2000]:
         assert np.frombuffer(t.ids(x), "<u4").tolist() == t.library.encode(x, add_special_tokens=False).ids, repr(x)
 
 
