@@ -6,6 +6,7 @@ from importlib import import_module
 
 _WHERE = {
     "op1_html_extraction": "html",
+    "op2_lm_scoring": "ppm",
     "op3_quality_rules": "quality",
     "op4_sharding": "sharding",
     "op5_sentencepiece": "pieces",
