@@ -35,7 +35,9 @@ from .shared import arrow_map, documents, pick, strings
 MARK = "▁"
 #: Kinds of pieces in a model file (fixed by the model format).
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+NEVER = float("inf")
+_MARKS = ".,;:!?"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -110,6 +112,8 @@ class Model:
             raise ValueError("only byte-pair models with byte fallback and escaped spaces, without user symbols")
         self.map = CharacterMap(blob) if blob else None
         self.rank = {p: (-score, k) for k, (p, score, t) in enumerate(self.pieces) if t == NORMAL}
+        self.cost = {p: c for p, (c, _) in self.rank.items()}.get
+        self.adjacent = {a + b for p in self.rank for a, b in zip(p, p[1:], strict=False)}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.rank):
             raise ValueError("a piece joins a word with the space after it")
         self.byte = {int(p[3:5], 16): k for k, (p, _, t) in enumerate(self.pieces) if t == BYTE}
@@ -165,7 +169,26 @@ class Model:
         return b"".join(out).decode(), np.array([*align, stop], np.int64)
 
     def merged(self, segment: str) -> list[str]:
-        """Byte-pair merging of a segment, by a heap of neighbours."""
+        """Byte-pair merging of a segment: the best pair of neighbours first, the leftmost of equals."""
+        if len(segment) > 100:
+            return self._merged_long(segment)
+        parts, cost = list(segment), self.cost
+        pairs = [cost(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
+                break
+            i = pairs.index(best)
+            parts[i] += parts.pop(i + 1)
+            del pairs[i]
+            if i:
+                pairs[i - 1] = cost(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = cost(parts[i] + parts[i + 1], NEVER)
+        return parts
+
+    def _merged_long(self, segment: str) -> list[str]:
+        """The same by a heap of neighbours."""
         parts = list(segment)
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -195,22 +218,31 @@ class Model:
         """Ids, and the bytes of the normalised text that each takes, as little-endian 32-bit."""
         found = self.known.get(segment)
         if found is None:
-            ids: list[int] = []
-            lens: list[int] = []
-            for p in self.merged(segment):
-                if p in self.rank:
-                    ids.append(self.rank[p][1])
-                    lens.append(len(p.encode()))
-                else:
-                    ids += (self.byte[b] for b in p.encode())
-                    lens += [1] * len(p.encode())
-            found = np.asarray(ids, "<u4").tobytes(), np.asarray(lens, "<u4").tobytes()
+            core = segment.rstrip(_MARKS)
+            if core and core != segment and core[-1] + segment[len(core)] not in self.adjacent:
+                # no piece holds these two characters, so none joins the parts
+                one, two = self.segment(core), self.segment(segment[len(core) :])
+                found = one[0] + two[0], one[1] + two[1]
+            else:
+                found = self._fresh(segment)
             if len(segment) <= 64:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[segment] = found
         return found
 
+    def _fresh(self, segment: str) -> tuple[bytes, bytes]:
+        ids: list[int] = []
+        lens: list[int] = []
+        for p in self.merged(segment):
+            if p in self.rank:
+                ids.append(self.rank[p][1])
+                lens.append(len(p.encode()))
+            else:
+                ids += (self.byte[b] for b in p.encode())
+                lens += [1] * len(p.encode())
+        return np.asarray(ids, "<u4").tobytes(), np.asarray(lens, "<u4").tobytes()
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids without begin and end, and n + 1 bounds: piece k has the source's bytes bounds[k] to bounds[k + 1]."""
         if not text:
