@@ -296,8 +296,8 @@ def fit(docs: DataFrame) -> dict:
     shorter = long.select(F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("k"), "code", "n")
     low = F.expr("shiftleft(1L, CAST(8 * k AS INT)) - 1L")
     every = shorter.select(F.shiftleft("k", 8 * (ORDER + 1)).bitwiseOR(F.col("code").bitwiseAND(low)).alias("code"), "k", "n").groupBy("code", "k").agg(F.sum("n").alias("n"))
-    picked = [*every.where("k <= 3").select("code", "n").collect(), *every.where("k > 3").orderBy(F.desc("n"), "code").limit(MAX_GRAMS).select("code", "n").collect()]
-    model = spark.sparkContext.broadcast((escapes(table), Contexts([r.code for r in picked], [r.n for r in picked]), shared))
+    picked = [x.select("code", "n").toArrow() for x in (every.where("k <= 3"), every.where("k > 3").orderBy(F.desc("n"), "code").limit(MAX_GRAMS))]
+    model = spark.sparkContext.broadcast((escapes(table), Contexts(*([v for x in picked for v in x.column(c).to_pylist()] for c in ("code", "n"))), shared))
 
     def scored(p: int, mine: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         escape, contexts, full = model.value
