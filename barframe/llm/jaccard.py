@@ -10,12 +10,12 @@ While w < P - k, linked sets share a signature. A set for which that fails enume
 further partitioning, with another seed and at last with least = 0, which never fails.
 So the candidates miss no link.
 
-Equal sets are one node. Signatures that two nodes share become buckets. In each bucket
-a few pivots are compared with all nodes of other components, exactly; linked nodes
-merge, pivots leave the bucket, and buckets in one component are done. Rounds go on,
-with more pivots each, until no bucket is left, so every pair of a bucket that could
-join two components is compared, and rows grow with the members of a bucket, not their
-pairs. Components are found by alternating large and small stars.
+Equal sets are one node. Signatures that two nodes share become buckets; of buckets with
+equal members one is kept. In each bucket a few pivots are compared with the nodes of
+other components, exactly; linked nodes merge, pivots leave the bucket, and buckets in one
+component are done. Rounds go on, with more pivots each, until no bucket is left, so every
+pair of a bucket that could join two components is compared or proved too far apart by the
+triangle inequality. A round's rows grow with the members of a bucket, not their pairs. Components are found by alternating large and small stars.
 
 Null or empty text: an empty set, linked with nothing, its own component. Repeated rows
 are linked as equal sets; component_id is the smallest doc_id, nulls apart. An empty
@@ -42,6 +42,8 @@ TRIES = ((0, 2), (1, 2), (2, 1), (3, 1), (4, 0))
 #: Hashes of sets that a task remembers, so that copies send their signatures once.
 REMEMBERED = 200_000
 PIVOTS = (1, 4, 16, 64)
+#: The Jaccard distance of a link, with room for rounding.
+LINKED_WITHIN = 0.2 + 1e-9
 #: Slots of the filter that keeps most documents without a candidate out of the second reading.
 SLOTS = 1 << 20
 
@@ -212,12 +214,13 @@ def sets(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), work, "node long, items array<long>")
 
 
-def linked(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link."""
+def measured(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """(a, b, far, link) of pairs of nodes: their Jaccard distance, and whether their sets link."""
     one, two = (items.select(F.col("node").alias(k), F.col("items").alias(f"{k}_items")) for k in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b")
     inter = F.size(F.array_intersect("a_items", "b_items"))
-    return both.select("a", "b", inter.alias("i"), (F.size("a_items") + F.size("b_items") - inter).alias("u")).where(100 * F.col("i") >= 80 * F.col("u")).select("a", "b")
+    sized = both.select("a", "b", inter.alias("i"), (F.size("a_items") + F.size("b_items") - inter).alias("u"))
+    return sized.select("a", "b", (1 - F.col("i") / F.col("u")).alias("far"), (100 * F.col("i") >= 80 * F.col("u")).alias("link"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,38 +242,67 @@ def components(edges: DataFrame) -> DataFrame:
         mark = found
 
 
+def _distinct(bucket: DataFrame) -> DataFrame:
+    """(sig, node, weight): one of the buckets with equal members; weight counts the others that a node shares all its buckets with."""
+    key = lambda salt: F.sum(F.xxhash64("node", F.lit(salt)).cast("decimal(38,0)"))
+    seen = bucket.groupBy("sig").agg(F.count("*").alias("n"), key(1).alias("k1"), key(2).alias("k2"))
+    weight = bucket.join(seen.select("sig", "n"), "sig").groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
+    kept = seen.groupBy("n", "k1", "k2").agg(F.min("sig").alias("sig")).select("sig")
+    return bucket.join(kept, "sig").join(weight, "node").select("sig", "node", "weight")
+
+
+def _heaviest(here: DataFrame, n: int) -> DataFrame:
+    """(sig, ps): the n nodes of each bucket with the most weight; a large bucket is dealt to 64 parts first."""
+    rank = F.struct("weight", "node")
+    if n == 1:
+        return here.groupBy("sig").agg(F.array(F.max(rank)["node"]).alias("ps"))
+    top = lambda c: F.slice(F.sort_array(c, asc=False), 1, n)
+    parts = here.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(64)).alias("s")).agg(top(F.collect_set(rank)).alias("ps"))
+    return parts.groupBy("sig").agg(F.transform(top(F.flatten(F.collect_list("ps"))), lambda x: x["node"]).alias("ps"))
+
+
 def _merged(bucket: DataFrame, items: DataFrame) -> DataFrame | None:
-    """(node, root): the components of the nodes of the buckets, None if no two link."""
+    """(node, root): the components of the nodes of the buckets, None if no two link.
+
+    The first pivot of a bucket, the node that shares most buckets with others, is
+    compared with all of it. Jaccard distance is a metric, so two members whose distances
+    to that pivot differ by more than a link's distance can't link and aren't compared.
+    """
+    here = written(_distinct(bucket), "bucket")
     edges = roots = done = None
-    here, turn = bucket, 0
+    turn = 0
     while True:
-        label = here.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("label")) if roots is not None else here.select("sig", "node", F.col("node").alias("label"))
+        label = here.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root") if roots is not None else here.withColumn("label", F.col("node"))
         open_ = label.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
         here = written(label.join(open_, "sig"), "bucket")
         if here.isEmpty():
             return roots
-        n = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        pivots = here.groupBy("sig").agg(F.array(F.min("node")).alias("ps")) if n == 1 else _smallest(here, n)
-        marked = here.join(pivots, "sig")
-        pairs = marked.select("label", F.col("node").alias("b"), F.explode("ps").alias("a")).where("a < b").join(here.select(F.col("node").alias("a"), F.col("label").alias("la")).distinct(), "a").where("la <> label").select("a", "b").distinct()
+        pivots = written(_heaviest(here, PIVOTS[min(turn, len(PIVOTS) - 1)]), "pivots")
+        picked = pivots.select("sig", F.explode("ps").alias("p")).join(here.select("sig", F.col("node").alias("p"), F.col("label").alias("p_label"), *([F.col("far").alias("p_far")] if turn else [])), ["sig", "p"])
+        members = here.select("sig", "node", "label", *(["far"] if turn else []))
+        apart = (F.col("label") != F.col("p_label")) & (F.col("node") != F.col("p"))
+        if turn:
+            apart = apart & (F.abs(F.col("far") - F.col("p_far")) <= LINKED_WITHIN)
+        met = picked.join(members, (picked["sig"] == members["sig"]) & apart).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = written(linked(pairs, items), "links")
+            met = met.join(done, ["a", "b"], "left_anti")
+        new = written(measured(met, items), "links")
+        pairs = new.select("a", "b")
         done = pairs if done is None else done.unionByName(pairs)
-        edges = new if edges is None else edges.unionByName(new)
-        if not new.isEmpty():
+        fresh = new.where("link").select("a", "b")
+        edges = fresh if edges is None else edges.unionByName(fresh)
+        if not fresh.isEmpty():
             roots = components(edges)
-        here = marked.where(~F.array_contains("ps", F.col("node"))).select("sig", "node")
+        if not turn:
+            both = new.select("a", "b", "far").unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+            first = pivots.select("sig", F.col("ps")[0].alias("a"))
+            left = here.select("sig", F.col("node").alias("b"), "weight").join(first, "sig").where("a <> b")
+            here = left.join(both, ["a", "b"]).select("sig", F.col("b").alias("node"), "weight", "far")
+        else:
+            here = here.join(pivots, "sig").where(~F.array_contains("ps", F.col("node"))).select("sig", "node", "weight", "far")
         turn += 1
 
 
-def _smallest(here: DataFrame, n: int) -> DataFrame:
-    """(sig, ps): the n smallest nodes of each signature; a large bucket is dealt to 64 parts first."""
-    salted = here.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(64)).alias("s")).agg(F.slice(F.sort_array(F.collect_set("node")), 1, n).alias("ps"))
-    return salted.groupBy("sig").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ps"))), 1, n).alias("ps"))
-
-
 def cluster(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row a document."""
     docs = pick(docs, "doc_id", "text")
