@@ -140,9 +140,6 @@ def _ma20(spark, d) -> DataFrame:
     return views.bars(spark, d).select("symbol", F.lit("indicator").alias("category"), F.lit("1h@@ma20").alias("name"), "ts", fx.rolling_mean("close", 20, ["symbol"]).alias("value"))
 
 
-_MA = "floor(CAST(sum({c}) OVER w AS HUGEINT)::DECIMAL(38,0) / count({c}) OVER w)"
-
-
 def _roll(column: str, n: int) -> str:
     w = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     s, c = f"sum({column}) OVER {w}", f"count({column}) OVER {w}"
