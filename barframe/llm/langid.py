@@ -18,7 +18,6 @@ labelled whole. Columns besides doc_id, text and lang are ignored, by filter_lan
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -31,12 +30,14 @@ from .shared import arrow_map, crc_of, documents, pick, reach, strings
 
 BUCKETS = 1 << 16
 MAX_LANGS = 256
-SWITCH = 12.0
+SWITCH = 20.0
 SMOOTH = 0.1
 #: A language uses a script that has this share of its letters.
 USES = 0.001
 OUTSIDE = -1e4
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Characters of texts whose words are scored together.
+AHEAD_CHARS = 300_000
 MIN_SCORE = 0.5
 #: Ranges of code points of scripts (fixed values, from the Unicode blocks).
 SCRIPTS = (
@@ -57,20 +58,42 @@ OTHER = len(SCRIPTS)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+class _Scripts(dict):
+    """Character -> script, -1 for what isn't a letter."""
+
+    def __missing__(self, c: str) -> int:
+        k = next((k for k, (_, ranges) in enumerate(SCRIPTS) if any(a <= ord(c) <= b for a, b in ranges)), OTHER) if c.isalpha() else -1
+        if len(self) < 1 << 16:
+            self[c] = k
+        return k
+
+
+_script_of = _Scripts()
+
+
 def script(word: str) -> int:
-    """The script of most of a word's letters, the first listed of equals."""
+    """The script of most of a word's letters, the first listed of equals; -1 without a letter."""
     if word.isascii():
         return 0
-    found: Counter[int] = Counter()
-    for c in word:
-        if c.isalpha():
-            found[next((k for k, (_, ranges) in enumerate(SCRIPTS) if any(a <= ord(c) <= b for a, b in ranges)), OTHER)] += 1
-    return min(found, key=lambda k: (-found[k], k)) if found else -1
-
-
-def trigrams(word: str) -> list[int]:
-    w = f" {word.lower()} ".encode()
-    return [zlib.crc32(w[i : i + 3]) % BUCKETS for i in range(max(1, len(w) - 2))]
+    found = {_script_of[c] for c in word}
+    if len(found) == 1:
+        return found.pop()
+    n = Counter(_script_of[c] for c in word)
+    del n[-1]
+    return min(n, key=lambda k: (-n[k], k)) if n else -1
+
+
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed byte trigrams of all words in turn, each word between spaces, and where each word's begin."""
+    parts = [f" {w.lower()} ".encode() for w in words]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.frombuffer(b"".join(parts) + b"  ", np.uint8).astype(np.uint32)
+    code = flat[:-2] | flat[1:-1] << np.uint32(8) | flat[2:] << np.uint32(16)
+    bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    ends = np.cumsum(size)
+    inside = np.ones(len(bucket), bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    return bucket[inside].astype(np.int64), ends - size - 2 * np.arange(len(parts))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -83,14 +106,14 @@ def counts(docs: DataFrame) -> DataFrame:
         def settle() -> None:
             for lang, words in seen.items():
                 grams = total.setdefault(lang, np.zeros(BUCKETS + OTHER + 1, np.int64))
-                at: list[int] = []
-                weight: list[int] = []
-                for w, n in words.items():
-                    if (s := script(w)) >= 0:
-                        t = trigrams(w)
-                        at += [*t, BUCKETS + s]
-                        weight += [*[n] * len(t), n * len(w)]
-                np.add.at(grams, np.array(at, np.int64), np.array(weight, np.int64))
+                scripts = np.fromiter(map(script, words), np.int64, len(words))
+                times = np.fromiter(words.values(), np.int64, len(words))
+                letters = times * np.fromiter(map(len, words), np.int64, len(words))
+                lettered = scripts >= 0
+                bucket, start = trigrams(list(words))
+                weight = np.repeat(np.where(lettered, times, 0), np.diff(np.append(start, len(bucket))))
+                grams[:BUCKETS] += np.bincount(bucket, weight, BUCKETS).astype(np.int64)
+                grams[BUCKETS:] += np.bincount(scripts[lettered], letters[lettered], OTHER + 1).astype(np.int64)
             seen.clear()
 
         for batch in batches:
@@ -120,9 +143,11 @@ class Model:
     def __getstate__(self):
         return {"langs": self.langs, "logs": self.logs, "closed": self.closed}
 
-    def word(self, w: str) -> np.ndarray | None:
-        s = script(w)
-        return None if s < 0 else self.logs[trigrams(w)].sum(0) + self.closed[s]
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A row of scores a word, and its script."""
+        scripts = np.fromiter(map(script, words), np.int64, len(words))
+        bucket, start = trigrams(words)
+        return np.add.reduceat(self.logs[bucket], start, axis=0) + self.closed[np.maximum(scripts, 0)], scripts
 
 
 class Labeller:
@@ -137,34 +162,27 @@ class Labeller:
         self.used = 0
         self.table = np.zeros((1024, len(self.model.langs)), np.float32)
 
-    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A row a word, and which words have a letter."""
-        new = set(words).difference(self.at)
-        if len(self.at) + len(new) > max(REMEMBERED, len(new)):
+    def learn(self, new: set[str]) -> None:
+        """Score words that aren't known yet; all are forgotten first when they are too many."""
+        fresh = list(new.difference(self.at))
+        if len(self.at) + len(fresh) > max(REMEMBERED, len(fresh)):
             self.clear()
-            new = set(words)
-        if new:
-            while len(self.table) < self.used + len(new):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            fresh = self.used
-            for w in new:
-                row = self.model.word(w)
-                if row is None:
-                    self.at[w] = -1
-                else:
-                    self.table[fresh] = row
-                    self.at[w] = fresh
-                    fresh += 1
-            self.used = fresh
-        where = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-        return self.table[where], where >= 0
+            fresh = list(new)
+        if not fresh:
+            return
+        while len(self.table) < self.used + len(fresh):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        rows, scripts = self.model.words(fresh)
+        self.table[self.used : self.used + len(fresh)] = rows
+        self.at.update(zip(fresh, np.where(scripts < 0, -1, np.arange(self.used, self.used + len(fresh))).tolist(), strict=True))
+        self.used += len(fresh)
 
     def label(self, words: list[str]) -> np.ndarray:
-        """The language of each word, -1 for words without a letter."""
+        """The language of each learned word, -1 for words without a letter."""
+        where = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        lettered = where >= 0
         out = np.full(len(words), -1)
-        if words and self.model.langs:
-            scores, lettered = self.scores(words)
-            out[lettered] = viterbi(scores[lettered].astype(float))
+        out[lettered] = viterbi(self.table[where[lettered]].astype(float))
         return out
 
 
@@ -176,22 +194,33 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     best = int(scores.sum(0).argmax())
     gain = np.cumsum(scores - scores[:, [best]], axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros(k), gain[:-1]]), axis=0)
-    # m stretches in other languages have m - 1 switches at least; if none gains half a switch, m > 1 of them can't pay
-    if k == 1 or float((gain - low).max()) <= switch / 2:
+    most = float((gain - low).max())
+    # m stretches in other languages beside the best have m switches at least, so none pays if none gains a switch;
+    # without the best they have m - 1, and can't pay if none gains half a switch or they lose in sum anyway
+    others = np.delete(scores, best, axis=1)
+    if k == 1 or most <= switch / 2 or (most <= switch and (others.max(1) - scores[:, best]).sum() <= 0):
         return np.full(n, best)
-    value = scores[0].copy()
-    came = np.empty((n, k), np.int32)
-    own = np.arange(k)
-    for t in range(1, n):
-        top = int(value.argmax())
-        move = value[top] - switch > value
-        came[t] = np.where(move, top, own)
-        value = np.where(move, value[top] - switch, value) + scores[t]
-    out = np.empty(n, np.int64)
-    out[-1] = int(value.argmax())
+    # a step stays in each language, or comes from the best one at the cost of a switch
+    rows = scores.tolist()
+    value = rows[0]
+    came: list[tuple[int, list[bool]] | None] = [None]
+    for row in rows[1:]:
+        top = max(value)
+        moved = top - switch
+        if min(value) >= moved:
+            came.append(None)
+            value = [v + s for v, s in zip(value, row, strict=True)]
+        else:
+            came.append((value.index(top), [v < moved for v in value]))
+            value = [(v if v >= moved else moved) + s for v, s in zip(value, row, strict=True)]
+    at = value.index(max(value))
+    out = [at] * n
     for t in range(n - 1, 0, -1):
-        out[t - 1] = came[t, out[t]]
-    return out
+        step = came[t]
+        if step and step[1][at]:
+            at = step[0]
+        out[t - 1] = at
+    return np.array(out)
 
 
 def fit(docs: DataFrame) -> Model:
@@ -215,6 +244,19 @@ def training(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text", "lang").where(~held_out())
 
 
+def _ahead(texts: list[str], labeller: Labeller) -> Iterator[tuple[str, list[str]]]:
+    """Texts with their words, which the labeller has learned, several texts at a time."""
+    held: list[tuple[str, list[str]]] = []
+    size = 0
+    for k, text in enumerate(texts):
+        held.append((text, _WORD.findall(text) if labeller.model.langs else []))
+        size += len(text)
+        if size >= AHEAD_CHARS or k == len(texts) - 1:
+            labeller.learn(set().union(*(words for _, words in held)))
+            yield from held
+            held, size = [], 0
+
+
 def predict(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
     """(d, lang_pred, score, spans): d holds the row, or its carried columns; spans of characters with their languages."""
     reach(docs.sparkSession)
@@ -229,8 +271,7 @@ def predict(docs: DataFrame, model: Model, *carried: str) -> DataFrame:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
         for batch in batches:
             pred, score, spans = [], [], []
-            for text in strings(batch.column(1)):
-                words = _WORD.findall(text)
+            for text, words in _ahead(strings(batch.column(1)), labeller):
                 labels = labeller.label(words)
                 on = labels >= 0
                 if not on.any():
