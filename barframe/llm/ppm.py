@@ -13,10 +13,11 @@ and its end.
 
 All words of the corpus, with their counts, are dealt to ranges of the sorted order; a
 range holds its part of the trie, found with array operations. Only nodes on the paths of
-the bounds lie in two ranges; their counts are added up first. The shorter contexts are
-the grams of up to 3 bytes, at most 2**24, and the MAX_GRAMS most frequent longer ones:
-that bounds what is broadcast, as do TABLE words of at most TABLE_BYTES for the texts.
-A text's other words are joined to the scored words, so what moves grows with the corpus.
+the bounds lie in two ranges; their counts are added up first. Of the shorter contexts,
+those of up to SHORT bytes are broadcast, at most 2**24 counts; the longer ones stay a table
+that the bytes after an escape are joined to, so all of their counts hold. For the texts,
+TABLE words of at most TABLE_BYTES are broadcast. A text's other words are joined to the
+scored words, so what moves grows with the corpus.
 
 Null or empty text: only the end token. Repeated rows are scored each for itself. A null
 doc_id counts as the empty text when rows are held out. An empty table gives an empty
@@ -29,6 +30,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ DEPTH, ORDER = 24, 4
 START, END = 0x20, 0x0A
 #: Bytes that a word and its end can hold: all but six of white space, and the end.
 ALPHABET = 251
-MAX_GRAMS = 300_000
+#: The longest context that is broadcast, and the bits of a gram below its length.
+SHORT, BITS = 2, 8 * (ORDER + 1)
 TABLE, TABLE_BYTES = 1 << 17, 64
 #: Words that a task counts before it sends them on.
 COUNTED = 400_000
@@ -204,35 +207,42 @@ def grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for k in range(1, ORDER + 1):
         before = np.concatenate([np.zeros(k, np.int64), flat[:-k]]) << 8 * k
         code |= np.where(place >= k, before, 0)
-    code |= length << 8 * (ORDER + 1)
+    code |= length << BITS
     code, weight = code[place > 0], weight[place > 0]
     kinds, at = np.unique(code, return_inverse=True)
     return kinds, np.bincount(at, weight).astype(np.int64)
 
 
 class Contexts:
-    """The shorter contexts: bytes -> counts of the next byte."""
+    """The contexts of up to SHORT bytes: bytes -> counts of the next byte."""
 
     def __init__(self, codes: list[int], counts: list[int]):
         self.of: dict[bytes, dict[int, int]] = {}
         for code, n in zip(codes, counts, strict=True):
-            gram = (code & (1 << 8 * (ORDER + 1)) - 1).to_bytes(ORDER + 1)[-(code >> 8 * (ORDER + 1)) :]
+            gram = gram_of(code)
             self.of.setdefault(gram[:-1], {})[gram[-1]] = n
 
-    def tail(self, word: bytes, at: int, excluded: set[int]) -> float:
-        """log10 of the probability of word[at:] and its end; excluded holds for the first byte."""
+    def tail(self, word: bytes, at: int, excluded: set[int]) -> tuple[float, list[int], bytes]:
+        """What codes word[at:] and its end: log10 of the probability of the bytes whose contexts are short, the
+        grams of the others, and what the first gram excludes. excluded holds for the first byte."""
         text = b" " + word + b"\n"
-        worth = 0.0
+        worth, codes, gone = 0.0, [], b""
         for j in range(at + 1, len(text)):
-            worth += self.one(text[max(0, j - ORDER) : j], text[j], excluded)
+            if j <= SHORT:
+                worth += self.one(text[:j], text[j], excluded)
+            else:
+                gram = text[max(0, j - ORDER) : j + 1]
+                codes.append(len(gram) << BITS | int.from_bytes(gram))
+                if j == at + 1:
+                    gone = bytes(sorted(excluded))
             excluded = set()
-        return worth
+        return worth, codes, gone
 
-    def one(self, context: bytes, symbol: int, excluded: set[int]) -> float:
+    def one(self, context: bytes, symbol: int, excluded: Iterable[int], longer: Iterable[dict[int, int]] = ()) -> float:
+        """log10 of the probability of symbol; longer: the counts in the longer contexts, longest first."""
         chance = 1.0
         gone = set(excluded)
-        for k in range(len(context) + 1):
-            seen = self.of.get(context[k:])
+        for seen in chain(longer, (self.of.get(context[k:]) for k in range(len(context) + 1))):
             if not seen:
                 continue
             left = {s: n for s, n in seen.items() if s not in gone} if gone else seen
@@ -246,6 +256,44 @@ class Contexts:
         return float(np.log10(chance / max(1, ALPHABET - len(gone))))
 
 
+def gram_of(code: int) -> bytes:
+    return (code & (1 << BITS) - 1).to_bytes(ORDER + 1)[-(code >> BITS) :]
+
+
+def followers(every: DataFrame) -> DataFrame:
+    """(context, next): the contexts longer than SHORT, at most ALPHABET counts each, as count << 8 | byte."""
+    body = F.col("code").bitwiseAND(F.lit((1 << BITS) - 1))
+    context = F.shiftleft(F.col("k") - 1, BITS).bitwiseOR(F.shiftright(body, 8)).alias("context")
+    return every.where(F.col("k") > SHORT + 1).groupBy(context).agg(F.collect_list(F.shiftleft("n", 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(255)))).alias("next"))
+
+
+def tails(out: DataFrame, longer: DataFrame, model) -> DataFrame:
+    """(word, more): what the grams of a word that tail() left are worth. Each gram that occurs is valued once."""
+    need = out.select("word", F.posexplode("codes").alias("at", "code"), "gone").select("word", "code", F.when(F.col("at") == 0, F.col("gone")).otherwise(F.expr("X''")).alias("gone"))
+    body = F.shiftright(F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)), 8)
+    asked = need.select("code", "gone").distinct()
+    for k in range(ORDER, SHORT, -1):
+        # a gram without a context of k bytes has a key of its own that nothing meets
+        key = F.when(F.shiftright("code", BITS) > k, body.bitwiseAND(F.lit((1 << 8 * k) - 1)).bitwiseOR(F.lit(k << BITS))).otherwise(-F.col("code"))
+        side = longer.select(F.col("context").alias(f"c{k}"), F.col("next").alias(f"f{k}"))
+        asked = asked.withColumn(f"c{k}", key).join(side, f"c{k}", "left")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = model.value[1]
+        for batch in batches:
+            sides = [(c.offsets.to_pylist(), c.values.to_numpy().tolist()) for c in batch.columns[2:]]
+            values = []
+            for row, (code, gone) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                gram = gram_of(code)
+                seen = ({v & 255: v >> 8 for v in flat[at[row] : at[row + 1]]} for at, flat in sides)
+                values.append(contexts.one(gram[:-1][-SHORT:], gram[-1], gone, seen))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.float64())], names=["code", "gone", "value"])
+
+    none = F.array().cast("array<bigint>")
+    slim = asked.select("code", "gone", *(F.coalesce(f"f{k}", none).alias(f"f{k}") for k in range(ORDER, SHORT, -1)))
+    return need.join(arrow_map(slim, work, "code long, gone binary, value double"), ["code", "gone"]).groupBy("word").agg(F.sum("value").alias("more"))
+
+
 # ---- the model ----------------------------------------------------------------------------
 
 
@@ -292,17 +340,25 @@ def fit(docs: DataFrame) -> dict:
         left_out(len(prefix), *(np.array([q]) for q in (v.sum(), len(v), (v == 1).sum())), table)
     code = F.conv(F.hex("key"), 16, 10).cast("long")
     long = raw.where("kind = 'g'").select(code.alias("code"), F.col("a").alias("n"))
-    size = F.shiftright("code", 8 * (ORDER + 1))
+    size = F.shiftright("code", BITS)
     shorter = long.select(F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("k"), "code", "n")
     low = F.expr("shiftleft(1L, CAST(8 * k AS INT)) - 1L")
-    every = shorter.select(F.shiftleft("k", 8 * (ORDER + 1)).bitwiseOR(F.col("code").bitwiseAND(low)).alias("code"), "k", "n").groupBy("code", "k").agg(F.sum("n").alias("n"))
-    picked = [x.select("code", "n").toArrow() for x in (every.where("k <= 3"), every.where("k > 3").orderBy(F.desc("n"), "code").limit(MAX_GRAMS))]
-    model = spark.sparkContext.broadcast((escapes(table), Contexts(*([v for x in picked for v in x.column(c).to_pylist()] for c in ("code", "n"))), shared))
+    every = shorter.select(F.shiftleft("k", BITS).bitwiseOR(F.col("code").bitwiseAND(low)).alias("code"), "k", "n").groupBy("code", "k").agg(F.sum("n").alias("n"))
+    short = every.where(F.col("k") <= SHORT + 1).select("code", "n").toArrow()
+    longer = written(followers(every), "contexts")
+    model = spark.sparkContext.broadcast((escapes(table), Contexts(short.column("code").to_pylist(), short.column("n").to_pylist()), shared))
 
     def scored(p: int, mine: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         escape, contexts, full = model.value
         worth = np.zeros(len(mine))
         open_ = np.ones(len(mine), bool)
+        codes: list[list[int]] = [[] for _ in mine]
+        gone = [b""] * len(mine)
+
+        def tail(row: int, at: int, excluded: set[int]) -> float:
+            own, codes[row], gone[row] = contexts.tail(mine[row], at, excluded)
+            return own
+
         for x in levels(mine, counts, full.get):
             some = x.total > 0
             e = np.where(some, escape[escape_class(x.depth, x.total, x.kinds)], 1)
@@ -317,15 +373,19 @@ def fit(docs: DataFrame) -> dict:
                 if seen is None:
                     a, b = np.searchsorted(x.child_node, [node, node + 1])
                     seen = dict(zip(x.child_symbol[a:b].tolist(), x.children[a:b].tolist(), strict=True))
-                worth[row] += np.log10(e[node]) + contexts.tail(mine[row], x.depth, {s for s, v in seen.items() if v > 0})
+                worth[row] += np.log10(e[node]) + tail(row, x.depth, {s for s, v in seen.items() if v > 0})
                 open_[row] = False
         for row in np.flatnonzero(open_).tolist():
-            worth[row] += contexts.tail(mine[row], DEPTH + 1, set())
-        yield pa.RecordBatch.from_arrays([pa.array(mine, pa.binary()), pa.array(counts, pa.int64()), pa.array(worth, pa.float64())], names=["word", "n", "worth"])
+            worth[row] += tail(row, DEPTH + 1, set())
+        yield pa.RecordBatch.from_arrays([pa.array(mine, pa.binary()), pa.array(counts, pa.int64()), pa.array(worth, pa.float64()), pa.array(codes, pa.list_(pa.int64())), pa.array(gone, pa.binary())], names=["word", "n", "worth", "codes", "gone"])
 
-    out = written(each_range(ranged, n_parts, scored, "word binary, n long, worth double"), "scored")
+    begun = written(each_range(ranged, n_parts, scored, "word binary, n long, worth double, codes array<long>, gone binary"), "begun")
     dropped(words)
     dropped(raw)
+    out = begun.join(tails(begun, longer, model), "word", "left").select("word", "n", (F.col("worth") + F.coalesce("more", F.lit(0.0))).alias("worth"))
+    out = written(out, "scored")
+    dropped(begun)
+    dropped(longer)
     return {"words": out, "ends": ends, "tokens": (facts[0] or 0) + ends, "kinds": (facts[1] or 0) + (ends > 0)}
 
 

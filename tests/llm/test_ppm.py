@@ -110,6 +110,18 @@ def test_against_plain_model(spark):
     agree(score(df, fit(df)).collect(), docs)
 
 
+def test_all_contexts_count(spark):
+    """More contexts of 3 and 4 bytes than any fixed table: the words held out repeat the rarest ones."""
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789éøñß"
+    known = ["".join(r.choice(letters) for _ in range(12)) for _ in range(21000)]
+    docs = [(k, " ".join(known[k * 300 : k * 300 + 300])) for k in range(70)]
+    docs += [(k, " ".join("=" + w[1:] for w in r.sample(known, 40))) for k in range(1000, 1020) if zlib.crc32(str(k).encode()) % 7 == 2]
+    df = frame(spark, docs)
+    m = agree(score(df, fit(df)).collect(), docs)
+    assert sum(len(seen) for context, seen in m.short.items() if len(context) > 2) > 300_000
+
+
 def test_words_sum_to_one():
     """Over all next bytes, the chances of a context add up to one: checked on one-byte words and the bytes after them."""
     m = Plain(["a b ab abc", "b ba"])
