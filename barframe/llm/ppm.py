@@ -389,14 +389,14 @@ def fit(docs: DataFrame) -> dict:
     return {"words": out, "ends": ends, "tokens": (facts[0] or 0) + ends, "kinds": (facts[1] or 0) + (ends > 0)}
 
 
-def memory(words: list[bytes], chances: np.ndarray, end: float) -> tuple[np.ndarray, float]:
+def memory(words: list[bytes], chances: np.ndarray, end: float, later: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Which words are new to their text, and log10 of all that their text predicts.
 
     Of the t words before, with d different ones, a word seen n times has (n - OWN) / (t + FIRST);
     what that leaves, (OWN * d + FIRST) / (t + FIRST), is the escape to the trained model.
-    The two are blended: chances holds the trained chances, 0 where not at hand (which only
-    makes the code of a repeated word longer). A new word has its escape here and its
-    trained chance elsewhere.
+    The two are blended: chances holds the trained chances. A new word has its escape here
+    and its trained chance elsewhere. A repeated word of those in later, whose chance is
+    not at hand, is left out: for each word, its own chance and its escape come instead.
     """
     index: dict[bytes, int] = {}
     n = len(words)
@@ -408,8 +408,10 @@ def memory(words: list[bytes], chances: np.ndarray, end: float) -> tuple[np.ndar
     new = before == 0
     t = np.arange(n + 1) + FIRST
     escape = (OWN * np.concatenate([[0], np.cumsum(new)]) + FIRST) / t
-    again = (before - OWN)[~new] / t[:-1][~new] + escape[:-1][~new] * chances[~new]
-    return new, float(np.log10(escape[np.append(new, True)]).sum() + np.log10(again).sum() + np.log10(end))
+    own = (before - OWN) / t[:-1]
+    on = ~new & ~later
+    again = own[on] + escape[:-1][on] * chances[on]
+    return new, float(np.log10(escape[np.append(new, True)]).sum() + np.log10(again).sum() + np.log10(end)), own, escape[:-1]
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -430,26 +432,35 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         chances = np.append(10**worths, 0.0)
         place = {w: k for k, w in enumerate(names)}.get
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for text in utf8(batch.column(3)):
                 mine = text.lower().split()
                 at = np.fromiter((place(w, -1) for w in mine), np.int64, len(mine))
-                hit, new, own = at >= 0, *memory(mine, np.where(at >= 0, chances[at], 0), end_chance)
+                hit = at >= 0
+                new, worth, own, escape = memory(mine, np.where(hit, chances[at], 0), end_chance, ~hit)
                 rest = Counter([mine[k] for k in np.flatnonzero(~hit).tolist()])
-                for c, v in zip(cols, (len(mine) + 1, int(hit.sum()) + end_known, float(bases[at[hit]].sum()) + end_base, own + float(worths[at[hit & new]].sum()), list(rest), list(rest.values())), strict=True):
+                again: dict[bytes, list[float]] = {}
+                for k in np.flatnonzero(~hit & ~new).tolist():
+                    again.setdefault(mine[k], []).extend((own[k], escape[k]))
+                for c, v in zip(cols, (len(mine) + 1, int(hit.sum()) + end_known, float(bases[at[hit]].sum()) + end_base, worth + float(worths[at[hit & new]].sum()), list(rest), list(rest.values()), [again.get(w, []) for w in rest]), strict=True):
                     c.append(v)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "worth", "rest", "times"])
-
-    rows = written(arrow_map(numbered, work, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, worth double, rest array<binary>, times array<long>"), "texts")
-    rare = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
-    got = rare.join(words, "word").groupBy("row").agg(
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "worth", "rest", "times", "again"])
+
+    rows = written(arrow_map(numbered, work, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, worth double, rest array<binary>, times array<long>, again array<array<double>>"), "texts")
+    rare = rows.select("row", F.explode(F.arrays_zip("rest", "times", "again")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"), F.col("x.again").alias("again"))
+    # the chance in the blend: that of a trained word of at most TABLE_BYTES, as in memory()
+    chance = F.when((F.col("n") > 0) & (F.length("word") <= TABLE_BYTES), F.pow(F.lit(10.0), F.col("worth") + F.lit(go))).otherwise(F.lit(0.0))
+    # again holds pairs: a word's own chance, its escape
+    repeats = lambda c: F.aggregate(F.sequence(F.lit(1), F.size("again"), F.lit(2)), F.lit(0.0), lambda a, i: a + F.log10(F.element_at("again", i) + F.element_at("again", i + 1) * c))
+    blended = F.when(F.size("again") > 0, repeats(F.col("chance"))).otherwise(F.lit(0.0))
+    got = rare.join(words, "word").withColumn("chance", chance).groupBy("row").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"),
         F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(total + kinds + 1)))).alias("b"),
-        F.sum(F.col("worth") + F.lit(go)).alias("w"),
+        F.sum(F.col("worth") + F.lit(go) + blended).alias("w"),
     )
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return rows.drop("rest", "times").join(got, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("worth", "w").alias("score"))
+    return rows.drop("rest", "times", "again").join(got, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("worth", "w").alias("score"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,6 +122,16 @@ def test_all_contexts_count(spark):
     assert sum(len(seen) for context, seen in m.short.items() if len(context) > 2) > 300_000
 
 
+def test_repeats_beyond_the_table(spark, monkeypatch):
+    """Repeated words keep their trained chance if the table of frequent words has no room for them."""
+    monkeypatch.setattr("barframe.llm.ppm.TABLE", 3)
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(40)] + ["é" * 40]
+    docs = [(k, " ".join(r.choice(words) for _ in range(r.randrange(50)))) for k in range(60)] + [(900, "new new w1 new")]
+    df = frame(spark, docs)
+    agree(score(df, fit(df)).collect(), docs)
+
+
 def test_words_sum_to_one():
     """Over all next bytes, the chances of a context add up to one: checked on one-byte words and the bytes after them."""
     m = Plain(["a b ab abc", "b ba"])
