@@ -4,8 +4,8 @@ A tree builder reads tags, text, comments and raw-text elements, opens the impli
 head and body, closes elements that a new tag implies to be closed (a paragraph before a
 block, a list item before the next, table parts) and ignores end tags without a match.
 Rendering walks the visible tree: elements that never show, the attribute hidden, and
-the inline styles display: none and visibility: hidden hide their content, a closed
-details element all but its summary. Blocks stand on lines of their own, paragraphs and
+the inline style display: none hide their content, a closed details element all but its
+summary; visibility: hidden is inherited until an element inside is visible. Blocks stand on lines of their own, paragraphs and
 headings apart by an empty line; list items have bullets or numbers and are indented by
 depth; cells of a table are aligned in columns by display width; pre keeps its spaces.
 
@@ -46,7 +46,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse|initial|inherit|unset|revert)\s*(!important\s*)?(?=;|$)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -173,6 +174,15 @@ def hidden(n: Node) -> bool:
     return n.name in NEVER_SHOWN or "hidden" in n.attrs or (n.name == "input" and n.attrs.get("type", "").lower() == "hidden") or (n.name == "dialog" and "open" not in n.attrs) or bool("style" in n.attrs and _HIDING.search(n.attrs["style"]))
 
 
+def visibility(n: Node, inherited: str) -> str:
+    """The last value of the style, an important one before others; visible, hidden or collapse."""
+    found = _VISIBILITY.findall(n.attrs["style"]) if "style" in n.attrs else []
+    if not found:
+        return inherited
+    value = max(enumerate(found), key=lambda x: (bool(x[1][1]), x[0]))[1][0].lower()
+    return "visible" if value == "initial" else inherited if value in ("inherit", "unset", "revert") else value
+
+
 def width(s: str) -> int:
     """Columns that a text takes: wide characters two, combining marks none."""
     if s.isascii():
@@ -247,6 +257,7 @@ def render(top: Node) -> str:
     pages = [page]
     lists: list[list] = []
     pre = [0]
+    seen = ["visible"]
 
     def later(f) -> None:
         todo.append(f)
@@ -258,37 +269,44 @@ def render(top: Node) -> str:
             continue
         page = pages[-1]
         if isinstance(n, str):
-            if n:
+            if n and seen[-1] == "visible":
                 page.word(n, bool(pre[-1]))
             continue
         if hidden(n):
             continue
         name = n.name
         children = n.children
+        state = visibility(n, seen[-1])
+        shown = state == "visible"
         if name == "details" and "open" not in n.attrs:
             children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
         if name == "br":
-            page.close(force=not page.line)
+            page.close(force=shown and not page.line)
             continue
         if name == "hr":
             page.apart(1)
             page.gap = 1
             continue
         if name == "img":
-            if alt := n.attrs.get("alt", "").strip():
+            if shown and (alt := n.attrs.get("alt", "").strip()):
                 page.word(f" {alt} ")
             continue
         if name == "input":
-            if n.attrs.get("type", "text").lower() in ("submit", "button", "reset") and n.attrs.get("value"):
+            if shown and n.attrs.get("type", "text").lower() in ("submit", "button", "reset") and n.attrs.get("value"):
                 page.word(f" {n.attrs['value']} ")
             continue
         if name == "table":
-            _table(n, pages, later, todo)
+            seen.append(state)
+            later(seen.pop)
+            _table(n, pages, later, todo, seen)
             continue
         block, gap = name in BLOCK, 1 if name in APART and not (lists and name in ("ul", "ol", "menu")) else 0
         if block:
             page.apart(gap)
         leave = []
+        if state != seen[-1]:
+            seen.append(state)
+            leave.append(seen.pop)
         if name in ("ul", "ol", "menu", "dir"):
             start = n.attrs.get("start", "")
             lists.append([name == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
@@ -302,7 +320,7 @@ def render(top: Node) -> str:
             mark = f"{ordered[1]}. " if ordered[0] else "- "
             ordered[1] += 1
             page.indent.append(len(mark))
-            page.mark = mark
+            page.mark = mark if shown else ""
             leave += [lambda p=page: setattr(p, "mark", ""), page.indent.pop]
         elif name in ("blockquote", "dd"):
             page.indent.append(4)
@@ -312,7 +330,7 @@ def render(top: Node) -> str:
             leave.append(pre.pop)
             if children and isinstance(children[0], str) and children[0].startswith("\n"):
                 children = [children[0][1:], *children[1:]]
-        elif name == "q":
+        elif name == "q" and shown:
             page.word('"')
             leave.append(lambda p=page: p.word('"'))
 
@@ -328,29 +346,41 @@ def render(top: Node) -> str:
     return pages[0].text()
 
 
-def _table(n: Node, pages: list[Page], later, todo: list) -> None:
+def _table(n: Node, pages: list[Page], later, todo: list, seen: list[str]) -> None:
     """Render each cell on a page of its own, then set the cells in columns."""
     outer = pages[-1]
     outer.apart(1)
     rows: list[list[Node]] = []
+    states: list[list[str]] = []
     captions, others = [], []
-    parts: list = list(reversed(n.children))
+    parts: list = [(c, seen[-1]) for c in reversed(n.children)]
     while parts:
-        c = parts.pop()
+        c, state = parts.pop()
         if isinstance(c, str):
             if c.strip(" \t\n\r\f"):
-                others.append(c)
-        elif hidden(c):
+                others.append((c, state))
+            continue
+        if hidden(c):
             continue
-        elif c.name == "tr":
+        own = visibility(c, state)
+        if own == "collapse" and c.name in ("tr", *SECTIONS):
+            continue  # such rows take no place
+        if c.name == "tr":
             rows.append([x for x in c.children if isinstance(x, Node) and x.name in ("td", "th") and not hidden(x)])
-            others += [x for x in c.children if isinstance(x, str) and x.strip(" \t\n\r\f") or isinstance(x, Node) and x.name not in ("td", "th")]
+            states.append([visibility(x, own) for x in rows[-1]])
+            others += [(x, own) for x in c.children if isinstance(x, str) and x.strip(" \t\n\r\f") or isinstance(x, Node) and x.name not in ("td", "th")]
         elif c.name in SECTIONS:
-            parts += reversed(c.children)
+            parts += [(x, own) for x in reversed(c.children)]
         elif c.name == "caption":
-            captions.append(c)
+            captions.append((c, own))
         elif c.name not in ("colgroup", "col"):
-            others.append(c)
+            others.append((c, state))
+
+    def within(state: str, nodes: list) -> None:
+        later(seen.pop)
+        todo.extend(reversed(nodes))
+        later(lambda: seen.append(state))
+
     texts: dict[tuple[int, int], list[str]] = {}
 
     def finish() -> None:
@@ -388,8 +418,8 @@ def _table(n: Node, pages: list[Page], later, todo: list) -> None:
                     outer.close()
                 elif k:
                     outer.lines.append("")
-        for o in reversed(others):
-            todo.append(o)
+        for o, state in reversed(others):
+            within(state, [o])
 
     later(lambda: outer.apart(1))
     later(finish)
@@ -404,11 +434,11 @@ def _table(n: Node, pages: list[Page], later, todo: list) -> None:
                 texts[y, k] = pages.pop().text().split("\n")
 
             later(leave)
-            todo.extend(reversed(cell.children))
+            within(states[y][k], cell.children)
             later(enter)
-    for c in reversed(captions):
+    for c, state in reversed(captions):
         later(lambda: outer.apart(0))
-        todo.extend(reversed(c.children))
+        within(state, c.children)
 
 
 def title(top: Node) -> str:

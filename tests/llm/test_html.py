@@ -38,6 +38,21 @@ def test_render(html, want):
     assert render(parse(html)) == want
 
 
+SHOWN_AGAIN = [
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes<p>no</div>after", "yes\n\nafter"),
+    ("a<span style='visibility:hidden'>no<b style='visibility:visible !important; visibility:hidden'>b<i>c</i></b>no</span>d", "abcd"),
+    ("<ol style='visibility:hidden'><li>no<li style='visibility:visible'>x</ol>", "2. x"),
+    ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>b<tr style='visibility:inherit'><td>no<td>no</table>z", "  b\n\nz"),
+    ("<table><tr><td>a<td style='visibility:hidden'>no<td>c<tr><td>d<td>e<td>f<tr style='visibility:collapse'><td style='visibility:visible'>no</table>", "a     c\nd  e  f"),
+    ("<p style='visibility:hidden'>no<img alt=no><q>no</q><br><br><input type=submit value=no><p>yes", "yes"),
+]
+
+
+@pytest.mark.parametrize("html,want", SHOWN_AGAIN)
+def test_visibility_is_inherited(html, want):
+    assert render(parse(html)) == want
+
+
 def test_deep_and_wide():
     assert render(parse("<div>" * 20000 + "x")) == "x"
     assert render(parse("<table><tr><td>" * 300 + "x")) == "x"
