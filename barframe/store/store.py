@@ -336,7 +336,8 @@ class Store:
         return predicates.matches(self.frame(key, start, end), predicate, start, end, values)
 
     def predicate_statistics(self, key: Key, predicate: Predicate, start: int, end: int, block: int = 256) -> DataFrame:
-        return predicates.statistics(self.frame(key).withColumn("part", part_of(F.col("ts"), self.meta(key)["unit"])), predicate, start, end, block=block)
+        """Counters of a zone map made for the call; there is no value index to use."""
+        return predicates.statistics(self.frame(key).withColumn("part", part_of(F.col("ts"), self.meta(key)["unit"])), predicate, start, end, block=block, has_value_index=self.capabilities(key)["value_index"])
 
     def scan(self, key: Key, start: int, end: int) -> DataFrame:
         """Adjacent rows of a tick series, for the reports of operators.sequences."""
@@ -393,8 +394,9 @@ class Store:
         return sorted({s[1] for s in scoped if s and s[0] == timeframe})
 
     def capabilities(self, key: Key) -> dict[str, bool]:
-        has = bool(self.meta(key)["chunks"])
-        return {"raw": True, "zone_map": has, "value_index": has}
+        """What is stored with the series: writes build no index."""
+        self.meta(key)
+        return {"raw": True, "zone_map": False, "value_index": False}
 
     def orphans(self) -> list[str]:
         """Folders under a series that its manifest doesn't name."""

@@ -82,6 +82,15 @@ def test_flow_rules(spark, store):
     assert code(lambda: store.replay(k, T, family="kline")) == "INVALID_DATA"
 
 
+def test_capabilities_are_what_is_stored(spark, store):
+    k = keys.Key("BTC", "x", "y")
+    store.register_scalar(k, M)
+    store.put(k, scalars(spark, [(T, 10), (T + M, 15)]))
+    assert store.capabilities(k) == {"raw": True, "zone_map": False, "value_index": False}
+    assert store.predicate_statistics(k, p.in_set(10), T, MARCH).first().index_used != "ValueIndex"
+    assert code(lambda: store.capabilities(keys.Key("NO", "x", "y"))) == "NOT_FOUND"
+
+
 def test_scalars(spark, store):
     base = store.register_kline("BTC", "1m", M, 1, 1)
     assert code(lambda: store.register_indicator("NO", "1m", "x")) == "NOT_FOUND"
