@@ -1,51 +1,67 @@
-"""Operator 6, n-gram Jaccard join: PartEnum signatures, exact checks, components.
+"""Operator 6, n-gram Jaccard join: two-level PartEnum signatures, exact checks, components.
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Sets fall into size
 bands so that linked sets lie in one band or in neighbours. For each band there is an
 instance, for its sets and those of the band above. There, two linked sets differ in at
-most k elements. The instance deals the domain to P > k partitions by hash, so linked
-sets have equal content in at least P - k of them. A signature is the hash of the content
-of a partition that has at least `least` elements; a set has w partitions with fewer.
-While w < P - k, linked sets share a signature. A set for which that fails enumerates a
-further partitioning, with another seed and at last with least = 0, which never fails.
-So the candidates miss no link.
-
-Equal sets are one node. Signatures that two nodes share become buckets; of buckets with
-equal members one is kept. In each bucket a few pivots are compared with the nodes of
-other components, exactly; linked nodes merge, pivots leave the bucket, and buckets in one
-component are done. Rounds go on, with more pivots each, until no bucket is left, so every
-pair of a bucket that could join two components is compared or proved too far apart by the
-triangle inequality. A round's rows grow with the members of a bucket, not their pairs. Components are found by alternating large and small stars.
+most k elements. The instance deals the domain to n1 partitions by hash, and each of them
+to n2 parts. At least n1 - k // (k2 + 1) partitions differ in at most k2 elements, so in
+each of those all parts but k2 are equal. The signatures of a partition are the subsets
+of n2 - k2 of its parts: the hash of what the set has in them, all parts of a subset at
+once. A subset with fewer than `least` elements gives none; a partition with such a subset
+is weak. While a set has fewer weak partitions than must agree, linked sets share a
+signature. A set for which that fails enumerates a further partitioning, with another seed
+and at last with least = 0, which never fails. So the candidates miss no link.
+
+Equal sets are one node, named by 128 bits of hash. Signatures move in packs, a pack for
+each partition of the shuffle, with 64 of those bits. A signature that many nodes of a
+batch have sends two to its home, which makes it shared, and the rest anywhere, so that no
+task gets all of a frequent one. Signatures that two nodes share become buckets; of
+buckets with equal members one is kept. In each bucket a few pivots are compared with the
+nodes of other components, exactly; linked nodes merge, pivots leave the bucket, and
+buckets in one component are done. Rounds go on, with more pivots each, until no bucket is
+left, so every pair of a bucket that could join two components is compared or proved too
+far apart by the triangle inequality. A round's rows grow with the members of a bucket,
+not their pairs. Components are found by alternating large and small stars.
 
 Null or empty text: an empty set, linked with nothing, its own component. Repeated rows
 are linked as equal sets; component_id is the smallest doc_id, nulls apart. An empty
 table gives an empty result. Long texts are cut into shingles whole. Columns besides
-doc_id and text are ignored, by filter_near kept.
+doc_id and text are ignored, by filter_near kept, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, documents, dropped, pick, utf8, written
+from .shared import arrow_map, documents, dropped, pick, swept, utf8, written
 
 WORDS = 5
+#: Elements in which a partition may differ, and the parts of a partition.
+K2, N2 = 1, 3
+#: Partitions beyond those that differences can spoil, as a share.
+SPARE = 0.04
 #: (seed, least): what a set enumerates in turn until its links are certain.
-TRIES = ((0, 2), (1, 2), (2, 1), (3, 1), (4, 0))
-#: Hashes of sets that a task remembers, so that copies send their signatures once.
+TRIES = ((0, 1), (1, 1), (2, 1), (3, 1), (4, 0))
+#: Sets that a task remembers, so that copies send their signatures once.
 REMEMBERED = 200_000
-PIVOTS = (1, 4, 16, 64)
+#: Signatures of a batch of packs; how many nodes of a batch make a signature frequent.
+BATCH, FREQUENT = 500_000, 8
+#: Pivots of a bucket in each round.
+PIVOTS = (1, 4, 16, 64, 256)
 #: The Jaccard distance of a link, with room for rounding.
 LINKED_WITHIN = 0.2 + 1e-9
-#: Slots of the filter that keeps most documents without a candidate out of the second reading.
-SLOTS = 1 << 20
+#: Bits of the filter that keeps most sets without a candidate from moving: 1 MB.
+SLOTS = 1 << 23
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -90,12 +106,20 @@ def differ(a: int, b: int) -> int:
 
 
 @cache
-def instance(j: int) -> tuple[int, int, int]:
-    """(upper end of band j, k, number of partitions)."""
+def instance(j: int) -> tuple[int, int, int, int, int]:
+    """(upper end of band j, k, k2, n1, n2)."""
     ends = bands(1 << 40)
     u = ends[j]
     k = max(differ(u, b) for b in range(u, 5 * u // 4 + 1)) if u < 100 else (u + 5 * u // 4) // 9
-    return u, k, 1 if k == 0 else -(-136 * (k + 1) // 100) + 1
+    k2 = min(K2, k)
+    spoiled = k // (k2 + 1)
+    return u, k, k2, spoiled + 1 + int(SPARE * spoiled), N2 if k2 else 1
+
+
+@cache
+def subsets(n2: int, k2: int) -> np.ndarray:
+    """A column for each subset of n2 - k2 of the parts: which parts it has."""
+    return np.array([[x in s for s in combinations(range(n2), n2 - k2)] for x in range(n2)], np.uint64)
 
 
 def most_apart(size: int, u: int) -> int:
@@ -114,227 +138,356 @@ def signatures(items: np.ndarray) -> np.ndarray:
         for j in (own, own - 1):
             if j < 1:
                 continue
-            u, _, parts = instance(j)
+            u, _, k2, n1, n2 = instance(j)
             if j < own and 4 * size > 5 * u:
                 continue  # too large for any set of the band below
-            apart = most_apart(size, u)
+            agree = n1 - most_apart(size, u) // (k2 + 1)
+            chosen = subsets(n2, k2)
             for seed, least in TRIES:
                 salted = mix(items + np.uint64(seed + 1) * _A)
-                part = (salted >> np.uint64(33)).astype(np.int64) % parts
-                total = np.zeros(parts, np.uint64)
+                part = (salted >> np.uint64(33)).astype(np.int64) % (n1 * n2)
+                total = np.zeros(n1 * n2, np.uint64)
                 np.add.at(total, part, mix(salted ^ _C))
-                n = np.bincount(part, minlength=parts)
-                strong = n >= (1 if parts == 1 else least)
-                where = (np.uint64(j) << np.uint64(44)) + (np.uint64(seed) << np.uint64(40)) + np.arange(parts, dtype=np.uint64)
-                out.append(mix(total + mix(where * _A + n.astype(np.uint64)))[strong])
-                if parts - int(strong.sum()) < parts - apart:
+                n = np.bincount(part, minlength=n1 * n2).astype(np.uint64)
+                total, n = total.reshape(n1, n2) @ chosen, n.reshape(n1, n2) @ chosen
+                strong = n >= (1 if n1 * n2 == 1 else least)
+                where = (np.uint64(j) << np.uint64(44)) + (np.uint64(seed) << np.uint64(40)) + np.arange(n.size, dtype=np.uint64).reshape(n.shape)
+                out.append(mix(total + mix(where * _A + n))[strong])
+                if int((~strong.all(1)).sum()) < agree:
                     break
     return np.concatenate(out).view(np.int64)
 
 
+def named(items: np.ndarray) -> bytes:
+    """The name of a set: 128 bits of hash."""
+    return xxhash.xxh3_128_digest(items.tobytes())
+
+
+def key_of(node: bytes) -> int:
+    """64 bits of a name."""
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, sigs): node is the hash of a set; sigs are null where the task has sent them."""
+    """(doc_id, n_shingles, node, key): node names the set, null if it is empty."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
         for batch in batches:
-            rows, at, held = [], [], 0
+            found = [shingles(text) for text in utf8(batch.column(1))]
+            nodes = [named(x) if len(x) else None for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(nodes, pa.binary()), pa.array([x and key_of(x) for x in nodes], pa.int64())], names=["doc_id", "n_shingles", "node", "key"])
 
-            def block(batch=batch):
-                n, node, sigs = zip(*rows, strict=True)
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "sigs"])
+    return arrow_map(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_shingles long, node binary, key long")
 
-            for i, text in enumerate(utf8(batch.column(1))):
-                items = shingles(text)
-                node = xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63) if len(items) else None
-                sigs = None
-                if node is not None and node not in sent:
-                    if len(sent) >= REMEMBERED:
-                        sent.clear()
-                    sent.add(node)
-                    sigs = signatures(items)
-                    held += len(sigs)
-                at.append(i)
-                rows.append((len(items), node, sigs))
-                if held > 500_000:
-                    yield block()
-                    rows, at, held = [], [], 0
-            if rows:
-                yield block()
-
-    return arrow_map(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_shingles long, node long, sigs array<long>")
-
-
-def buckets(sigs: DataFrame) -> DataFrame:
-    """(sig, node) of the signatures that two nodes have, from rows that may repeat.
 
-    Sorted rows stream through: a row stays if its neighbour has its signature.
+def packs(docs: DataFrame, parts: int) -> DataFrame:
+    """(p, sure, sigs, keys): signatures of the sets and the keys of their nodes, as 64-bit numbers, for partition p.
+
+    sure: the signatures are known to be shared.
     """
 
+    def pack(sig: np.ndarray, key: np.ndarray, sure: bool) -> Iterator[pa.RecordBatch]:
+        p = (mix(sig.view(np.uint64) ^ (mix(key.view(np.uint64)) if sure else _B)) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(p, kind="stable")
+        p, sig, key = p[order], sig[order], key[order]
+        ends = [*np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)]
+        rows = [(p[a], sig[a:b].tobytes(), key[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
+        for k in range(0, len(rows), 256):
+            at, sigs, keys = zip(*rows[k : k + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([sure] * len(at)), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())], names=["p", "sure", "sigs", "keys"])
+
+    def out(sigs: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
+        sig, key = np.concatenate(sigs), np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
+        order = np.argsort(sig, kind="stable")
+        runs = sig[order]
+        first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
+        count = np.diff(np.append(first, len(runs)))
+        nth = np.empty(len(sig), np.int64)
+        nth[order] = np.arange(len(runs)) - np.repeat(first, count)
+        often = np.empty(len(sig), bool)
+        often[order] = np.repeat(count >= FREQUENT, count)
+        away = often & (nth >= 2)
+        yield from pack(sig[~away], key[~away], False)
+        if away.any():
+            yield from pack(sig[away], key[away], True)
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple[np.ndarray, np.ndarray] = np.empty(0, np.int64), np.empty(0, np.int64)
-        joined = False
+        sent: set[int] = set()
+        sigs, keys, held = [], [], 0
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                items = shingles(text)
+                if not len(items) or (key := key_of(named(items))) in sent:
+                    continue
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.add(key)
+                sigs.append(signatures(items))
+                keys.append(key)
+                held += len(sigs[-1])
+                if held >= BATCH:
+                    yield from out(sigs, keys)
+                    sigs, keys, held = [], [], 0
+        if held:
+            yield from out(sigs, keys)
+
+    return arrow_map(docs.select("text"), work, "p int, sure boolean, sigs binary, keys binary")
+
+
+def buckets(packed: DataFrame, parts: int) -> DataFrame:
+    """(sig, key) of the signatures that two nodes have; rows of frequent ones may repeat.
 
-        def out(sig: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(node, pa.int64())], names=["sig", "node"])
+    Sorted rows stream through: a row stays if its neighbour has its signature.
+    """
 
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, node = (np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True))
+            for sure, sigs, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(sigs, np.int64)), pa.array(np.frombuffer(keys, np.int64)), pa.array(np.full(len(sigs) // 8, sure))], names=["sig", "key", "sure"])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+        for batch in batches:
+            sig, key, sure = (np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True))
             if not len(sig):
                 continue
-            fresh = np.ones(len(sig), bool)
-            fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-            sig, node = sig[fresh], node[fresh]
             same = sig[1:] == sig[:-1]
-            shared = np.zeros(len(sig), bool)
-            shared[1:] |= same
-            shared[:-1] |= same
-            shared[0] |= joined
-            # the last row waits for its neighbour; joined: it has one before it already
-            joined = bool(shared[-1])
-            kept = sig[-1:], node[-1:]
-            yield out(sig[:-1][shared[:-1]], node[:-1][shared[:-1]])
-        if joined:
-            yield out(*kept)
-
-    return arrow_map(sigs.repartition("sig").sortWithinPartitions("sig", "node"), work, "sig long, node long")
-
-
-def sets(docs: DataFrame) -> DataFrame:
-    """(node, items) of the documents' sets."""
+            # a row that repeats hands on what it knows to the next
+            twin = np.append(same & (key[1:] == key[:-1]), False)
+            stays = sure.copy()
+            stays[1:] |= same & ~twin[:-1]
+            for k in np.flatnonzero(twin[:-1]):
+                stays[k + 1] |= stays[k]
+            onward = stays.copy()
+            stays[:-1] |= same
+            # the last row waits for its neighbour
+            kept = [sig[-1:], key[-1:], onward[-1:]]
+            stays &= ~twin
+            stays[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(sig[stays]), pa.array(key[stays])], names=["sig", "key"])
+        if kept[2].any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[:2]], names=["sig", "key"])
+
+    dealt = packed.repartitionById(parts, "p").select("sure", "sigs", "keys")
+    return arrow_map(arrow_map(dealt, rows, "sig long, key long, sure boolean").sortWithinPartitions("sig", "key", "sure"), work, "sig long, key long")
+
+
+def slots_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each slot that a key falls into: a table of SLOTS bits, whatever the keys."""
+    slot = F.pmod("key", F.lit(SLOTS)) + 1
+    rows = keys.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
+    size = 8 * 4096
+    table = np.zeros(SLOTS // 8, np.uint8)
+    for r in rows:
+        table[(r.b - 1) * size // 8 : r.b * size // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return table
+
+
+def sets(docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """(node, items) of the documents' sets whose key falls into one of the slots."""
+    shared = docs.sparkSession.sparkContext.broadcast(slots)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch in batches:
             for text in utf8(batch.column(0)):
                 items = shingles(text)
-                if len(items):
-                    yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63)], pa.int64()), pa.array([items.view(np.int64)], pa.list_(pa.int64()))], names=["node", "items"])
+                if not len(items) or (node := named(items)) in sent:
+                    continue
+                slot = key_of(node) % SLOTS
+                if not shared.value[slot >> 3] >> (slot & 7) & 1:
+                    continue
+                if len(sent) >= REMEMBERED:
+                    sent.clear()
+                sent.add(node)
+                yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([items.view(np.int64)], pa.list_(pa.int64()))], names=["node", "items"])
 
-    return arrow_map(docs.select("text"), work, "node long, items array<long>")
+    return arrow_map(docs.select("text"), work, "node binary, items array<long>")
 
 
 def measured(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """(a, b, far, link) of pairs of nodes: their Jaccard distance, and whether their sets link."""
-    one, two = (items.select(F.col("node").alias(k), F.col("items").alias(f"{k}_items")) for k in ("a", "b"))
-    both = pairs.join(one, "a").join(two, "b")
-    inter = F.size(F.array_intersect("a_items", "b_items"))
-    sized = both.select("a", "b", inter.alias("i"), (F.size("a_items") + F.size("b_items") - inter).alias("u"))
-    return sized.select("a", "b", (1 - F.col("i") / F.col("u")).alias("far"), (100 * F.col("i") >= 80 * F.col("u")).alias("link"))
+    """The pairs (p, node, ...) with far, the Jaccard distance of their sets, and link, whether they link.
+
+    The sets of the nodes meet their pairs, and then the pivots' sets; only pivots' sets move for that.
+    """
+    two = items.select("node", F.col("items").alias("y"))
+    one = items.join(pairs.select(F.col("p").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("p"), F.col("items").alias("x"))
+    inter = F.size(F.array_intersect("x", "y"))
+    sized = pairs.join(two, "node").join(one, "p").select(*pairs.columns, inter.alias("i"), (F.size("x") + F.size("y") - inter).alias("u"))
+    return sized.select(*pairs.columns, (1 - F.col("i") / F.col("u")).alias("far"), (100 * F.col("i") >= 80 * F.col("u")).alias("link"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the nodes with an edge and a smaller node: root is the smallest node reachable."""
+def components(edges: DataFrame) -> DataFrame | None:
+    """(node, root) of the nodes with an edge and a smaller node: root is the smallest node reachable. None without an edge."""
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = written(edges.select(high.alias("hi"), low.alias("lo")).where("hi > lo").distinct(), "edges")
     mark = None
     while True:
+        found = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        if not found[0]:
+            dropped(now)
+            return None
+        if found == mark:
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+        mark = found
         sym = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi > lo").distinct()
         old, now = now, written(small, "edges")
-        found = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         dropped(old)
-        if found == mark:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        mark = found
 
 
 def _distinct(bucket: DataFrame) -> DataFrame:
-    """(sig, node, weight): one of the buckets with equal members; weight counts the others that a node shares all its buckets with."""
-    key = lambda salt: F.sum(F.xxhash64("node", F.lit(salt)).cast("decimal(38,0)"))
-    seen = bucket.groupBy("sig").agg(F.count("*").alias("n"), key(1).alias("k1"), key(2).alias("k2"))
-    weight = bucket.join(seen.select("sig", "n"), "sig").groupBy("node").agg(F.sum(F.col("n") - 1).alias("weight"))
-    kept = seen.groupBy("n", "k1", "k2").agg(F.min("sig").alias("sig")).select("sig")
-    return bucket.join(kept, "sig").join(weight, "node").select("sig", "node", "weight")
+    """(sig, key): one of the buckets with equal members."""
+    sum_of = lambda salt: F.sum(F.xxhash64("key", F.lit(salt)).cast("decimal(38,0)"))
+    seen = bucket.groupBy("sig").agg(F.count("*").alias("n"), sum_of(1).alias("k1"), sum_of(2).alias("k2"))
+    return bucket.join(seen.groupBy("n", "k1", "k2").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
+
+
+def _weighed(bucket: DataFrame) -> DataFrame:
+    """(sig, node, weight): weight counts the others that a node shares all its buckets with."""
+    seen = bucket.groupBy("sig").agg((F.count("*") - 1).alias("n"))
+    weight = bucket.join(seen, "sig").groupBy("node").agg(F.sum("n").alias("weight"))
+    return bucket.join(weight, "node").select("sig", "node", "weight")
 
 
-def _heaviest(here: DataFrame, n: int) -> DataFrame:
-    """(sig, ps): the n nodes of each bucket with the most weight; a large bucket is dealt to 64 parts first."""
-    rank = F.struct("weight", "node")
-    if n == 1:
-        return here.groupBy("sig").agg(F.array(F.max(rank)["node"]).alias("ps"))
-    top = lambda c: F.slice(F.sort_array(c, asc=False), 1, n)
-    parts = here.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(64)).alias("s")).agg(top(F.collect_set(rank)).alias("ps"))
-    return parts.groupBy("sig").agg(F.transform(top(F.flatten(F.collect_list("ps"))), lambda x: x["node"]).alias("ps"))
+def _picked(here: DataFrame, turn: int) -> DataFrame:
+    """(sig, p, p_label, p_far): pivots of each bucket, the heaviest of each of PIVOTS classes of its nodes.
+
+    From the third round on, those of the components with the fewest nodes in the bucket
+    go first: with them compared, the bucket is done.
+    """
+    n = PIVOTS[min(turn, len(PIVOTS) - 1)]
+    if turn >= 2:
+        few = here.groupBy("sig", "label").agg((-F.count("*")).alias("few"))
+        here = here.join(few, ["sig", "label"])
+        rank = ["few", "weight", "node", "label", "far"]
+    else:
+        rank = ["weight", "node", "label", "far"]
+    kind = F.pmod(F.xxhash64("node"), F.lit(n))
+    best = here.groupBy("sig", kind.alias("c")).agg(F.max(F.struct(*rank)).alias("m"))
+    return best.select("sig", F.col("m.node").alias("p"), F.col("m.label").alias("p_label"), F.col("m.far").alias("p_far"))
 
 
-def _merged(bucket: DataFrame, items: DataFrame) -> DataFrame | None:
-    """(node, root): the components of the nodes of the buckets, None if no two link.
+def _merged(here: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(node, root): the components of the nodes of the buckets, None if no two link. Deletes here.
 
     The first pivot of a bucket, the node that shares most buckets with others, is
     compared with all of it. Jaccard distance is a metric, so two members whose distances
     to that pivot differ by more than a link's distance can't link and aren't compared.
     """
-    here = written(_distinct(bucket), "bucket")
-    edges = roots = done = None
+    spark = here.sparkSession
+    roots = done = None
+    now = here.select("sig", "node", "weight", F.col("node").alias("label"), F.lit(0.0).alias("far"))
+    old = [here]
     turn = 0
     while True:
-        label = here.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root") if roots is not None else here.withColumn("label", F.col("node"))
-        open_ = label.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-        here = written(label.join(open_, "sig"), "bucket")
+        open_ = now.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
+        here = written(now.join(open_, "sig", "left_semi"), "bucket")
+        dropped(*old)
+        swept(spark)
         if here.isEmpty():
+            dropped(here, *([done] if done is not None else []))
             return roots
-        pivots = written(_heaviest(here, PIVOTS[min(turn, len(PIVOTS) - 1)]), "pivots")
-        picked = pivots.select("sig", F.explode("ps").alias("p")).join(here.select("sig", F.col("node").alias("p"), F.col("label").alias("p_label"), *([F.col("far").alias("p_far")] if turn else [])), ["sig", "p"])
-        members = here.select("sig", "node", "label", *(["far"] if turn else []))
+        pivots = written(_picked(here, turn), "pivots")
         apart = (F.col("label") != F.col("p_label")) & (F.col("node") != F.col("p"))
         if turn:
             apart = apart & (F.abs(F.col("far") - F.col("p_far")) <= LINKED_WITHIN)
-        met = picked.join(members, (picked["sig"] == members["sig"]) & apart).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+        met = here.join(pivots, "sig").where(apart).select("p", "node", "p_label", "label")
+        met = met.groupBy(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).agg(F.min(F.struct("p", "node", "p_label", "label")).alias("e")).select("a", "b", "e.*")
         if done is not None:
             met = met.join(done, ["a", "b"], "left_anti")
+        met = written(met, "pairs")
         new = written(measured(met, items), "links")
-        pairs = new.select("a", "b")
-        done = pairs if done is None else done.unionByName(pairs)
-        fresh = new.where("link").select("a", "b")
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        if not fresh.isEmpty():
-            roots = components(edges)
-        if not turn:
-            both = new.select("a", "b", "far").unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-            first = pivots.select("sig", F.col("ps")[0].alias("a"))
-            left = here.select("sig", F.col("node").alias("b"), "weight").join(first, "sig").where("a <> b")
-            here = left.join(both, ["a", "b"]).select("sig", F.col("b").alias("node"), "weight", "far")
+        swept(spark)
+        if turn:
+            mine = pivots.select("sig", F.col("p").alias("node"))
+            now = here.join(mine, ["sig", "node"], "left_anti")
         else:
-            here = here.join(pivots, "sig").where(~F.array_contains("ps", F.col("node"))).select("sig", "node", "weight", "far")
+            both = new.select("a", "b", F.col("far").alias("d")).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("far").alias("d")))
+            left = here.drop("far").join(pivots.select("sig", F.col("p").alias("a")), "sig").where("node <> a")
+            now = left.withColumn("b", F.col("node")).join(both, ["a", "b"]).select("sig", "node", "weight", "label", F.col("d").alias("far"))
+        old = [here, pivots, met, new]
+        linked = components(new.where("link").select(F.col("p_label").alias("a"), F.col("label").alias("b")))
+        if linked is not None:
+            to = linked.select(F.col("node").alias("label"), "root")
+            now = now.join(to, "label", "left").select("sig", "node", "weight", F.coalesce("root", "label").alias("label"), "far")
+            if roots is None:
+                roots = written(linked, "roots")
+            else:
+                next_ = linked.select(F.col("node").alias("root"), F.col("root").alias("r"))
+                moved = roots.join(next_, "root", "left").select("node", F.coalesce("r", "root").alias("root"))
+                fresh = linked.join(roots, "node", "left_anti")
+                roots, gone = written(moved.unionByName(fresh), "roots"), roots
+                dropped(gone)
+            old.append(linked)
+        pairs = new.select("a", "b")
+        if done is not None:
+            old.append(done)
+            pairs = pairs.unionByName(done)
+        done = written(pairs, "done")
         turn += 1
 
 
 def cluster(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row a document."""
     docs = pick(docs, "doc_id", "text")
-    raw = written(signed(docs), "signed")
-    bucket = written(buckets(raw.where("sigs is not null").select("node", F.explode("sigs").alias("sig")).select("sig", "node")), "bucket")
-    rows = written(raw.drop("sigs"), "nodes")
-    dropped(raw)
-    # second reading: only documents whose id's slot holds a candidate; a bounded table of slots
-    nodes = bucket.select("node").distinct()
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    chosen = rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    slots = chosen.select(slot("doc_id").alias("slot")).distinct()
-    again = docs.withColumn("slot", slot("doc_id")).join(F.broadcast(slots), "slot", "left_semi")
-    items = written(sets(again).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    spark = docs.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(signed(docs), "nodes")
+    shared = written(buckets(packs(docs, parts), parts), "shared")
+    swept(spark)
+    kept = written(_distinct(shared), "distinct")
+    dropped(shared)
+    swept(spark)
+    keys = kept.select("key").distinct()
+    names = written(rows.where("node is not null").select("key", "node").join(keys, "key", "left_semi").distinct(), "names")
+    bucket = written(_weighed(kept.join(names, "key").select("sig", "node")), "bucket")
+    items = written(sets(docs, slots_of(names.select("key"))).join(names, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
+    dropped(kept, names)
+    swept(spark)
     roots = _merged(bucket, items)
-    known = rows.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root")) if roots is not None else rows.select("doc_id", "n_shingles", F.col("node").alias("root"))
-    least = known.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return known.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    dropped(items)
+    swept(spark)
+    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("m"))
+    if roots is not None:
+        least = least.join(roots, "node", "left").select("node", "m", F.coalesce("root", "node").alias("root"))
+        least = written(least, "least")
+        first = least.groupBy("root").agg(F.min("m").alias("component_id"))
+        least = least.join(first, "root").select("node", "component_id")
+    else:
+        least = least.select("node", F.col("m").alias("component_id"))
+    known = rows.join(least, "node", "left")
+    return known.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(d, text, o, doc_id): a row as it came, its text and key, and a name of the row that holds in every reading.
+
+    Rows of files are named by file and place. Others get numbers and are written, so that these hold.
+    """
+    have = set(docs.columns)
+    text = F.col("text").cast("string") if "text" in have else F.lit(None).cast("string")
+    order = F.col("doc_id") if "doc_id" in have else F.lit(None).cast("long")
+    cells = [F.struct("*").alias("d"), text.alias("text"), order.alias("o")]
+    if "_metadata" not in {c.lower() for c in have}:
+        with suppress(AnalysisException):
+            place = F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+            return docs.select(*cells, place.alias("doc_id"))
+    return written(docs.select(*cells, F.monotonically_increasing_id().alias("doc_id")), "rows")
 
 
 def filter_near(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest key, with its columns as they came."""
-    text = F.col("text").cast("string") if "text" in docs.columns else F.lit(None).cast("string")
-    order = F.col("doc_id") if "doc_id" in docs.columns else F.lit(None).cast("long")
-    # rows get numbers, as doc_id may repeat or be null; written, so that they hold
-    base = written(docs.select(F.struct("*").alias("d"), text.alias("text"), order.alias("o"), F.monotonically_increasing_id().alias("doc_id")), "rows")
-    found = cluster(base)
+    base = placed(docs)
+    found = written(cluster(base), "found")
     keyed = found.join(base.select("doc_id", "o"), "doc_id")
     first = keyed.groupBy("component_id").agg(F.min(F.struct(F.col("o").isNull().alias("n"), "o", "doc_id")).alias("m"))
-    stays = written(first.select(F.col("m.doc_id").alias("doc_id")), "stays")
-    gone = keyed.select("doc_id").join(stays, "doc_id", "left_anti")
-    return base.join(gone, "doc_id", "left_anti").select("d.*")
+    gone = found.select("doc_id").join(first.select("m.doc_id"), "doc_id", "left_anti")
+    return base.join(written(gone, "gone"), "doc_id", "left_anti").select("d.*")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from barframe.llm.jaccard import band, bands, cluster, components, differ, filter_near, instance, most_apart, op6_ngram_jaccard, shingles, signatures
+from barframe.llm.jaccard import SLOTS, band, bands, buckets, cluster, components, differ, filter_near, instance, key_of, most_apart, named, op6_ngram_jaccard, packs, shingles, signatures, slots_of
 
 
 def exact(text):
@@ -42,9 +42,9 @@ def test_bounds():
                 continue
             j = band(a)
             assert ends[j - 1] < a <= ends[j] and band(b) - j in (0, 1)
-            u, k, parts = instance(j)
+            u, k, k2, n1, n2 = instance(j)
             d = differ(a, b)
-            assert d <= k < parts and d <= most_apart(a, u) and (b <= u or d <= most_apart(b, u))
+            assert d <= k < n1 * (k2 + 1) and n2 > k2 and d <= most_apart(a, u) and (b <= u or d <= most_apart(b, u))
             if band(b) == j + 1:
                 assert 4 * b <= 5 * u
 
@@ -65,6 +65,30 @@ def test_signatures_miss_no_link():
             assert set(signatures(np.unique(a)).tolist()) & set(signatures(np.unique(b)).tolist()), (n, extra)
 
 
+def test_buckets(spark):
+    """Shared signatures, with frequent ones, copies and several tasks, against a dictionary."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: r.randrange(30, 60)] + [f"x{r.randrange(40)}"]) for _ in range(150)] + [f"a b c d e f{i}" for i in range(30)]
+    texts += [texts[3]] * 20 + [None, ""]
+    r.shuffle(texts)
+    by = {}
+    for t in texts:
+        items = shingles((t or "").encode())
+        if len(items):
+            for x in signatures(items).tolist():
+                by.setdefault(x, set()).add(key_of(named(items)))
+    want = {(x, k) for x, ks in by.items() if len(ks) > 1 for k in ks}
+    assert any(len(ks) > 8 for ks in by.values())
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = buckets(packs(df, 7), 7)
+    assert {(x.sig, x.key) for x in got.collect()} == want
+    keys = got.select("key").distinct()
+    slots = slots_of(keys)
+    held = {x.key % SLOTS for x in keys.collect()}
+    assert np.unpackbits(slots, bitorder="little").sum() == len(held) and all(slots[x >> 3] >> (x & 7) & 1 for x in held)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]
