@@ -87,35 +87,50 @@ def _ramp(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return widths, np.concatenate([[0], np.cumsum(widths)])
 
 
+def _codes(stream: np.ndarray, offsets: np.ndarray, widths: np.ndarray | int) -> np.ndarray:
+    """The codes of these widths that begin at these bits."""
+    first = offsets >> 3
+    window = stream[first] | stream[first + 1] << 8 | stream[first + 2] << 16
+    return (window >> (offsets & 7)) & ((1 << widths) - 1)
+
+
 def lzw_decode(data: bytes, bits: int, size: int) -> bytes:
-    """The first size samples of a code stream."""
+    """The first size samples of a code stream. A full table stays until a clear code comes, however late."""
     clear, stop = 1 << bits, (1 << bits) + 1
     stream = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
     total = 8 * len(data)
     ramp, places = _ramp(bits)
     out: list[np.ndarray] = []
     made, at = 0, 0
+    table = None  # of the run that is open; full once the first codes of a run, all in one window, are read
     while at < total and made < size:
-        n = int(np.searchsorted(places, total - at, "right")) - 1
-        offsets = places[:n] + at
-        first = offsets >> 3
-        window = stream[first] | stream[first + 1] << 8 | stream[first + 2] << 16
-        codes = (window >> (offsets & 7)) & ((1 << ramp[:n]) - 1)
+        if table is None:
+            n = int(np.searchsorted(places, total - at, "right")) - 1
+            codes = _codes(stream, places[:n] + at, ramp[:n])
+        else:
+            n = min((total - at) // 12, len(ramp))
+            codes = _codes(stream, at + 12 * np.arange(n), 12)
         ends = np.flatnonzero((codes == clear) | (codes == stop))
         run = codes[: ends[0]] if len(ends) else codes
-        if len(run):
-            out.append(_expanded(run, clear))
-            made += len(out[-1])
+        read = len(run) + bool(len(ends))
+        at += int(places[read]) if table is None else 12 * read
+        if table is None:
+            samples, table = _expanded(run, clear)
+        else:
+            samples = _looked_up(run, clear, *table)
+        out.append(samples)
+        made += len(samples)
         if not n or len(ends) and codes[ends[0]] == stop:
             break
-        at += int(places[len(run) + bool(len(ends))])
+        if len(ends):
+            table = None
     if made < size:
         raise ValueError("LZW stream ends early")
     return b"".join(x.tobytes() for x in out)[:size]
 
 
-def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
-    """The samples of a run of codes without clear and end.
+def _expanded(codes: np.ndarray, clear: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The samples of a run of codes without clear and end; and with these, where each code's begin and how many there are.
 
     The table's entry k is what code k gave and the sample after that, so code
     clear + 2 + k repeats the output from where code k began, one sample longer.
@@ -143,7 +158,16 @@ def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
         source = further
     literal = np.zeros(len(source), np.uint8)
     literal[starts[~repeats]] = codes[~repeats]
-    return literal[source]
+    return (samples := literal[source]), (samples, starts, lengths)
+
+
+def _looked_up(codes: np.ndarray, clear: int, samples: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The samples of codes of a full table."""
+    entries = MOST_CODES - (clear + 2)
+    whole = np.concatenate([np.arange(clear, dtype=np.uint8), samples])
+    begin = np.concatenate([np.arange(clear + 2), clear + starts[:entries]])
+    size = np.concatenate([np.ones(clear + 2, np.int64), lengths[:entries] + 1])[codes]
+    return whole[np.arange(int(size.sum())) + np.repeat(begin[codes] - (np.cumsum(size) - size), size)]
 
 
 def write_gif(samples: bytes, width: int = WIDTH, height: int = HEIGHT, delay: int = DELAY) -> bytes:

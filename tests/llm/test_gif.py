@@ -28,6 +28,75 @@ def test_lzw_by_hand():
         lzw_decode(value.to_bytes(2, "little"), 2, 4)
 
 
+def plain_encode(data, bits=8, defer=False):
+    """Code by code, bit by bit. With a full table: a clear code, or, if defer, none ever."""
+    clear = 1 << bits
+    out, width, table, prefix = [], bits + 1, {bytes([k]): k for k in range(clear)}, b""
+    put = lambda c: out.extend(c >> k & 1 for k in range(width))
+    put(clear)
+    fresh = clear + 2
+    for b in data:
+        if prefix + bytes([b]) in table:
+            prefix += bytes([b])
+            continue
+        put(table[prefix])
+        if fresh < 4096:
+            table[prefix + bytes([b])] = fresh
+            # the reader knows an entry one code later
+            width = max(width, min(12, fresh.bit_length()))
+            fresh += 1
+        elif not defer:
+            put(clear)
+            fresh, width, table = clear + 2, bits + 1, {bytes([k]): k for k in range(clear)}
+        prefix = bytes([b])
+    if prefix:
+        put(table[prefix])
+        width = max(width, min(12, fresh.bit_length())) if fresh < 4096 else width
+    put(clear + 1)
+    return bytes(sum(x << k for k, x in enumerate(out[i : i + 8])) for i in range(0, len(out), 8))
+
+
+def test_lzw_full_table():
+    """A writer that never clears: the full table stays, for any length."""
+    r = random.Random(4)
+    for n in (3000, 6000, 8000, 9000, 20_000, 60_000, 300_000):
+        for data in (r.randbytes(n), bytes(r.choice(b"abcd ") for _ in range(n))):
+            assert lzw_decode(plain_encode(data, defer=True), 8, n) == data
+            small = bytes(x & 3 for x in data)
+            assert lzw_decode(plain_encode(small, 2, defer=True), 2, n) == small
+    # a clear code long after the table is full
+    data = r.randbytes(30_000)
+    bits = lambda x: "".join(format(b, "08b")[::-1] for b in x)
+    long, short = bits(plain_encode(data, defer=True)), bits(plain_encode(b"after", defer=True))
+    stop = long.rindex(format(257, "012b")[::-1])
+    both = long[:stop] + format(256, "012b")[::-1] + short[9:]
+    stream = bytes(int(both[k : k + 8][::-1], 2) for k in range(0, len(both), 8))
+    assert lzw_decode(stream, 8, 30_005) == data + b"after"
+
+
+def plain_gif(data):
+    """The file of grey frames of 64 x 1024 samples, put together plainly, and what the query says of it."""
+    out = b"GIF89a" + struct.pack("<HHBBB", 64, min(len(data) // 64, 1024), 0xF7, 0, 0) + bytes(k for v in range(256) for k in (v, v, v))
+    n = 0
+    for k in range(0, len(data), 65536):
+        part = data[k : k + 65536]
+        out += b"\x21\xf9\4\4" + struct.pack("<HBB", 10, 0, 0) + b"," + struct.pack("<HHHHB", 0, 0, 64, len(part) // 64, 0) + b"\x08"
+        stream = plain_encode(part)
+        for j in range(0, len(stream), 255):
+            out += bytes([len(stream[j : j + 255])]) + stream[j : j + 255]
+        out += b"\0"
+        n += 1
+    # a frame shows its own samples; below a lower last frame the one before stays
+    shown = {}
+    for k in range(0, len(data), 65536):
+        part = data[k : k + 65536]
+        whole = part + (data[k - 65536 + len(part) : k] if k else b"")
+        for b in whole:
+            c = (b >> 6) * 21
+            shown[c] = shown.get(c, 0) + 1
+    return out + b";", f"frames={n};cs={10 * n};colours=" + ",".join(f"{k}:{shown[k]}" for k in sorted(shown))
+
+
 def test_gif_round_trip():
     r = random.Random(2)
     for n in (1, 64, 65, 64 * 1024, 64 * 1024 + 1, 200_000):
@@ -88,6 +157,8 @@ def test_query(spark, sf):
     got = op7_media_columns(spark, sf).collect()
     assert len(got) == len(docs)
     for r in got:
+        media, feature = plain_gif(padded(docs[r.doc_id]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature), r.doc_id
         p = padded(docs[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(docs[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert np.all([r.media_bytes > 0 for r in got])
