@@ -1,10 +1,12 @@
 """Operator 9, language ID: script ranges, then Viterbi over per-word scores.
 
 Training counts the hashed letter trigrams of words and the scripts of letters, per
-language, over all labelled rows: partial sums leave each task, so the model has at most
-MAX_LANGS * (BUCKETS + scripts) numbers, whatever the corpus; that bound is why it is
-collected and broadcast. Prediction takes the words of a text (runs of letters). The script of a word
-narrows its candidates to the languages that were seen in that script; a word scores the
+language, over all labelled rows. Partial sums leave each task, those of HELD languages at
+most at a time. fit() learns the languages with the most letters, at most max_langs of
+them (256, a parameter; the first by name of equals), so that a dirty lang column doesn't
+make a model of any size: it has max_langs * (BUCKETS + scripts) numbers at most, which is
+why it is collected and broadcast. Prediction takes the words of a text: runs of letters
+and the marks that combine with them. The script of a word narrows its candidates to the languages that were seen in that script; a word scores the
 sum of its trigrams' log probabilities in each. Viterbi finds the labelling of the words
 that is best after a penalty for each switch, so mixed text falls into spans.
 
@@ -18,18 +20,20 @@ labelled whole. Columns besides doc_id, text and lang are ignored, by filter_lan
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, crc_of, documents, pick, reach, strings
+from .shared import arrow_map, crc_of, documents, dropped, pick, reach, strings, written
 
 BUCKETS = 1 << 16
-MAX_LANGS = 256
+MAX_LANGS, HELD = 256, 32
 SWITCH = 20.0
 SMOOTH = 0.1
 #: A language uses a script that has this share of its letters.
@@ -55,7 +59,16 @@ SCRIPTS = (
     ("han", ((0x2E80, 0x2FDF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))),
 )
 OTHER = len(SCRIPTS)
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _marks() -> str:
+    """A class of the characters that combine with letters."""
+    points = [k for k in range(0x300, 0x20000) if unicodedata.category(chr(k))[0] == "M"]
+    edges = [k for k, (a, b) in enumerate(pairwise(points), 1) if b - a > 1]
+    return "".join(f"{chr(points[a])}-{chr(points[b - 1])}" for a, b in zip([0, *edges], [*edges, len(points)], strict=True))
+
+
+_WORD = re.compile(rf"[^\W\d_]+(?:[{_marks()}]+[^\W\d_]*)*")
 
 
 class _Scripts(dict):
@@ -116,15 +129,21 @@ def counts(docs: DataFrame) -> DataFrame:
                 grams[BUCKETS:] += np.bincount(scripts[lettered], letters[lettered], OTHER + 1).astype(np.int64)
             seen.clear()
 
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, grams in total.items():
+                at = np.flatnonzero(grams)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(grams[at], pa.int64())], names=["lang", "bucket", "n"])
+            total.clear()
+
         for batch in batches:
             for text, lang in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(_WORD.findall(text))
-                if sum(map(len, seen.values())) > REMEMBERED:
+                if len(seen) > HELD or sum(map(len, seen.values())) > REMEMBERED:
                     settle()
+                    if len(total) > HELD:
+                        yield from out()
         settle()
-        for lang, grams in total.items():
-            at = np.flatnonzero(grams)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(grams[at], pa.int64())], names=["lang", "bucket", "n"])
+        yield from out()
 
     return arrow_map(docs.select("text", F.col("lang").cast("string").alias("lang")), work, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -223,13 +242,13 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     return np.array(out)
 
 
-def fit(docs: DataFrame) -> Model:
-    """A model of (text, lang) rows; rows without a lang teach nothing."""
-    rows = counts(docs.where(F.col("lang").isNotNull()))
-    found = rows.toArrow().to_pydict()
-    langs = sorted(set(found["lang"]))
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
+def fit(docs: DataFrame, max_langs: int = MAX_LANGS) -> Model:
+    """A model of (text, lang) rows; rows without a lang, or with one that isn't learned, teach nothing."""
+    rows = written(counts(docs.where(F.col("lang").isNotNull())), "trigrams")
+    letters = rows.groupBy("lang").agg(F.sum(F.when(F.col("bucket") >= BUCKETS, F.col("n")).otherwise(0)).alias("n"))
+    langs = sorted(r.lang for r in letters.orderBy(F.desc("n"), "lang").limit(max_langs).collect())
+    found = rows.where(F.col("lang").isin(langs)).toArrow().to_pydict()
+    dropped(rows)
     grams = np.zeros((len(langs), BUCKETS + OTHER + 1))
     place = {x: k for k, x in enumerate(langs)}
     np.add.at(grams, ([place[x] for x in found["lang"]], found["bucket"]), found["n"])

@@ -1,9 +1,12 @@
 import itertools
+import math
 import random
+import unicodedata
+from collections import Counter
 
 import numpy as np
 
-from barframe.llm.langid import SWITCH, filter_language, fit, op9_language_id, predict, script, training, viterbi
+from barframe.llm.langid import SCRIPTS, SWITCH, filter_language, fit, op9_language_id, predict, script, training, viterbi
 
 
 def test_viterbi_against_all_labellings():
@@ -50,6 +53,95 @@ def test_empty_and_unlabelled(spark):
     assert model.langs == [] and {r.lang_pred for r in predict(df, model).collect()} == {"und"}
 
 
+class Plain:
+    """Trigrams, scripts and labellings in the plainest way; nothing but the constants is shared with the code."""
+
+    def __init__(self, rows):
+        self.grams, self.letters = {}, {}
+        for text, lang in rows:
+            if lang is not None and (words := self.words(text)):
+                self.grams.setdefault(lang, Counter()).update(g for w in words for g in self.keys(w))
+                self.letters.setdefault(lang, Counter()).update({k: sum(len(w) for w in words if self.script(w) == k) for k in {self.script(w) for w in words}})
+        self.langs = sorted(self.grams)
+
+    def words(self, text):
+        out, now = [], ""
+        for c in (text or "") + " ":
+            if c.isalpha() or now and unicodedata.category(c)[0] == "M":
+                now += c
+            elif now:
+                out.append(now)
+                now = ""
+        return out
+
+    def keys(self, word):
+        b = f" {word.lower()} ".encode()
+        return [((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 0x9E3779B1 % (1 << 32)) >> 16 for i in range(len(b) - 2)]
+
+    def script(self, word):
+        n = Counter()
+        for c in word:
+            if c.isalpha():
+                n[next((k for k, (_, rs) in enumerate(SCRIPTS) if any(a <= ord(c) <= b for a, b in rs)), len(SCRIPTS))] += 1
+        return min(n, key=lambda k: (-n[k], k))
+
+    def row(self, word):
+        out = []
+        for x in self.langs:
+            total = sum(self.grams[x].values())
+            s = sum(math.log((self.grams[x][g] + 0.1) / (total + 0.1 * 65536)) for g in self.keys(word))
+            k = self.script(word)
+            used = lambda y, k=k: self.letters[y][k] > 0 and self.letters[y][k] >= 0.001 * sum(self.letters[y].values())
+            out.append(s if used(x) or not any(map(used, self.langs)) else s - 1e4)
+        return out
+
+    def predict(self, text):
+        words = self.words(text)
+        if not words or not self.langs:
+            return "und", 0.0
+        value, paths = None, None
+        for w in words:
+            row = self.row(w)
+            if value is None:
+                value, paths = row, [[k] for k in range(len(row))]
+                continue
+            top = max(range(len(row)), key=value.__getitem__)
+            new = []
+            for k in range(len(row)):
+                at = k if value[k] >= value[top] - SWITCH else top
+                new.append((value[at] - SWITCH * (at != k) + row[k], paths[at] + [k]))
+            value, paths = [v for v, _ in new], [p for _, p in new]
+        share = Counter()
+        for w, k in zip(words, paths[max(range(len(value)), key=value.__getitem__)], strict=True):
+            share[k] += len(w)
+        top = max(sorted(share), key=share.__getitem__)
+        return self.langs[top], share[top] / sum(share.values())
+
+
+def test_against_plain(spark, sf):
+    df, _ = corpus(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 4000").selectExpr("doc_id + 10000 AS doc_id", "text", "lang").limit(150)
+    marks = [(2000, "हिन्दी में लिखा हुआ", "hi"), (2001, "भाषा हिन्दी ภาษาไทย", None), (2002, "ภาษาไทย นี้เป็น", "th"), (2004, "e\u0301te\u0301 word ½", None)]
+    rows = df.where("doc_id < 1004").select("doc_id", "text", "lang").unionByName(docs).unionByName(spark.createDataFrame(marks, docs.schema))
+    plain = Plain([(r.text, r.lang) for r in training(rows).collect()])
+    got = {r.d.doc_id: (r.lang_pred, r.score) for r in predict(rows, fit(training(rows))).collect()}
+    for r in rows.collect():
+        lang, score = plain.predict(r.text)
+        assert got[r.doc_id][0] == lang and math.isclose(got[r.doc_id][1], score), r.doc_id
+
+
+def test_ties_and_many_labels(spark):
+    """Of equal shares the first by name; more labels than are learned don't stop the job."""
+    rows = [(k, t, x) for k, (t, x) in enumerate([("αααα ββββ", "gr"), ("слово мирр", "ру"), ("αααα мирр", None), ("мирр αααα", None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = predict(df, fit(df)).orderBy("d.doc_id").collect()
+    assert [(r.lang_pred, r.score, len(r.spans)) for r in got[2:]] == [("gr", 0.5, 2)] * 2
+    many = [(k, "word " * (k % 7 + 1), f"x{k:03d}") for k in range(300)]
+    model = fit(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 256 and all(f"x{k:03d}" in model.langs for k in range(300) if k % 7 > 1)
+    assert fit(df, max_langs=1).langs == ["ру"]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
