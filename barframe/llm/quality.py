@@ -2,15 +2,23 @@
 
 DataFrame functions only. One pass turns each text into integer features and the
 features into ratios, whole numbers from 0 to 1000. A sketch of a ratio is its histogram
-over these 1001 values: sketches merge by adding counts, so partial aggregation
-builds them before the shuffle and a hot source costs as many rows as any other. From
-the sketches of a language and source, and of the language and of all, come quantiles;
-a ratio beyond the upper fence of its group rejects a document.
+over these 1001 values, so a quantile is right to a thousandth (of a mean word length, to
+a tenth of a character). Sketches merge by adding counts: partial aggregation builds them
+before the shuffle, and a hot source costs as many rows as any other. From the sketches of
+a language and source, of the language and of all come quantiles, and from these a cutoff:
+
+    q50 + max(STEP, FENCE * (q50 - q25)) + min(STEP, q95 - q50)
+
+STEP is what a ratio may vary by where most texts have the same. The median and the
+spread below it stand as long as half of the group is sound, and the tail adds a step at
+most, so junk doesn't lift its own cutoff. The fewer documents a group has, the more its
+cutoff is drawn to its parent's, by n * n to TRUST * TRUST; there is no size at which that
+switches. A document with a ratio over its group's cutoff is rejected.
 
 Null or empty text: no words, base_failed, not kept. A null language or source is a
 group of its own. Repeated rows count as often as they come. An empty table gives an
-empty result. Input columns besides those used pass through filter_quality unchanged,
-whatever their names.
+empty result. Without any document that passes the base rules, cutoffs are 1000. Input
+columns besides those used pass through filter_quality unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,17 +26,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, written
+from .shared import documents, dropped, written
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A group with fewer documents takes the sketch of its language, then that of all.
-MIN_GROUP = 200
-#: The fence of a ratio: q90 + FENCE * (q90 - q50), at least FLOOR, in thousandths.
+#: Documents at which a group's own cutoff weighs as much as its parent's, and the most that count.
+TRUST, MOST = 50, 10_000
 FENCE = 6
 RATIOS = ("symbol", "dup", "repeat", "word_len")
-FLOOR = {"symbol": 50, "dup": 500, "repeat": 200, "word_len": 150}
+#: Thousandths; of a mean word length, tenths of a character.
+STEP = {"symbol": 20, "dup": 150, "repeat": 100, "word_len": 20}
 #: What a ratio divides, and its scale: thousandths, for the mean length of a word tenths of a character.
 _PARTS = {"symbol": ("n_symbols", "word_chars", 1000), "dup": ("n_dup_lines", "n_lines", 1000), "repeat": ("n_repeat_words", "n_words", 1000), "word_len": ("word_chars", "n_words", 10)}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -108,29 +116,47 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(level, g_lang, g_source, ratio, value, n): the histograms of all levels.
+    """(g_lang, g_source, ratio, value, n): the histograms of each language and source.
 
-    Base failures stay out, so junk doesn't set the thresholds.
+    Base failures count 0, so junk doesn't set the thresholds, but its groups are known.
     """
-    long = rows.where(~F.col("base_failed")).select("g_lang", "g_source", F.posexplode(F.array(*(F.col(f"r_{k}") for k in RATIOS))).alias("ratio", "value"))
-    fine = long.groupBy("g_lang", "g_source", "ratio", "value").agg(F.count("*").alias("n"))
-    merged = fine.select(F.explode(F.array(F.lit(2), F.lit(1), F.lit(0))).alias("level"), "*").select("level", F.when(F.col("level") >= 1, F.col("g_lang")).alias("g_lang"), F.when(F.col("level") == 2, F.col("g_source")).alias("g_source"), "ratio", "value", "n")
-    return merged.groupBy("level", "g_lang", "g_source", "ratio", "value").agg(F.sum("n").alias("n"))
+    each = F.posexplode(F.array(*(F.col(f"r_{k}") for k in RATIOS))).alias("ratio", "value")
+    long = rows.select("g_lang", "g_source", (~F.col("base_failed")).cast("long").alias("one"), each)
+    return long.groupBy("g_lang", "g_source", "ratio", "value").agg(F.sum("one").alias("n"))
 
 
-def thresholds(hist: DataFrame) -> DataFrame:
-    """(level, g_lang, g_source, n_docs, t_<ratio>...): one row a group, from at most 1001 counts a ratio."""
-    keys = ["level", "g_lang", "g_source"]
-    per = hist.groupBy(*keys, "ratio").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("h"), F.sum("n").alias("total"))
+def cutoffs(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ratio, n, cut): the cutoffs that the groups have by themselves, null without a document; from at most 1001 counts a ratio."""
+    merged = hist.groupBy(*keys, "ratio", "value").agg(F.sum("n").alias("n"))
+    per = merged.groupBy(*keys, "ratio").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("h"), F.sum("n").alias("n"))
 
     def quantile(percent: int) -> Column:
         """The least value that at least percent % of the group do not exceed."""
-        step = lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when((a["q"] < 0) & (100 * (a["c"] + x["n"]) >= percent * F.col("total")), x["value"]).otherwise(a["q"]).alias("q"))
+        step = lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when((a["q"] < 0) & (a["c"] + x["n"] > 0) & (100 * (a["c"] + x["n"]) >= percent * F.col("n")), x["value"]).otherwise(a["q"]).alias("q"))
         return F.aggregate("h", F.struct(F.lit(0).cast("long").alias("c"), F.lit(-1).cast("long").alias("q")), step, lambda a: a["q"])
 
-    q = per.select(*keys, "ratio", "total", quantile(50).alias("q50"), quantile(90).alias("q90"))
-    cut = lambda k: F.max(F.when(F.col("ratio") == RATIOS.index(k), F.greatest(F.lit(FLOOR[k]).cast("long"), F.col("q90") + FENCE * (F.col("q90") - F.col("q50"))))).alias(f"t_{k}")
-    return q.groupBy(*keys).agg(F.max("total").alias("n_docs"), *(cut(k) for k in RATIOS))
+    q = per.select(*keys, "ratio", "n", quantile(25).alias("q25"), quantile(50).alias("q50"), quantile(95).alias("q95"))
+    step = F.element_at(F.array(*(F.lit(STEP[k]).cast("long") for k in RATIOS)), F.col("ratio") + 1)
+    cut = F.col("q50") + F.greatest(step, FENCE * (F.col("q50") - F.col("q25"))) + F.least(step, F.col("q95") - F.col("q50"))
+    return q.select(*keys, "ratio", "n", F.when(F.col("n") > 0, cut).alias("cut"))
+
+
+def _drawn(own: DataFrame, parent: Column) -> DataFrame:
+    """own with cut drawn to the parent's cutoff."""
+    w = F.least("n", F.lit(MOST))
+    both = F.expr(f"(least(n, {MOST}) * least(n, {MOST}) * cut + {TRUST * TRUST} * parent) div (least(n, {MOST}) * least(n, {MOST}) + {TRUST * TRUST})")
+    return own.withColumn("parent", parent).withColumn("cut", F.when(w > 0, both).otherwise(F.col("parent"))).drop("parent")
+
+
+def thresholds(hist: DataFrame) -> DataFrame:
+    """(g_lang, g_source, t_<ratio>...): a row for each language and source; hist is read four times."""
+    top = {r.ratio: r.cut for r in cutoffs(hist, []).collect()}  # one row a ratio
+    whole = F.element_at(F.array(*(F.lit(1000 if top.get(k) is None else top[k]).cast("long") for k in range(len(RATIOS)))), F.col("ratio") + 1)
+    langs = _drawn(cutoffs(hist, ["g_lang"]), whole).select(F.col("g_lang").alias("p_lang"), F.col("ratio").alias("p_ratio"), F.col("cut").alias("p_cut"))
+    own = cutoffs(hist, ["g_lang", "g_source"])
+    all_ = _drawn(own.join(langs, own["g_lang"].eqNullSafe(langs["p_lang"]) & (own["ratio"] == langs["p_ratio"])), F.col("p_cut"))
+    cut = lambda k: F.max(F.when(F.col("ratio") == RATIOS.index(k), F.col("cut"))).alias(f"t_{k}")
+    return all_.groupBy("g_lang", "g_source").agg(*(cut(k) for k in RATIOS))
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -138,27 +164,14 @@ def judged(rows: DataFrame) -> DataFrame:
 
     The table of thresholds has no hint: Spark broadcasts it only while it is small.
     """
-    t = thresholds(sketches(rows))
-    out = rows
-    for level, on in ((2, ["g_lang", "g_source"]), (1, ["g_lang"]), (0, [])):
-        side = t.where(F.col("level") == level).select(*(F.col(k).alias(f"j_{k}") for k in on), F.struct("n_docs", *(f"t_{k}" for k in RATIOS)).alias(f"l{level}"))
-        if level == 2:
-            side = side.where(F.col("l2.n_docs") >= MIN_GROUP)
-        elif level == 1:
-            side = side.where(F.col("l1.n_docs") >= MIN_GROUP)
-        if on:
-            cond = F.lit(True)
-            for k in on:
-                cond = cond & out[k].eqNullSafe(side[f"j_{k}"])
-            out = out.join(side, cond, "left").drop(*(f"j_{k}" for k in on))
-        else:
-            # one row: the sketch of all documents
-            out = out.join(F.broadcast(side), F.lit(True), "left")
-    held = lambda k: F.coalesce(F.col(f"l2.t_{k}"), F.col(f"l1.t_{k}"), F.col(f"l0.t_{k}"), F.lit(1000).cast("long"))
+    hist = written(sketches(rows), "sketches")
+    t = written(thresholds(hist), "thresholds").withColumnsRenamed({"g_lang": "j_lang", "g_source": "j_source"})
+    dropped(hist)
+    out = rows.join(t, rows["g_lang"].eqNullSafe(t["j_lang"]) & rows["g_source"].eqNullSafe(t["j_source"]), "left")
     within = F.lit(True)
     for k in RATIOS:
-        within = within & (F.col(f"r_{k}") <= held(k))
-    return out.select(*rows.columns, *(held(k).alias(f"t_{k}") for k in RATIOS), (~F.col("base_failed") & within).alias("kept"))
+        within = within & (F.col(f"r_{k}") <= F.col(f"t_{k}"))
+    return out.select(*rows.columns, *(f"t_{k}" for k in RATIOS), (~F.col("base_failed") & within).alias("kept"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -182,12 +195,27 @@ _W = "regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+')"
 
 def _oracle() -> str:
     ratio = lambda k: f"CASE WHEN {_PARTS[k][1]} > 0 THEN least(1000, ({_PARTS[k][2]} * {_PARTS[k][0]}) // {_PARTS[k][1]}) ELSE 0 END"
-    levels = {2: ("lang", "source"), 1: ("lang", "NULL"), 0: ("NULL", "NULL")}
-    t = " UNION ALL ".join(
-        f"SELECT {lv} AS level, '{k}' AS ratio, {a} AS g_lang, {b} AS g_source, count(*) AS n, quantile_disc(r_{k}, 0.5) AS q50, quantile_disc(r_{k}, 0.9) AS q90 FROM f WHERE NOT base_failed GROUP BY ALL"
-        for lv, (a, b) in levels.items() for k in RATIOS
+    levels = {"own": "lang, source", "langs": "lang", "whole": "1"}
+    step = "CASE k " + " ".join(f"WHEN '{k}' THEN {STEP[k]}" for k in RATIOS) + " END"
+    tables = "".join(
+        f"""
+{name} AS (SELECT {by.replace("1", "0 AS g")}, k, max(n) AS n, q50 + greatest({step}, {FENCE} * (q50 - q25)) + least({step}, q95 - q50) AS cut
+  FROM (SELECT {by.replace("1", "1 AS g")}, k, max(n) AS n, min(r) FILTER (100 * i >= 25 * n) AS q25, min(r) FILTER (100 * i >= 50 * n) AS q50, min(r) FILTER (100 * i >= 95 * n) AS q95
+        FROM (SELECT *, row_number() OVER (PARTITION BY {by}, k ORDER BY r) AS i, count(*) OVER (PARTITION BY {by}, k) AS n FROM x) GROUP BY ALL)
+  GROUP BY ALL),"""
+        for name, by in levels.items()
     )
-    held = lambda k: f"coalesce(a.t_{k}, b.t_{k}, c.t_{k}, 1000)"
+    w = lambda a: f"(least(coalesce({a}.n, 0), {MOST}) * least(coalesce({a}.n, 0), {MOST}))"
+    drawn = lambda a, parent: f"(({w(a)} * coalesce({a}.cut, 0) + {TRUST * TRUST} * {parent}) // ({w(a)} + {TRUST * TRUST}))"
+    held = lambda k: f"max(cut) FILTER (k = '{k}')"
+    t = f"""
+x AS (SELECT lang, source, k, r FROM (UNPIVOT (SELECT lang, source, {", ".join(f"r_{k} AS {k}" for k in RATIOS)} FROM f WHERE NOT base_failed) ON {", ".join(RATIOS)} INTO NAME k VALUE r)),{tables}
+g AS (SELECT DISTINCT f.lang, f.source, u.k FROM f, (SELECT unnest({list(RATIOS)}) AS k) u),
+t AS (SELECT lang, source, {", ".join(f"{held(k)}::BIGINT AS t_{k}" for k in RATIOS)} FROM (
+  SELECT g.lang, g.source, g.k, {drawn("own", drawn("langs", "coalesce(whole.cut, 1000)"))} AS cut FROM g
+  LEFT JOIN own ON own.k = g.k AND own.lang IS NOT DISTINCT FROM g.lang AND own.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN langs ON langs.k = g.k AND langs.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN whole ON whole.k = g.k) GROUP BY lang, source)"""
     return f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter({_W}, lambda x: x <> '') AS w,
        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
@@ -202,14 +230,10 @@ c AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words,
        len(l)::BIGINT AS n_lines
       FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
 f AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
-      {", ".join(f"({ratio(k)})::BIGINT AS r_{k}" for k in RATIOS)} FROM c),
-q AS ({t}),
-t AS (SELECT level, g_lang, g_source, max(n) AS n, {", ".join(f"max(CASE WHEN ratio = '{k}' THEN greatest({FLOOR[k]}, q90 + {FENCE} * (q90 - q50)) END)::BIGINT AS t_{k}" for k in RATIOS)} FROM q GROUP BY ALL)
-SELECT f.doc_id, {", ".join(f"f.{k}" for k in COUNTS)}, {", ".join(f"f.r_{k}" for k in RATIOS)}, {", ".join(f"{held(k)}::BIGINT AS t_{k}" for k in RATIOS)}, f.base_failed,
-       (NOT f.base_failed AND {" AND ".join(f"f.r_{k} <= {held(k)}" for k in RATIOS)}) AS kept
-FROM f LEFT JOIN t a ON a.level = 2 AND a.n >= {MIN_GROUP} AND a.g_lang IS NOT DISTINCT FROM f.lang AND a.g_source IS NOT DISTINCT FROM f.source
-LEFT JOIN t b ON b.level = 1 AND b.n >= {MIN_GROUP} AND b.g_lang IS NOT DISTINCT FROM f.lang
-LEFT JOIN t c ON c.level = 0
+      {", ".join(f"({ratio(k)})::BIGINT AS r_{k}" for k in RATIOS)} FROM c),{t}
+SELECT f.doc_id, {", ".join(f"f.{k}" for k in COUNTS)}, {", ".join(f"f.r_{k}" for k in RATIOS)}, {", ".join(f"t.t_{k}" for k in RATIOS)}, f.base_failed,
+       (NOT f.base_failed AND {" AND ".join(f"f.r_{k} <= t.t_{k}" for k in RATIOS)}) AS kept
+FROM f JOIN t ON t.lang IS NOT DISTINCT FROM f.lang AND t.source IS NOT DISTINCT FROM f.source
 """
 
 

@@ -53,15 +53,49 @@ def test_quality_filter(spark, docs):
     assert quality.filter_quality(docs.limit(0)).collect() == []
 
 
-def test_quality_adapts(spark):
-    """A source with many symbols in every text keeps them; a stray text of that kind elsewhere goes."""
+def kinds():
+    """A maker of texts for each kind: plain, and one that is far out in each ratio."""
     r = random.Random(1)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
-    clean = lambda: " ".join(word() for _ in range(40))
-    table = lambda: " ".join(f"{word()} {'|' * r.randrange(1, 4)}" for _ in range(40))
-    rows = [(k, clean(), "en", "prose") for k in range(300)] + [(1000 + k, table(), "en", "tables") for k in range(300)] + [(5000, "|| " * 20 + table(), "en", "prose")]
+    word = lambda n=5: "".join(r.choice("abcdefgh") for _ in range(n))
+    line = lambda n=40, size=5: " ".join(word(size) for _ in range(n))
+
+    def dup():
+        lines = [line(4) for _ in range(18)]
+        return "\n".join(x for k in range(6) for x in (*lines[3 * k : 3 * k + 3], lines[k]))
+
+    def repeat():
+        phrase = line(r.randrange(14, 17))
+        return f"{line(90)} {phrase} {line(80)} {phrase}"
+
+    return {
+        "plain": line,
+        "symbol": lambda: " ".join(f"{word()} {'|' * r.randrange(1, 4)}" for _ in range(40)),
+        "dup": dup,
+        "repeat": repeat,
+        "word_len": lambda: line(40, 9),
+    }
+
+
+def test_quality_adapts(spark):
+    """In each ratio, a text that is far out goes, but stays in a source where all are like it."""
+    make = kinds()
+    rows = [(1000 * k + n, make[kind](), "en", kind) for k, kind in enumerate(make) for n in range(200)]
+    rows += [(9000 + 10 * k + n, make[kind](), "en", "plain") for k, kind in enumerate(make) if k for n in range(3)]
+    got = {x.doc_id: x for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(x.base_failed for x in got.values())
+    assert all(x.kept for k, x in got.items() if k < 9000) and not any(x.kept for k, x in got.items() if k >= 9000)
+    for k, kind in enumerate(quality.RATIOS, 1):
+        assert got[9000 + 10 * k][f"r_{kind}"] > got[0][f"t_{kind}"] and len({got[1000 * n][f"t_{kind}"] for n in range(5)}) > 1
+
+
+def test_quality_junk_does_not_lift_its_cutoff(spark):
+    """Up to nearly half of a source may be junk; in a small source, its language helps."""
+    make = kinds()
+    rows = [(k, make["plain"](), "en", "good") for k in range(300)]
+    rows += [(1000 + k, make["symbol" if k % 9 < 4 else "plain"](), "en", "dirty") for k in range(300)]
+    rows += [(2000 + k, make["symbol" if k == 0 else "plain"](), "en", "small") for k in range(3)] + [(3000, make["symbol"](), "en", None)]
     got = {x.doc_id: x.kept for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(got[k] for k in range(300)) and all(got[1000 + k] for k in range(300)) and not got[5000]
+    assert got == {k: "|" not in t for k, t, _, _ in rows}
 
 
 def test_quality_is_native(docs):
