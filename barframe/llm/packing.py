@@ -2,11 +2,13 @@
 
 A document's token ids, with an end id after them, are cut into as many pieces of
 max_len as fit, then pieces of falling powers of two, its binary digits. A piece is a
-sequence of its own: sequences of one length form a bucket, none crosses documents and
-none is padded. So packing needs no shuffle at all.
+sequence of its own: sequences of length 2 ** b form bucket b, none crosses documents and
+none is padded. So packing needs no shuffle at all; write_buckets lays the buckets out,
+a folder each, from which batches of one length are read.
 
 Null text: empty, so only the end id. Repeated rows are packed each for itself. A null
-doc_id is carried as null; sequence_id tells such rows apart. Empty table: empty result.
+doc_id is carried as null; sequence_id tells such rows apart. It names a sequence within
+one result, and depends on how that is partitioned. Empty table: empty result.
 Long texts are handled one at a time and emitted in blocks. Other columns are left out.
 """
 
@@ -37,9 +39,10 @@ _BLANKS = re.compile(r"\s{1000}")
 class Tokenizer:
     """The ids of a byte-level BPE vocabulary in a tokenizers file.
 
-    tiktoken merges the same ranks and splits by the same pattern several times faster;
-    the tokenizers library takes texts with long blanks, on which tiktoken's pattern
-    engine runs out of stack.
+    tiktoken merges the same ranks and splits by the same pattern several times faster,
+    and cuts out the marks that the file adds to the vocabulary, as the tokenizers library
+    does; that takes texts with long blanks, on which tiktoken's pattern engine runs out
+    of stack.
     """
 
     def __init__(self, path: str):
@@ -48,21 +51,24 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         split = file["pre_tokenizer"]
         if file["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
             raise ValueError("not a plain byte-level tokenizer")
         of = _bytes_of()
-        ranks = {bytes(map(of.__getitem__, piece)): k for piece, k in file["model"]["vocab"].items()}
-        self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = file["added_tokens"]
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in added):
+            raise ValueError("marks that take in what is around them are not known here")
+        marks = {x["content"]: x["id"] for x in added}
+        ranks = {bytes(map(of.__getitem__, piece)): k for piece, k in file["model"]["vocab"].items() if piece not in marks}
+        self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=marks)
 
     def ids(self, text: str) -> bytes:
         if _BLANKS.search(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
         else:
-            ids = self.fast.encode_ordinary(text)
+            ids = self.fast.encode(text, allowed_special="all")
         return np.asarray(ids, "<u4").tobytes()
 
 
@@ -89,7 +95,7 @@ def cuts(n: int, max_len: int) -> list[int]:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): a row a piece; ids as little-endian unsigned 32-bit."""
+    """(doc_id, start, length, bucket, ids, doc_tokens, sequence_id, offset): a row a piece; ids as little-endian unsigned 32-bit."""
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
     slim = pick(docs, "doc_id", "text")
@@ -122,11 +128,17 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN, end_id: i
                 yield block()
 
     pieces = arrow_map(slim, work, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
-    return pieces.select("doc_id", "start", "length", "ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    bucket = F.log2("length").cast("int").alias("bucket")
+    return pieces.select("doc_id", "start", "length", bucket, "ids", "doc_tokens", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
 def digest(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", "bucket", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write the sequences, a folder for each length: at most log2(max_len) + 1 of them."""
+    packed.write.partitionBy("bucket").parquet(path)
 
 
 def public_path(name: str) -> str:

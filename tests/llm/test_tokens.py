@@ -4,7 +4,7 @@ import struct
 import numpy as np
 import pytest
 
-from barframe.llm.packing import Tokenizer, cuts, digest, op8_packing, pack, public_path
+from barframe.llm.packing import Tokenizer, cuts, digest, op8_packing, pack, public_path, write_buckets
 from barframe.llm.pieces import CharacterMap, Model, encode, model, op5_sentencepiece, round_trip
 
 TEXTS = ["", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n b", "a \nb", "x\t y", "\n\n", "it's we'll  I'd", "<|endoftext|> <s> </s>", "▁x ▁", "日本語 €\U0001f600 é", "a\0b", "ﬁ １ ½", "  hello  world  ", "a  b  c", "x " * 50, "nospace" * 500, "　  x", "é ͅ", "0x41 <0x41> �"]
@@ -16,9 +16,17 @@ def noise(n=300):
 
 
 def test_tokenizer_equals_library():
-    t = Tokenizer(public_path("byte_bpe_50k.json"))
-    for x in [*TEXTS, *noise(), " " * 3000 + "x", "a" + "\n \t" * 1000, "日本" * 2000]:
-        assert np.frombuffer(t.ids(x), "<u4").tolist() == t.library.encode(x, add_special_tokens=False).ids, repr(x)
+    """Against a library as it comes, with the mark that the file adds in many places."""
+    from tokenizers import Tokenizer as Library
+
+    path = public_path("byte_bpe_50k.json")
+    t, library = Tokenizer(path), Library.from_file(path)
+    mark = "<|endoftext|>"
+    r = random.Random(9)
+    marked = ["".join(r.choice([mark, mark[:-1], " ", "  ", "\n", "a", "it's", "é", "<|"]) for _ in range(r.randrange(1, 12))) for _ in range(300)]
+    assert np.frombuffer(t.ids(f"hello {mark} x"), "<u4").tolist() == [31373, 220, 50256, 2124]
+    for x in [*TEXTS, *noise(), *marked, " " * 3000 + "x", " " * 3000 + mark, "a" + "\n \t" * 1000, "日本" * 2000]:
+        assert np.frombuffer(t.ids(x), "<u4").tolist() == library.encode(x, add_special_tokens=False).ids, repr(x)
 
 
 def test_cuts():
@@ -92,7 +100,7 @@ def rows(spark):
     return spark.createDataFrame([(1, "the end of it", "z"), (1, "the end of it", "z"), (None, None, None), (3, "", "z"), (4, "long " * 30000, "z")], "doc_id long, text string, ids string")
 
 
-def test_pack_and_encode_rows(spark):
+def test_pack_and_encode_rows(spark, tmp_path):
     path = public_path("byte_bpe_50k.json")
     got = pack(rows(spark), path).collect()
     assert len({r.sequence_id for r in got}) == len(got) and all(r.offset == 0 for r in got)
@@ -101,7 +109,12 @@ def test_pack_and_encode_rows(spark):
     assert sum(r.length for r in long) == long[0].doc_tokens and all(r.length & (r.length - 1) == 0 for r in long)
     want = Tokenizer(path).library.encode("long " * 30000, add_special_tokens=False).ids + [1]
     assert np.frombuffer(b"".join(bytes(r.ids) for r in long), "<u4").tolist() == want
+    assert all(r.length == 1 << r.bucket for r in got)
     assert digest(pack(rows(spark).limit(0), path)).collect() == []
+    write_buckets(pack(rows(spark), path), str(tmp_path / "out"))
+    for b in {r.bucket for r in got}:
+        one = spark.read.parquet(str(tmp_path / "out" / f"bucket={b}"))
+        assert one.count() == sum(r.bucket == b for r in got) and {len(r.ids) for r in one.collect()} == {4 << b}
     spm = public_path("piece_bpe_32k.model")
     e = encode(rows(spark), spm).collect()
     assert len(e) == 5 and [r.ids for r in e if r.doc_id == 3] == [[1, 2]]
@@ -122,7 +135,6 @@ def test_queries_against_libraries(spark, sf):
         ids = sp.encode(docs[r.doc_id], add_bos=True, add_eos=True)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
     library = Library.from_file(public_path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     got = op8_packing(spark, sf).collect()
     assert {r.doc_id for r in got} == set(docs)
     for r in got:
