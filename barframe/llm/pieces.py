@@ -73,11 +73,17 @@ class CharacterMap:
         n = struct.unpack_from("<I", blob)[0]
         self.units = struct.unpack_from(f"<{n // 4}I", blob, 4)
         self.texts = blob[4 + n :]
+        root = self._jump(self.units[0])
+        #: The bytes that begin a key.
+        self.first = np.array([root ^ c < len(self.units) and self.units[root ^ c] & 0x800000FF == c for c in range(256)])
+
+    @staticmethod
+    def _jump(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest known prefix of data[at:] and its replacement."""
-        units, found = self.units, None
-        jump = lambda u: (u >> 10) << ((u & 512) >> 6)
+        units, found, jump = self.units, None, self._jump
         node = jump(units[0])
         for i in range(at, len(data)):
             node ^= data[i]
@@ -125,48 +131,42 @@ class Model:
 
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
         """The text as the model sees it, and for each of its bytes, and its end, the byte of the source where that began."""
-        data = text.encode("utf-8", "replace")
-        out: list[bytes] = []
-        align: list[int] = []
-
-        def put(new: bytes, start: int, copied: bool) -> None:
-            for c in new.decode("utf-8", "replace"):
-                b = MARK.encode() if c == " " else c.encode()
-                align.extend(range(start, start + len(b)) if copied and c != " " else [start] * len(b))
-                out.append(b)
-
-        at, end = 0, len(data)
-        parts: list[tuple[bytes, int, bool]] = []
-        while at < end:
-            hit = self.map.longest(data, at) if self.map else None
-            if hit:
-                parts.append((hit[1], at, False))
-                at += hit[0]
-            else:
-                n = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
-                parts.append((data[at : at + n], at, True))
-                at += n
+        source = text.encode("utf-8", "replace")
+        data = np.frombuffer(source, np.uint8)
+        at, flat, starts = 0, [], []
+
+        def copy(upto: int) -> None:
+            flat.append(data[at:upto])
+            starts.append(np.arange(at, upto))
+
+        if self.map:
+            # only bytes that begin a key of the map, and a character, can begin a match
+            for k in np.flatnonzero(self.map.first[data] & (data & 0xC0 != 0x80)).tolist():
+                if k >= at and (hit := self.map.longest(source, k)):
+                    copy(k)
+                    new = np.frombuffer(hit[1].decode("utf-8", "replace").encode(), np.uint8)
+                    flat.append(new)
+                    starts.append(np.full(len(new), k))
+                    at = k + hit[0]
+        copy(len(data))
+        new, start = np.concatenate(flat), np.concatenate(starts)
+        space = new == 0x20
         if self.squeeze:
             # leading, trailing and repeated spaces go
-            kept: list[tuple[bytes, int, bool]] = []
-            after_space = True
-            for new, start, copied in parts:
-                if after_space:
-                    new = new.lstrip(b" ")
-                if new:
-                    kept.append((new, start, copied))
-                    after_space = new.endswith(b" ")
-            while kept and (new := kept[-1][0].rstrip(b" ")) != kept[-1][0]:
-                start = kept.pop()[1:]
-                if new:
-                    kept.append((new, *start))
-            parts = kept
-        if self.dummy and parts:
-            put(b" ", parts[0][1], False)
-        for p in parts:
-            put(*p)
-        stop = end
-        return b"".join(out).decode(), np.array([*align, stop], np.int64)
+            keep = ~space
+            keep[1:] |= ~space[:-1]
+            inner = np.flatnonzero(~space)
+            keep[inner[-1] + 1 if len(inner) else 0 :] = False
+            new, start, space = new[keep], start[keep], space[keep]
+        if self.dummy and len(new):
+            new, start, space = np.append(0x20, new), np.append(start[0], start), np.append(True, space)
+        # a space becomes the three bytes of its sign
+        size = np.where(space, 3, 1)
+        out = np.repeat(new, size).astype(np.uint8)
+        where = (np.cumsum(size) - size)[space]
+        for k, byte in enumerate(MARK.encode()):
+            out[where + k] = byte
+        return out.tobytes().decode(), np.append(np.repeat(start, size), len(data))
 
     def merged(self, segment: str) -> list[str]:
         """Byte-pair merging of a segment: the best pair of neighbours first, the leftmost of equals."""
@@ -247,27 +247,15 @@ class Model:
         """Ids without begin and end, and n + 1 bounds: piece k has the source's bytes bounds[k] to bounds[k + 1]."""
         if not text:
             return np.empty(0, "<u4"), np.zeros(1, np.int64)
-        plain = self.map is None and not self.squeeze and self.dummy and MARK not in text
-        if plain and "  " not in text and text[-1] != " ":
-            parts = [MARK + w for w in text.split(" ")]
-            if text[0] == " ":
-                parts[:2] = [MARK + parts[1]]
+        norm, align = self.normalised(text)
+        if norm[:1] == MARK and norm[-1] != MARK and MARK * 2 not in norm:
+            parts = [MARK + w for w in norm[1:].split(MARK)]  # what the pattern finds
         else:
-            norm = f"{MARK}{text}".replace(" ", MARK) if plain else None
-            if norm is None:
-                norm, align = self.normalised(text)
             parts = _SEGMENT.findall(norm)
         known, segment = self.known.get, self.segment
         done = [known(p) or segment(p) for p in parts]
         ids = np.frombuffer(b"".join([d[0] for d in done]), "<u4")
         ends = np.cumsum(np.frombuffer(b"".join([d[1] for d in done]), "<u4"), dtype=np.int64)
-        if plain:
-            # a mark is three bytes and its space one; the mark in front has no source
-            data = np.frombuffer(f"{MARK}{text}".replace(" ", MARK).encode("utf-8", "replace"), np.uint8)
-            marks = np.zeros(len(data) + 1, np.int64)
-            hit = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
-            np.cumsum(hit, out=marks[3 : len(data) + 1])
-            return ids, np.concatenate([[0], ends - 2 * marks[ends] - 1])
         return ids, align[np.concatenate([[0], ends])]
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -85,6 +85,69 @@ def test_character_map_and_alignment():
         assert len(align) == len(norm.encode()) + 1 and (np.diff(align) >= 0).all()
 
 
+def plain_normalised(m, text):
+    """Character by character, with the longest key of a dictionary first."""
+    data, parts, at = text.encode("utf-8", "replace"), [], 0
+    while at < len(data):
+        key = max((k for k in m.keys if data.startswith(k, at)), key=len, default=None)
+        if key:
+            parts += [(c, at, False) for c in m.keys[key].decode()]
+            at += len(key)
+        else:
+            n = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
+            parts.append((data[at : at + n].decode(), at, True))
+            at += n
+    if m.squeeze:
+        parts = [p for k, p in enumerate(parts) if p[0] != " " or k and parts[k - 1][0] != " "]
+        while parts and parts[-1][0] == " ":
+            parts.pop()
+    if m.dummy and parts:
+        parts.insert(0, (" ", parts[0][1], False))
+    norm = "".join("▁" if c == " " else c for c, *_ in parts)
+    return norm, [*(start + k if copied and c != " " else start for c, start, copied in parts for k in range(3 if c == " " else len(c.encode()))), len(data)]
+
+
+def trie(keys):
+    """A compiled map of these keys, laid out with a block of 256 units for each node."""
+    nodes, texts = {b"": 0}, b""
+    for k in sorted(keys):
+        for n in range(1, len(k) + 1):
+            nodes.setdefault(k[:n], len(nodes))
+    base = {p: 256 * (2 * j + 1) for p, j in nodes.items()}
+    units = [255] * (256 * (2 * len(nodes) + 2))  # a label that no text has
+    units[0] = base[b""] << 10
+    for p in nodes:
+        if p:
+            at = base[p[:-1]] ^ p[-1]
+            units[at] = p[-1] | (p in keys) << 8 | (at ^ base[p]) << 10
+        if p in keys:
+            units[base[p]] = 1 << 31 | len(texts)
+            texts += keys[p] + b"\0"
+    return struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + texts
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+@pytest.mark.parametrize("dummy", [False, True])
+@pytest.mark.parametrize("keys", [{}, {b"a": b"a"}, {b"a": b"bc", b"ab": b" ", "é".encode(): b"e", b"th": "▁x".encode(), b"\t": b" ", b"\n": b"", "日".encode(): "本本".encode(), b"  ": b"q"}])
+def test_normalised_against_plain(keys, squeeze, dummy):
+    m = Model.__new__(Model)
+    m.keys, m.squeeze, m.dummy = keys, squeeze, dummy
+    m.map = CharacterMap(trie(keys)) if keys else None
+    for x in [*TEXTS, *noise(200)]:
+        norm, align = m.normalised(x)
+        assert (norm, align.tolist()) == plain_normalised(m, x), repr(x)
+
+
+def test_identity_map_changes_nothing():
+    """The model as it is, and with a map of each letter to itself: same ids, same spans."""
+    path = public_path("piece_bpe_32k.model")
+    m, same = model(path), Model(open(path, "rb").read())
+    same.map = CharacterMap(trie({bytes([c]): bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz "}))
+    for x in [*TEXTS, *noise(100)]:
+        (ids, bounds), (also, spans) = m.encode(x), same.encode(x)
+        assert ids.tolist() == also.tolist() and bounds.tolist() == spans.tolist(), repr(x)
+
+
 def test_character_map_by_hand():
     """A trie made by hand: one key, the byte A, which becomes bc."""
     units = [0] * 512
