@@ -2,12 +2,18 @@
 
 A tree builder reads tags, text, comments and raw-text elements, opens the implied html,
 head and body, closes elements that a new tag implies to be closed (a paragraph before a
-block, a list item before the next, table parts) and ignores end tags without a match.
-Rendering walks the visible tree: elements that never show, the attribute hidden, and
-the inline style display: none hide their content, a closed details element all but its
-summary; visibility: hidden is inherited until an element inside is visible. Blocks stand on lines of their own, paragraphs and
-headings apart by an empty line; list items have bullets or numbers and are indented by
-depth; cells of a table are aligned in columns by display width; pre keeps its spaces.
+block, a list item before the next, table parts) and ignores end tags without a match and
+table parts without a table. What a table can't hold goes before it. For each name it
+keeps where the open elements of that name are, so that a tag costs the same however many
+are open. Rendering walks the visible tree: elements that never show, the attribute
+hidden, and the inline style display: none hide their content, a closed details element
+all but its summary; visibility: hidden is inherited until an element inside is visible.
+Blocks stand on lines of their own, paragraphs and headings apart by an empty line; list
+items have bullets or numbers and are indented by depth; cells of a table are aligned in
+columns by display width; pre keeps its spaces. Of a drop-down list the chosen option
+shows, of a list with several rows all options; of an input of text, its value; of
+formulas the text, without annotations; of drawings their text elements. Style sheets
+don't count, only inline styles.
 
 Null or empty html: empty text. Ill-formed markup, such as an unclosed tag, still gives a
 text. Deep nesting is walked without recursion. Repeated rows give equal rows, a null
@@ -32,11 +38,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style xmp iframe noembed noframes plaintext".split())
 ESCAPABLE = frozenset("textarea title".split())
 HEAD = frozenset("base link meta title style script template noscript".split())
-NEVER_SHOWN = frozenset("head script style template noscript title iframe object video audio canvas svg math datalist noembed noframes area param rp select".split())
+NEVER_SHOWN = frozenset("head script style template noscript title iframe object video audio canvas datalist noembed noframes area param rp annotation annotation-xml desc metadata defs".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p pre search section summary table ul".split())
 APART = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul menu".split())
 ENDS_P = BLOCK - frozenset("body html legend li dd dt".split()) | {"li", "dd", "dt"}
 SECTIONS = frozenset("thead tbody tfoot".split())
+#: What may stand in a table outside its cells, and inputs that show their value.
+IN_TABLE = SECTIONS | frozenset("caption colgroup col tr td th script style template".split())
+VALUED = frozenset("text search url tel email number date month week time datetime-local submit button reset".split())
+#: The most columns and rows that a cell spans.
+MOST_WIDE, MOST_HIGH = 1000, 65534
+_TABLE, _CELLS = frozenset(("table",)), frozenset(("table", "td", "th", "caption"))
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|(?P<comment>.*?)(?:-->|--!>|\Z))"
@@ -58,29 +70,69 @@ class Node:
         self.name, self.attrs, self.children = name, attrs, []
 
 
+class Stack:
+    """The open elements; the first two are html and body. at: where those of each name are."""
+
+    def __init__(self, root: Node):
+        self.open = [root]
+        self.at: dict[str, list[int]] = {}
+
+    def top(self) -> Node:
+        return self.open[-1]
+
+    def push(self, n: Node) -> None:
+        self.at.setdefault(n.name, []).append(len(self.open))
+        self.open.append(n)
+
+    def cut(self, size: int) -> None:
+        """Close all but the first size elements."""
+        while len(self.open) > size:
+            self.at[self.open.pop().name].pop()
+
+    def nearest(self, names: Iterable[str]) -> int:
+        """Where the nearest open element of names is, 0 if there is none."""
+        return max((x[-1] for n in names if (x := self.at.get(n))), default=0)
+
+    def close(self, names: Iterable[str], stop: Iterable[str] = ()) -> bool:
+        """Close the nearest open element of names, unless one of stop is nearer."""
+        k = self.nearest(names)
+        if not k or k < self.nearest(stop):
+            return False
+        self.cut(k)
+        return True
+
+    def clear(self, names: Iterable[str]) -> None:
+        """Close what is open in the nearest element of names."""
+        self.cut(self.nearest(names) + 1)
+
+
 def parse(html: str) -> Node:
     """The tree below an html element; children are nodes and strings."""
     root = Node("html", {})
     head, body = Node("head", {}), Node("body", {})
     root.children = [head, body]
-    stack: list[Node] = [root]
+    stack = Stack(root)
     in_body = False
 
     def enter_body() -> None:
         nonlocal in_body
         if not in_body:
             in_body = True
-            stack[:] = [root, body]
+            stack.open = [root, body]
 
-    def pop_to(names: Iterable[str], stop: frozenset[str]) -> bool:
-        """Close the nearest open element of names, unless one of stop is nearer."""
-        for k in range(len(stack) - 1, 1, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return True
-            if stack[k].name in stop:
-                return False
-        return False
+    def place(x: Node | str) -> None:
+        """Append to what is open; before the table, if that is a table outside its cells."""
+        on = stack.top()
+        if on.name not in ("table", "tr", *SECTIONS) or (x.strip(" \t\n\r\f") == "" if isinstance(x, str) else x.name in IN_TABLE or (x.name == "input" and x.attrs.get("type", "").lower() == "hidden")):
+            on.children.append(x)
+            return
+        k = stack.nearest(_TABLE)
+        if not k:
+            on.children.append(x)
+            return
+        around, before = stack.open[k - 1].children, stack.open[k]
+        # an open table is the last child, but for what this put before it
+        around.insert(len(around) - 1 if around and around[-1] is before else len(around), x)
 
     def text(s: str) -> None:
         if s:
@@ -88,7 +140,7 @@ def parse(html: str) -> Node:
                 if not s.strip(" \t\n\r\f"):
                     return
                 enter_body()
-            stack[-1].children.append(s)
+            place(s)
 
     at, size = 0, len(html)
     while at < size:
@@ -109,20 +161,21 @@ def parse(html: str) -> Node:
                     enter_body()
             elif name == "br":
                 enter_body()
-                stack[-1].children.append(Node("br", {}))
+                place(Node("br", {}))
             elif name == "p":
                 enter_body()
-                if not pop_to(("p",), frozenset(("table", "td", "th", "caption"))):
-                    stack[-1].children.append(Node("p", {}))
+                if not stack.close(("p",), _CELLS):
+                    place(Node("p", {}))
             elif name in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                pop_to(("h1", "h2", "h3", "h4", "h5", "h6"), frozenset(("table", "td", "th")))
+                stack.close(("h1", "h2", "h3", "h4", "h5", "h6"), ("table", "td", "th"))
             elif name in ("table", "tr", "td", "th", "caption", "thead", "tbody", "tfoot"):
-                pop_to((name,), frozenset() if name == "table" else frozenset(("table",)))
+                stack.close((name,), () if name == "table" else _TABLE)
             else:
-                pop_to((name,), frozenset(("table", "td", "th", "caption")))
+                stack.close((name,), _CELLS)
             continue
         attrs: dict[str, str] = {}
-        if raw := m["attrs"].strip():
+        raw = m["attrs"].strip()
+        if raw:
             for a in _ATTR.finditer(raw):
                 attrs.setdefault(a[1].lower(), unescape(a[2] or a[3] or a[4] or ""))
         if name in ("html", "body", "head"):
@@ -132,36 +185,32 @@ def parse(html: str) -> Node:
                 enter_body()
             continue
         node = Node(name, attrs)
+        foreign = bool(stack.nearest(("svg", "math"))) or name in ("svg", "math")
         if not in_body and name in HEAD:
             head.children.append(node)
         else:
             enter_body()
-            open_cell = frozenset(("td", "th", "caption", "table"))
             if name in ENDS_P:
-                pop_to(("p",), frozenset(("button", "table", "td", "th", "caption")))
+                stack.close(("p",), ("button", *_CELLS))
             if name == "li":
-                pop_to(("li",), frozenset(("ul", "ol", "menu", "dir")) | open_cell)
+                stack.close(("li",), ("ul", "ol", "menu", "dir", *_CELLS))
             elif name in ("dt", "dd"):
-                pop_to(("dt", "dd"), frozenset(("dl",)) | open_cell)
+                stack.close(("dt", "dd"), ("dl", *_CELLS))
             elif name in ("option", "optgroup"):
-                pop_to(("option",) if name == "option" else ("option", "optgroup"), frozenset(("select", "datalist")))
-            elif name in ("td", "th"):
-                pop_to(("td", "th", "caption"), frozenset(("tr", "table")))
-            elif name == "tr":
-                pop_to(("tr", "caption", "colgroup"), frozenset(("table", "thead", "tbody", "tfoot")))
-            elif name in SECTIONS or name in ("caption", "colgroup"):
-                pop_to((*SECTIONS, "caption", "colgroup", "tr"), frozenset(("table",)))
-                if stack[-1].name in SECTIONS:
-                    stack.pop()
-            elif re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", stack[-1].name):
-                stack.pop()
-            if name in ("td", "th") and stack[-1].name in ("table", *SECTIONS):
+                stack.close(("option",) if name == "option" else ("option", "optgroup"), ("select", "datalist"))
+            elif name in ("td", "th", "tr", "caption", "colgroup", "col", *SECTIONS):
+                if not stack.nearest(_TABLE):
+                    continue
+                stack.clear(("table", "tr", *SECTIONS) if name in ("td", "th") else ("table", *SECTIONS) if name == "tr" else ("table", "colgroup") if name == "col" else _TABLE)
+            elif re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", stack.top().name):
+                stack.cut(len(stack.open) - 1)
+            if name in ("td", "th") and stack.top().name in ("table", *SECTIONS):
                 row = Node("tr", {})
-                stack[-1].children.append(row)
-                stack.append(row)
-            stack[-1].children.append(node)
-            if name not in VOID and name not in RAW and name not in ESCAPABLE:
-                stack.append(node)
+                place(row)
+                stack.push(row)
+            place(node)
+            if name not in VOID and name not in RAW and name not in ESCAPABLE and not (foreign and raw.endswith("/")):
+                stack.push(node)
         if name in RAW or name in ESCAPABLE or (name in ("template", "noscript") and not in_body):
             close = re.compile(f"</{name}(?=[\\s/>])[^>]*>?|</{name}\\Z", re.I).search(html, at)
             inner = html[at : close.start() if close else size]
@@ -183,6 +232,40 @@ def visibility(n: Node, inherited: str) -> str:
     return "visible" if value == "initial" else inherited if value in ("inherit", "unset", "revert") else value
 
 
+def _options(n: Node) -> list[str]:
+    """What shows of a select: of a drop-down the chosen option, else the first; of a list all options."""
+    found: list[Node] = []
+    todo = list(reversed(n.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and not hidden(x):
+            if x.name == "option":
+                found.append(x)
+            else:
+                todo.extend(reversed(x.children))
+    several = "multiple" in n.attrs or (re.fullmatch(r"\d{1,9}", rows := n.attrs.get("size", "")) and int(rows) > 1)
+    if not several:
+        chosen = [x for x in found if "selected" in x.attrs][-1:]
+        found = chosen or [x for x in found if "disabled" not in x.attrs][:1] or found[:1]
+    labels = (x.attrs.get("label") or "".join(c for c in x.children if isinstance(c, str)) for x in found)
+    return [y for x in labels if (y := x.strip(" \t\n\r\f"))]
+
+
+def _drawn(n: Node) -> list[Node | str]:
+    """The text elements of a drawing, a space between them, and foreign content."""
+    out: list[Node | str] = []
+    todo = list(reversed(n.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or hidden(x):
+            continue
+        if x.name in ("text", "foreignobject"):
+            out += [" ", x, " "]
+        else:
+            todo.extend(reversed(x.children))
+    return out
+
+
 def width(s: str) -> int:
     """Columns that a text takes: wide characters two, combining marks none."""
     if s.isascii():
@@ -292,9 +375,16 @@ def render(top: Node) -> str:
                 page.word(f" {alt} ")
             continue
         if name == "input":
-            if shown and n.attrs.get("type", "text").lower() in ("submit", "button", "reset") and n.attrs.get("value"):
+            if shown and (n.attrs.get("type", "").lower() or "text") in VALUED and n.attrs.get("value"):
                 page.word(f" {n.attrs['value']} ")
             continue
+        if name == "select":
+            for label in _options(n):
+                if shown:
+                    page.word(f" {label} ")
+            continue
+        if name == "svg":
+            children = _drawn(n)
         if name == "table":
             seen.append(state)
             later(seen.pop)
@@ -346,6 +436,11 @@ def render(top: Node) -> str:
     return pages[0].text()
 
 
+def _number(n: Node, name: str, usual: int) -> int:
+    found = re.match(r"[ \t\n\r\f]*\+?(\d{1,9})", n.attrs.get(name, ""))
+    return int(found[1]) if found else usual
+
+
 def _table(n: Node, pages: list[Page], later, todo: list, seen: list[str]) -> None:
     """Render each cell on a page of its own, then set the cells in columns."""
     outer = pages[-1]
@@ -384,35 +479,36 @@ def _table(n: Node, pages: list[Page], later, todo: list, seen: list[str]) -> No
     texts: dict[tuple[int, int], list[str]] = {}
 
     def finish() -> None:
-        grid: dict[tuple[int, int], list[str]] = {}
-        spans: dict[tuple[int, int], int] = {}
-        taken: set[tuple[int, int]] = set()
+        grid: list[dict[int, list[str]]] = []
+        widths: dict[int, int] = {}
+        taken: dict[int, int] = {}  # the row from which each column is free
         for y, row in enumerate(rows):
+            grid.append({})
             x = 0
             for k, cell in enumerate(row):
-                while (y, x) in taken:
+                while taken.get(x, 0) > y:
                     x += 1
-                wide, high = (min(int(v), 1000) if re.fullmatch(r"[1-9]\d{0,3}", v := cell.attrs.get(a, "1")) else 1 for a in ("colspan", "rowspan"))
-                for dy in range(min(high, len(rows) - y)):
-                    taken.update((y + dy, x + dx) for dx in range(wide))
-                grid[y, x], spans[y, x] = texts[y, k], wide
+                wide = min(max(1, _number(cell, "colspan", 1)), MOST_WIDE)
+                high = min(_number(cell, "rowspan", 1), MOST_HIGH) or len(rows)
+                if high > 1:
+                    taken |= dict.fromkeys(range(x, x + wide), y + high)
+                grid[y][x] = lines = texts[y, k]
+                if wide == 1:
+                    widths[x] = max(widths.get(x, 0), *(width(s) for s in lines), 0)
                 x += wide
-        widths: dict[int, int] = {}
-        for (y, x), lines in grid.items():
-            if spans[y, x] == 1:
-                widths[x] = max(widths.get(x, 0), *(width(s) for s in lines), 0)
-        columns = max((x for _, x in grid), default=-1) + 1
-        for y in range(len(rows)):
-            cells = {x: grid[y, x] for x in range(columns) if (y, x) in grid}
+        begin, due = [], 0
+        for x in range(max((x for row in grid for x in row), default=-1) + 1):
+            begin.append(due)
+            due += widths.get(x, 0) + 2
+        for cells in grid:
             for k in range(max((len(c) for c in cells.values()), default=0)):
-                line, place, due = "", 0, 0
-                for x in range(columns):
-                    if x in cells and k < len(cells[x]) and cells[x][k]:
+                line, place, late = "", 0, 0
+                for x, lines in cells.items():
+                    if k < len(lines) and lines[k]:
                         if line:
-                            due = max(due, place + 1)
-                        line += " " * (due - place) + cells[x][k]
-                        place = due + width(cells[x][k])
-                    due += widths.get(x, 0) + 2
+                            late = max(late, place + 1 - begin[x])
+                        line += " " * (begin[x] + late - place) + lines[k]
+                        place = begin[x] + late + width(lines[k])
                 if line.strip():
                     outer._put(line)
                     outer.close()

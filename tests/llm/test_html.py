@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -29,9 +30,45 @@ CASES = [
     ("</div></p>x</span>", "x"),
     ("<a href='x>y'>l</a><img alt='pic'>", "l pic"),
     ("<textarea>\n<b>x</textarea>", "<b>x"),
-    ("<select><option>a<option>b</select>z", "z"),
+    ("<select><option>a<option>b</select>z", "a z"),
 ]
 
+SHOWN = [
+    ("<select><option>a<option selected>b<optgroup label=g><option>c</select>z", "b z"),
+    ("<select><option disabled>pick<option>b</select>", "b"),
+    ("<select multiple><option>a<optgroup><option label='b!'>b</select>", "a b!"),
+    ("<select size=3><option>a<option hidden>no<option>c</select>", "a c"),
+    ("<select></select>x<datalist><option>no</datalist>", "x"),
+    ("<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> y", "x=2 y"),
+    ("a<svg><title>no</title><path d='M0'/><g><text x=1>Ax<tspan>is</tspan></text><text>B</text></g><desc>no</desc></svg>b", "a Axis B b"),
+    ("<svg><circle/><circle/></svg><p>after", "after"),
+    ("<input value=typed><input type=text value=more><input type=password value=no><input type=hidden value=no><input type=checkbox value=no><input type=submit value=Go>", "typed more Go"),
+    ("<table>stray<tr><td>c</table>after", "stray\n\nc\n\nafter"),
+    ("<table><tr>one<td>c<div>d</div></td>two</table>", "onetwo\n\nc\nd"),
+    ("<table><div>x<tr><td>c</div>d</table>", "x\n\ncd"),
+    ("<table><tr><td>a <table>in<tr><td>b</table></table>", "a in\n\nb"),
+    ("<tr><td>no table</td></tr>x", "no tablex"),
+    ("<table><tr><td colspan=70000>w<td>x<tr><td rowspan=00002>a<td>b<tr><td>c</table>", "w" + " " * 2000 + "x\na  b\n   c"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+    ("<table><tr><td colspan=2>ab cd ef<td>z<tr><td>1<td>2<td>3</table>", "ab cd ef z\n1  2  3"),
+]
+
+
+@pytest.mark.parametrize("html,want", SHOWN)
+def test_all_that_shows(html, want):
+    assert render(parse(html)) == want
+
+
+def test_broken_pages_take_linear_time():
+    """Tags without a match cost the same however many elements are open."""
+    for page in (lambda n: "<div>" * n + "</span>" * n, lambda n: "<div><table><tr><td>" + "<span>" * n + "</div>" * n + "x", lambda n: "<p>" + "<b>" * n + "<li>" * n + "x", lambda n: "<table>" + "<div>s" * n):
+        took = []
+        for n in (4000, 32000):
+            t = time.perf_counter()
+            parse(page(n))
+            took.append(time.perf_counter() - t)
+        assert took[1] < 40 * took[0] + 0.5, took
+
 
 @pytest.mark.parametrize("html,want", CASES)
 def test_render(html, want):
