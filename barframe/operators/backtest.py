@@ -1,112 +1,144 @@
-"""A long/flat backtest with fills at the next open; a symbol's account is a recursion over its bars.
-
-Signals that have a window form come from functions.features. Wilder's RSI and the
-account are recursive, so each symbol's bars meet in one task, in order, in bounded
-batches of Arrow rows; symbols run in parallel, and the equity of a portfolio is a sum by
-timestamp.
+"""A long/flat backtest with fills at the next open, in window functions only.
+
+Wilder's averages are an exponential filter of the rises and falls. A filter over a run of
+BLOCK bars is a sum with growing weights, scaled back; what came before a run fades by
+FADE ** BLOCK for each run further back, so RUNS runs hold all that a double can. Runs of
+one symbol are worked on in parallel. A target changes where strength reaches a bound and
+holds in between. An account changes only where it fills: a purchase divides what it is
+worth by the price, a sale multiplies, so it is the product of its fills.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import log
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import invalid_data, invalid_input
-from ..functions.features import misaligned, momentum_signal, sma_signal
+from ..functions.features import momentum_signal, sma_signal
 
 CASES = ("rsi", "sma", "momentum")
 PERIOD, BUY, SELL = 14, 30, 70
-_ACCOUNT = "symbol string, ts long, equity double, side string, price double, quantity double, fee double, cash_after double, units_after double, pending boolean"
-
-
-class Wilder:
-    """RSI by Wilder's smoothing, seeded with the mean of the first changes; a target with hysteresis."""
-
-    def __init__(self):
-        self.before: int | None = None
-        self.seen, self.up, self.down, self.target = 0, 0.0, 0.0, False
-
-    def step(self, close: int) -> bool:
-        if self.before is not None:
-            rise, fall = float(max(close - self.before, 0)), float(max(self.before - close, 0))
-            self.seen += 1
-            if self.seen > PERIOD:
-                self.up, self.down = (self.up * (PERIOD - 1) + rise) / PERIOD, (self.down * (PERIOD - 1) + fall) / PERIOD
-            else:
-                self.up, self.down = self.up + rise, self.down + fall
-                if self.seen == PERIOD:
-                    self.up, self.down = self.up / PERIOD, self.down / PERIOD
-            if self.seen >= PERIOD:
-                both = self.up + self.down
-                strength = 100 * self.up / both if both else 50.0
-                self.target = strength <= BUY or (self.target and strength < SELL)
-        self.before = close
-        return self.target
-
-
-def _accounts(case: str, cash: float, scale: int, fee: float, slippage: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        money, units, pending, last, rsi = cash, 0.0, False, None, Wilder()
-        for bars in frames:
-            out = []
-            for symbol, ts, opened, close, wanted in zip(bars.symbol, bars.ts, bars.open, bars.close, bars.desired, strict=True):
-                if last is not None and ts <= last:
-                    raise invalid_data("bars overlap or are out of order")
-                if opened <= 0 or close <= 0:
-                    raise invalid_data("prices must be positive")
-                last = ts
-                fill = (None, None, None, None)
-                if pending != bool(units):
-                    price = opened / scale * (1 + slippage if pending else 1 - slippage)
-                    if pending:
-                        units = money / (price * (1 + fee))
-                        fill = ("buy", price, units, units * price * fee)
-                        money = 0.0
-                    else:
-                        cost = units * price * fee
-                        fill = ("sell", price, units, cost)
-                        money, units = units * price - cost, 0.0
-                pending = rsi.step(int(close)) if case == "rsi" else bool(wanted)
-                out.append((symbol, ts, money + units * (close / scale), *fill, money, units, pending))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ACCOUNT.split(", ")])
-
-    return run
+BLOCK, RUNS, FADE = 256, 3, 1 - 1 / PERIOD
+#: Time of a bucket of the equity curve, whose peaks are found apart: 30 days of milliseconds.
+BUCKET = 30 * 86_400_000
+
+
+def strength(bars: DataFrame) -> DataFrame:
+    """bars (symbol, ts, close, ...) with rsi: null before PERIOD changes, 50 while nothing has moved."""
+    by_time = Window.partitionBy("symbol").orderBy("ts")
+    change = F.col("close") - F.lag("close").over(by_time)
+    rows = bars.withColumn("_n", F.row_number().over(by_time) - 1).withColumn("_change", F.coalesce(change, F.lit(0)).cast("double"))
+    rows = rows.withColumn("_run", F.floor(F.col("_n") / BLOCK)).withColumn("_place", F.col("_n") % BLOCK)
+    seed = Window.partitionBy("symbol").orderBy("ts").rowsBetween(1 - PERIOD, 0)
+    so_far = Window.partitionBy("symbol", "_run").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    scale = F.pow(F.lit(FADE), F.col("_place"))
+    sides = {"_up": F.greatest("_change", F.lit(0.0)), "_down": F.greatest(-F.col("_change"), F.lit(0.0))}
+    for k, moved in sides.items():
+        # the first average is a plain mean; from then on each bar adds its share
+        rows = rows.withColumn(k, moved)
+        rows = rows.withColumn(f"{k}_in", F.when(F.col("_n") > PERIOD, F.col(k) / PERIOD).when(F.col("_n") == PERIOD, F.sum(k).over(seed) / PERIOD).otherwise(0.0))
+    for k in sides:
+        rows = rows.withColumn(k, scale * F.sum(F.col(f"{k}_in") / scale).over(so_far))
+    ends = rows.groupBy("symbol", "_run").agg(*(F.max_by(k, "_n").alias(f"{k}_end") for k in sides))
+    runs = Window.partitionBy("symbol").orderBy("_run")
+    before = lambda k: sum(F.coalesce(F.lag(f"{k}_end", j).over(runs), F.lit(0.0)) * FADE ** (BLOCK * (j - 1)) for j in range(1, RUNS + 1))
+    carried = ends.select("symbol", "_run", *(before(k).alias(f"{k}_before") for k in sides))
+    rows = rows.join(carried, ["symbol", "_run"])
+    up, down = (F.col(k) + scale * FADE * F.col(f"{k}_before") for k in sides)
+    # where all has faded, nothing has moved for long, and the strength is as it was
+    moving = F.when((F.col("_n") >= PERIOD) & (up + down > 0), 100 * up / (up + down))
+    held = F.last(moving, ignorenulls=True).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select(*bars.columns, F.when(F.col("_n") >= PERIOD, F.coalesce(held, F.lit(50.0))).alias("rsi"))
+
+
+def rsi_signal(rsi: Column | str) -> Column:
+    """On from BUY or less until SELL or more."""
+    rsi = F.col(rsi) if isinstance(rsi, str) else rsi
+    turn = F.when(rsi <= BUY, True).when(rsi >= SELL, False)
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return F.coalesce(F.last(turn, ignorenulls=True).over(w), F.lit(False))
+
+
+def _desired(bars: DataFrame, case: str) -> DataFrame:
+    if case == "rsi":
+        return strength(bars).withColumn("desired", rsi_signal("rsi")).drop("rsi")
+    return bars.withColumn("desired", {"sma": sma_signal, "momentum": momentum_signal}[case](["symbol"]))
+
+
+def checked(bars: DataFrame) -> int:
+    """The number of symbols; bars that repeat, differ in their times or have no price are an error. One aggregate."""
+    times = F.sum(F.xxhash64("ts").cast("decimal(38,0)"))
+    found = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.count_distinct("ts").alias("times"), times.alias("mark"), F.min(F.least("open", "close")).alias("low"))
+    total = found.agg(F.count("*").alias("symbols"), F.bool_or(F.col("n") != F.col("times")).alias("repeats"), F.count_distinct("n", "mark").alias("kinds"), F.min("low").alias("low")).first()
+    if not total.symbols:
+        raise invalid_input("a backtest needs bars")
+    if total.repeats:
+        raise invalid_data("a symbol has two bars of one time")
+    if total.kinds > 1:
+        raise invalid_data("the symbols' bars must have the same times; none are filled in")
+    if total.low <= 0:
+        raise invalid_data("a price is zero or less")
+    return total.symbols
 
 
 def accounts(bars: DataFrame, case: str, scale: int, capital: float = 100_000.0, fee_bps: float = 10.0, slippage_bps: float = 1.0) -> DataFrame:
-    """A row a bar: equity, the fill at its open if any, and the account after it. bars: (symbol, ts, open, close)."""
-    if case not in CASES:
-        raise invalid_input(f"unknown case {case}")
-    if scale <= 0 or capital <= 0 or fee_bps < 0 or not 0 <= slippage_bps < 10_000:
-        raise invalid_input("invalid portfolio parameters")
-    symbols = [r.symbol for r in bars.select("symbol").distinct().collect()]
-    if not symbols:
-        raise invalid_input("no symbols")
-    if not misaligned(bars, len(symbols)).isEmpty():
-        raise invalid_data("all symbols must have the same timestamps; nothing is filled forward")
-    desired = {"sma": sma_signal, "momentum": momentum_signal}[case](["symbol"]) if case != "rsi" else F.lit(False)
-    rows = bars.select("symbol", "ts", "open", "close", desired.alias("desired"))
-    run = _accounts(case, capital / len(symbols), scale, fee_bps / 10_000, slippage_bps / 10_000)
+    """A row a bar: equity, the fill at its open if any, the account after it, and the target for the next open.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        return next(run(iter([frame.sort_values("ts")])))
-
-    return rows.groupBy("symbol").applyInPandas(one, _ACCOUNT)
+    bars: (symbol, ts, open, close). Symbols share the capital and have accounts of their own.
+    """
+    if case not in CASES:
+        raise invalid_input(f"no such case: {case}")
+    if min(scale, capital) <= 0 or fee_bps < 0 or not 0 <= slippage_bps < 10_000:
+        raise invalid_input("scale and capital must be positive, costs not negative, slippage below the price")
+    bars = bars.select("symbol", "ts", "open", "close")
+    share, fee, slip = capital / checked(bars), fee_bps / 10_000, slippage_bps / 10_000
+    w = Window.partitionBy("symbol").orderBy("ts")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = _desired(bars, case).withColumn("held", F.coalesce(F.lag("desired").over(w), F.lit(False)))
+    rows = rows.withColumn("filled", F.col("held") != F.coalesce(F.lag("held").over(w), F.lit(False)))
+    price = F.col("open") / scale * F.when(F.col("held"), 1 + slip).otherwise(1 - slip)
+    # the logarithm of what a fill makes of an account: money to units, or units to money
+    factor = F.when(~F.col("filled"), 0.0).when(F.col("held"), -F.log(price) - log(1 + fee)).otherwise(F.log(price) + (log(1 - fee) if fee < 1 else float("-inf")))
+    rows = rows.withColumn("price", F.when(F.col("filled"), price)).withColumn("_factor", factor).withColumn("_sum", F.sum("_factor").over(so_far))
+    worth, before = F.lit(share) * F.exp("_sum"), F.lit(share) * F.exp(F.col("_sum") - F.col("_factor"))
+    units = F.when(F.col("filled"), F.when(F.col("held"), worth).otherwise(before))
+    return rows.select(
+        "symbol", "ts", F.when(F.col("held"), worth * (F.col("close") / scale)).otherwise(worth).alias("equity"),
+        F.when(F.col("filled"), F.when(F.col("held"), "buy").otherwise("sell")).alias("side"), "price", units.alias("quantity"), (units * F.col("price") * fee).alias("fee"),
+        F.when(F.col("held"), 0.0).otherwise(worth).alias("cash_after"), F.when(F.col("held"), worth).otherwise(0.0).alias("units_after"), F.col("desired").alias("pending"),
+    )
 
 
 def curve(account: DataFrame) -> DataFrame:
-    """(ts, equity, peak, drawdown) of the portfolio."""
-    total = account.groupBy("ts").agg(F.sum("equity").alias("equity"))
-    peak = F.max("equity").over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return total.select("ts", "equity", peak.alias("peak")).withColumn("drawdown", 1 - F.col("equity") / F.col("peak"))
+    """(ts, equity, peak, drawdown) of the portfolio: peaks of buckets of time first, then within each."""
+    total = account.groupBy("ts").agg(F.sum("equity").alias("equity")).withColumn("_bucket", F.floor(F.col("ts") / BUCKET))
+    tops = total.groupBy("_bucket").agg(F.max("equity").alias("_top"))
+    # a row for 30 days: the one window without a partition
+    tops = tops.select("_bucket", F.max("_top").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = F.max("equity").over(Window.partitionBy("_bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    rows = total.withColumn("_within", within).join(tops, "_bucket")
+    peak = F.greatest("_within", "_before")
+    return rows.select("ts", "equity", peak.alias("peak"), (1 - F.col("equity") / peak).alias("drawdown"))
 
 
 def summary(account: DataFrame, case: str, capital: float = 100_000.0) -> DataFrame:
-    last = account.groupBy("symbol").agg(F.max_by("equity", "ts").alias("equity"), F.count("*").alias("rows"), F.sum(F.when(F.col("side").isNotNull(), 1).otherwise(0)).alias("fills"), F.sum(F.when(F.col("side") == "sell", 1).otherwise(0)).alias("round_trips"), F.coalesce(F.sum("fee"), F.lit(0.0)).alias("fees"))
-    total = last.agg(F.sum("rows").alias("rows"), F.sum("equity").alias("final_equity"), F.sum("fills").cast("long").alias("fills"), F.sum("round_trips").cast("long").alias("completed_round_trips"), F.sum("fees").alias("fees"))
+    """One row: what became of the capital, fills, positions open at the end and targets that wait for a next open."""
+    last = lambda c: F.max_by(c, "ts")
+    sides = lambda s: F.count_if(F.col("side").isin(s))
+    each = account.groupBy("symbol").agg(last("equity").alias("equity"), last(F.col("units_after") > 0).alias("open"), last(F.col("pending") != (F.col("units_after") > 0)).alias("waits"), F.count("*").alias("rows"), sides(["buy", "sell"]).alias("fills"), sides(["sell"]).alias("sales"), F.sum("fee").alias("fees"))
+    total = each.agg(F.sum("rows").alias("rows"), F.sum("equity").alias("final_equity"), F.sum("fills").alias("fills"), F.sum("sales").alias("completed_round_trips"), F.coalesce(F.sum("fees"), F.lit(0.0)).alias("fees"), F.count_if("open").alias("open_positions"), F.count_if("waits").alias("pending_targets"))
     worst = curve(account).agg(F.max("drawdown").alias("max_drawdown"))
     one = F.lit(1).alias("one")
-    return total.select(one, "*").join(worst.select(one, "*"), "one").select(F.lit(case).alias("case"), "rows", "final_equity", (F.col("final_equity") / capital - 1).alias("return_fraction"), "max_drawdown", "fills", "completed_round_trips", "fees")
+    return total.select(one, "*").join(worst.select(one, "*"), "one").select(F.lit(case).alias("case"), "rows", "final_equity", (F.col("final_equity") / capital - 1).alias("return_fraction"), "max_drawdown", "fills", "completed_round_trips", "fees", "open_positions", "pending_targets")
+
+
+def digest(account: DataFrame) -> DataFrame:
+    """(fills, curve): sums of hashes of the fills, and of the equity of each time, to 6 digits; equal runs have equal digests."""
+    six = lambda c: F.format_string("%.6f", F.col(c))
+    mark = lambda *c: F.concat_ws(":", F.count("*"), *(F.sum(F.xxhash64(F.concat_ws(",", F.lit(k), *c)).cast("decimal(38,0)")) for k in (1, 2)))
+    fills = account.where("side IS NOT NULL").agg(mark("symbol", "ts", "side", six("price"), six("quantity"), six("fee")).alias("fills"))
+    equity = account.groupBy("ts").agg(F.sum("equity").alias("equity")).agg(mark("ts", six("equity")).alias("curve"))
+    one = F.lit(1).alias("one")
+    return fills.select(one, "*").join(equity.select(one, "*"), "one").drop("one")

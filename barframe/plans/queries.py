@@ -25,7 +25,7 @@ _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 
 def query(name: str, sql: str | None):
     def add(f):
-        _found[name] = (f, sql and views.SQL + sql)
+        _found[name] = (f, sql and views.SQL.replace("WITH", "WITH RECURSIVE", 1) + sql)
         return f
 
     return add
@@ -556,12 +556,21 @@ def _portfolio(spark, d) -> DataFrame:
 
 
 def _backtest_sql(case: str) -> str:
+    if case == "rsi":
+        source = """d AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n, close - lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS change FROM b),
+a AS (SELECT symbol, 14::BIGINT AS n, sum(greatest(change, 0)) / 14.0::DOUBLE AS up, sum(greatest(-change, 0)) / 14.0::DOUBLE AS down FROM d WHERE n BETWEEN 1 AND 14 GROUP BY symbol HAVING count(*) = 14
+  UNION ALL SELECT d.symbol, d.n, (13 * a.up + greatest(d.change, 0)) / 14, (13 * a.down + greatest(-d.change, 0)) / 14 FROM a JOIN d ON d.symbol = a.symbol AND d.n = a.n + 1),
+s AS (SELECT d.*, CASE WHEN up + down > 0 THEN 100 * up / (up + down) WHEN up IS NOT NULL THEN 50 END AS rsi FROM d LEFT JOIN a ON a.symbol = d.symbol AND a.n = d.n)"""
+    else:
+        source = "s AS (SELECT * FROM b)"
     desired = {
+        "rsi": "coalesce(last_value(CASE WHEN rsi <= 30 THEN true WHEN rsi >= 70 THEN false END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), false)",
         "sma": "row_number() OVER (PARTITION BY symbol ORDER BY ts) >= 60 AND sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * 60 > sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) * 20",
         "momentum": "coalesce(close > lag(close, 60) OVER (PARTITION BY symbol ORDER BY ts), false)",
     }[case]
     return f""", b AS (SELECT symbol, ts, open, close FROM bar_view WHERE ts IN (SELECT ts FROM bar_view GROUP BY ts HAVING count(*) = 5)),
-w AS (SELECT *, {desired} AS desired, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM b),
+{source},
+w AS (SELECT symbol, ts, open, close, {desired} AS desired FROM s),
 x AS (SELECT *, coalesce(lag(desired) OVER (PARTITION BY symbol ORDER BY ts), false) AS held FROM w),
 y AS (SELECT *, held <> coalesce(lag(held) OVER (PARTITION BY symbol ORDER BY ts), false) AS filled,
       CASE WHEN held THEN open / 100.0::DOUBLE * 1.0001::DOUBLE ELSE open / 100.0::DOUBLE * 0.9999::DOUBLE END AS price FROM x),
@@ -573,7 +582,8 @@ v AS (SELECT q.symbol, q.ts, CASE WHEN q.held THEN m.worth * q.close / 100.0 ELS
 c AS (SELECT ts, sum(equity) AS equity FROM v GROUP BY ts),
 z AS (SELECT ts, equity, max(equity) OVER (ORDER BY ts) AS peak FROM c)
 SELECT '{case}' AS "case", (SELECT count(*) FROM b) AS rows, round(ln((SELECT arg_max(equity, ts) FROM z)), 6) AS log_equity, round((SELECT max(1 - equity / peak) FROM z), 6) AS max_drawdown,
- (SELECT count(*) FROM e) AS fills, (SELECT count(*) FROM e WHERE NOT held) AS completed_round_trips
+ (SELECT count(*) FROM e) AS fills, (SELECT count(*) FROM e WHERE NOT held) AS completed_round_trips,
+ (SELECT count(*) FROM (SELECT arg_max(held, ts) AS open FROM y GROUP BY symbol) WHERE open) AS open_positions, (SELECT count(*) FROM (SELECT arg_max(desired <> held, ts) AS waits FROM y GROUP BY symbol) WHERE waits) AS pending_targets
 """
 
 
@@ -581,9 +591,14 @@ def _backtest_query(case: str, sql: str | None) -> None:
     @query(f"b01_backtest_{case}", sql)
     def run(spark, d):
         a = backtest.accounts(_portfolio(spark, d), case, 100, CAPITAL)
-        return backtest.summary(a, case, CAPITAL).select("case", "rows", F.round(F.log("final_equity"), 6).alias("log_equity"), F.round("max_drawdown", 6).alias("max_drawdown"), "fills", "completed_round_trips")
+        return backtest.summary(a, case, CAPITAL).select("case", "rows", F.round(F.log("final_equity"), 6).alias("log_equity"), F.round("max_drawdown", 6).alias("max_drawdown"), "fills", "completed_round_trips", "open_positions", "pending_targets")
 
 
-for _case in ("sma", "momentum"):
+for _case in backtest.CASES:
     _backtest_query(_case, _backtest_sql(_case))
-_backtest_query("rsi", None)
+
+
+@query("q09_rsi", _backtest_sql("rsi").split("w AS (")[0].rstrip().rstrip(",") + " SELECT symbol, ts, round(rsi, 6) AS rsi, coalesce(last_value(CASE WHEN rsi <= 30 THEN true WHEN rsi >= 70 THEN false END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), false) AS desired FROM s")
+def q09_rsi(spark, d):
+    rows = backtest.strength(_portfolio(spark, d))
+    return rows.select("symbol", "ts", F.round("rsi", 6).alias("rsi"), backtest.rsi_signal("rsi").alias("desired"))

@@ -113,52 +113,103 @@ def test_overlaps(spark):
     assert got == {"a": (3, "p3"), "b": (2, None)}
 
 
+def plain_strength(closes):
+    """Wilder's strength by its definition: means of the first 14 rises and falls, then 13 parts old and one new."""
+    out = []
+    for n in range(len(closes)):
+        if n < 14:
+            out.append(None)
+            continue
+        moves = [b - a for a, b in zip(closes[n - 14 : n], closes[n - 13 : n + 1], strict=True)]
+        if n == 14:
+            up, down = sum(x for x in moves if x > 0) / 14, -sum(x for x in moves if x < 0) / 14
+        else:
+            up, down = up + (max(moves[-1], 0) - up) / 14, down + (max(-moves[-1], 0) - down) / 14
+        out.append(100 * up / (up + down) if up + down else 50.0)
+    return out
+
+
 def plain_backtest(bars, case, cash):
     """One symbol, step by step."""
-    units, pending, closes, fills, rsi, worth = 0.0, False, [], 0, backtest.Wilder(), []
-    for _, o, c in bars:
+    units, pending, closes, fills, worth = 0.0, False, [], [], []
+    strength = plain_strength([c for *_, c in bars])
+    for k, (ts, o, c) in enumerate(bars):
         if pending != bool(units):
-            fills += 1
             price = o / 100 * (1.0001 if pending else 0.9999)
             if pending:
                 units, cash = cash / (price * 1.001), 0.0
+                fills.append((ts, "buy", price, units, units * price * 0.001))
             else:
+                fills.append((ts, "sell", price, units, units * price * 0.001))
                 cash, units = units * price * 0.999, 0.0
         closes.append(c)
         if case == "sma":
             pending = len(closes) >= 60 and sum(closes[-20:]) * 60 > sum(closes[-60:]) * 20
         elif case == "momentum":
             pending = len(closes) > 60 and c > closes[-61]
-        else:
-            pending = rsi.step(c)
+        elif strength[k] is not None:
+            pending = strength[k] <= 30 or (pending and strength[k] < 70)
         worth.append(cash + units * c / 100)
-    return fills, worth
+    return fills, worth, bool(units), pending != bool(units)
 
 
-@pytest.mark.parametrize("case", backtest.CASES)
-def test_backtest(spark, case):
+def walks(n=900, flat=range(0)):
     import random
 
     r = random.Random(8)
     data = {}
     for s in ("x", "y"):
         price, rows = 10000, []
-        for k in range(400):
-            price = max(100, price + r.randrange(-300, 301))
-            rows.append((k, price + r.randrange(-5, 6), price))
+        for k in range(n):
+            price = max(100, price + (0 if k in flat else r.randrange(-300, 301)))
+            rows.append((k * 86_400_000, price + r.randrange(-5, 6), price))
         data[s] = rows
+    return data
+
+
+@pytest.mark.parametrize("case", backtest.CASES)
+def test_backtest(spark, case):
+    data = walks()
     df = spark.createDataFrame([(s, *row) for s, rows in data.items() for row in rows], "symbol string, ts long, open long, close long")
-    got = backtest.summary(backtest.accounts(df, case, 100), case).first()
-    one, two = (plain_backtest(data[s], case, 50_000.0) for s in ("x", "y"))
-    equity = [a + b for a, b in zip(one[1], two[1], strict=True)]
-    peak, worst = 0.0, 0.0
+    account = backtest.accounts(df, case, 100).cache()
+    got = backtest.summary(account, case).first()
+    plain = {s: plain_backtest(data[s], case, 50_000.0) for s in data}
+    equity = [a + b for a, b in zip(*(v[1] for v in plain.values()), strict=True)]
+    peak, worst, curve = 0.0, 0.0, []
     for e in equity:
         peak = max(peak, e)
         worst = max(worst, 1 - e / peak)
-    assert got.fills == one[0] + two[0] and got.fills > 0
-    assert abs(got.final_equity - equity[-1]) < 1e-6 and abs(got.max_drawdown - worst) < 1e-12
-    assert code(lambda: backtest.accounts(df.where("symbol = 'x' or ts > 3"), case, 100)) == "INVALID_DATA"
-    assert code(lambda: backtest.accounts(df, "other", 100)) == "INVALID_INPUT"
+        curve.append((e, peak))
+    fills = [(s, *f) for s, v in plain.items() for f in v[0]]
+    assert got.rows == 1800 and got.fills == len(fills) > 0 and got.completed_round_trips == sum(f[2] == "sell" for f in fills)
+    assert got.final_equity == pytest.approx(equity[-1], rel=1e-11) and got.max_drawdown == pytest.approx(worst, abs=1e-11) and got.fees == pytest.approx(sum(f[5] for f in fills))
+    assert (got.open_positions, got.pending_targets) == tuple(sum(v[k] for v in plain.values()) for k in (2, 3))
+    rows = account.where("side is not null").select("symbol", "ts", "side", "price", "quantity", "fee").orderBy("symbol", "ts").collect()
+    assert [r[:3] for r in rows] == [f[:3] for f in fills] and all(r[3:] == pytest.approx(f[3:]) for r, f in zip(rows, fills, strict=True))
+    assert [r[:] for r in backtest.curve(account).orderBy("ts").select("equity", "peak").collect()] == [pytest.approx(c) for c in curve]
+    again = backtest.digest(backtest.accounts(df.repartition(7), case, 100)).first()
+    assert again == backtest.digest(account).first() and again != backtest.digest(account.where("ts > 43200000000")).first()
+
+
+def test_backtest_rejects(spark):
+    data = walks(70)
+    df = spark.createDataFrame([(s, *row) for s, rows in data.items() for row in rows], "symbol string, ts long, open long, close long")
+    assert code(lambda: backtest.accounts(df.where("symbol = 'x' or ts > 3"), "sma", 100)) == "INVALID_DATA"
+    assert code(lambda: backtest.accounts(df.unionByName(df.where("ts = 0")), "sma", 100)) == "INVALID_DATA"
+    assert code(lambda: backtest.accounts(df.selectExpr("symbol", "ts", "0 AS open", "close"), "sma", 100)) == "INVALID_DATA"
+    assert code(lambda: backtest.accounts(df.limit(0), "sma", 100)) == "INVALID_INPUT"
+    for bad in ({"case": "other"}, {"scale": 0}, {"capital": 0}, {"fee_bps": -1}, {"slippage_bps": 10_000}):
+        assert code(lambda bad=bad: backtest.accounts(df, **({"case": "sma", "scale": 100} | bad))) == "INVALID_INPUT"
+
+
+@pytest.mark.parametrize("flat", [range(0), range(50, 1500), range(2, 40), range(0, 2000)])
+def test_strength(spark, flat):
+    """Against the definition, over many runs, and where nothing moves for long."""
+    rows = walks(2000, flat)["x"]
+    df = spark.createDataFrame([("x", *r) for r in rows], "symbol string, ts long, open long, close long")
+    got = [r.rsi for r in backtest.strength(df).orderBy("ts").collect()]
+    want = plain_strength([c for *_, c in rows])
+    assert got[:14] == [None] * 14 and got[14:] == pytest.approx(want[14:], rel=1e-9)
 
 
 def test_streaming(spark, tmp_path):
