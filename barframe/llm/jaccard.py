@@ -14,14 +14,14 @@ and at last with least = 0, which never fails. So the candidates miss no link.
 
 Equal sets are one node, named by 128 bits of hash. Signatures move in packs, a pack for
 each partition of the shuffle, with 64 of those bits. A signature that many nodes of a
-batch have sends two to its home, which makes it shared, and the rest anywhere, so that no
-task gets all of a frequent one. Signatures that two nodes share become buckets; of
-buckets with equal members one is kept. In each bucket a few pivots are compared with the
-nodes of other components, exactly; linked nodes merge, pivots leave the bucket, and
-buckets in one component are done. Rounds go on, with more pivots each, until no bucket is
-left, so every pair of a bucket that could join two components is compared or proved too
-far apart by the triangle inequality. A round's rows grow with the members of a bucket,
-not their pairs. Components are found by alternating large and small stars.
+batch have sends two to its home; the rest are linked to the first at once, so no task
+gets all of a frequent one. Nodes that share a signature are candidates, and a chain of
+candidates is a group. The sets of a group of at most GROUP nodes meet in one block, which
+compares them exactly. A larger group is dealt, band by band, to chunks of about CHUNK
+nodes; a block holds two chunks of one band or of neighbours, so every two nodes that can
+link meet, no task holds more than a block, and a block gives fewer links than it has
+nodes. What moves for a group of n nodes is its sets n / CHUNK times. Components are found
+by alternating large and small stars.
 
 Null or empty text: an empty set, linked with nothing, its own component. Repeated rows
 are linked as equal sets; component_id is the smallest doc_id, nulls apart. An empty
@@ -38,6 +38,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -49,18 +50,23 @@ WORDS = 5
 #: Elements in which a partition may differ, and the parts of a partition.
 K2, N2 = 1, 3
 #: Partitions beyond those that differences can spoil, as a share.
-SPARE = 0.04
+SPARE = 0.15
 #: (seed, least): what a set enumerates in turn until its links are certain.
-TRIES = ((0, 1), (1, 1), (2, 1), (3, 1), (4, 0))
+TRIES = ((0, 2), (1, 2), (2, 1), (3, 1), (4, 0))
+#: Bytes of a signature that move; the partition that it moves to stands for more.
+MOVED = 6
 #: Sets that a task remembers, so that copies send their signatures once.
 REMEMBERED = 200_000
 #: Signatures of a batch of packs; how many nodes of a batch make a signature frequent.
 BATCH, FREQUENT = 500_000, 8
-#: Pivots of a bucket in each round.
-PIVOTS = (1, 4, 16, 64, 256)
-#: The Jaccard distance of a link, with room for rounding.
-LINKED_WITHIN = 0.2 + 1e-9
-#: Bits of the filter that keeps most sets without a candidate from moving: 1 MB.
+#: Characters of text for a partition of the signatures, at most; that is about 8 million of them, 128 MB.
+PART_CHARS = 64 << 20
+#: Nodes and shingles of a group that one block holds, and of a chunk of a larger one.
+GROUP, GROUP_ITEMS = 512, 1 << 21
+CHUNK, CHUNK_ITEMS = 256, 1 << 20
+#: Shingles that a block compares at once.
+COLUMNS = 4096
+#: Bits of the filter that keeps most texts without a candidate from being read again: 1 MB.
 SLOTS = 1 << 23
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -168,34 +174,27 @@ def key_of(node: bytes) -> int:
     return int.from_bytes(node[:8], "little", signed=True)
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, key): node names the set, null if it is empty."""
-    kind = dict(docs.dtypes)["doc_id"]
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(text) for text in utf8(batch.column(1))]
-            nodes = [named(x) if len(x) else None for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(nodes, pa.binary()), pa.array([x and key_of(x) for x in nodes], pa.int64())], names=["doc_id", "n_shingles", "node", "key"])
-
-    return arrow_map(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_shingles long, node binary, key long")
-
-
 def packs(docs: DataFrame, parts: int) -> DataFrame:
-    """(p, sure, sigs, keys): signatures of the sets and the keys of their nodes, as 64-bit numbers, for partition p.
+    """Rows for partition p of three kinds, other columns null.
 
-    sure: the signatures are known to be shared.
+    a, b: packs of signatures and of the keys of their nodes, 64-bit numbers; if sure, of
+    keys of nodes and of others that they share a signature with.
+    doc_id, n_shingles, node, key, band, text: a document; node names the set, null if it
+    is empty; text is a hash of the text.
     """
+    kind = dict(docs.dtypes)["doc_id"]
 
-    def pack(sig: np.ndarray, key: np.ndarray, sure: bool) -> Iterator[pa.RecordBatch]:
-        p = (mix(sig.view(np.uint64) ^ (mix(key.view(np.uint64)) if sure else _B)) % np.uint64(parts)).astype(np.int32)
+    def pack(a: np.ndarray, b: np.ndarray, sure: bool) -> Iterator[pa.RecordBatch]:
+        p = (mix(a.view(np.uint64) ^ _B) % np.uint64(parts)).astype(np.int32)
         order = np.argsort(p, kind="stable")
-        p, sig, key = p[order], sig[order], key[order]
+        p, a, b = p[order], a[order].view(np.uint8).reshape(-1, 8), b[order]
+        if not sure:
+            a = a[:, :MOVED]
         ends = [*np.flatnonzero(p[1:] != p[:-1]) + 1, len(p)]
-        rows = [(p[a], sig[a:b].tobytes(), key[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
+        rows = [(p[x], a[x:y].tobytes(), b[x:y].tobytes()) for x, y in zip([0, *ends], ends, strict=False)]
         for k in range(0, len(rows), 256):
-            at, sigs, keys = zip(*rows[k : k + 256], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([sure] * len(at)), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary())], names=["p", "sure", "sigs", "keys"])
+            at, left, right = zip(*rows[k : k + 256], strict=True)
+            yield batch_of({"p": pa.array(at, pa.int32()), "a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary()), "sure": pa.array([sure] * len(at))}, len(at))
 
     def out(sigs: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
         sig, key = np.concatenate(sigs), np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])
@@ -203,74 +202,108 @@ def packs(docs: DataFrame, parts: int) -> DataFrame:
         runs = sig[order]
         first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
         count = np.diff(np.append(first, len(runs)))
-        nth = np.empty(len(sig), np.int64)
-        nth[order] = np.arange(len(runs)) - np.repeat(first, count)
-        often = np.empty(len(sig), bool)
-        often[order] = np.repeat(count >= FREQUENT, count)
-        away = often & (nth >= 2)
+        away = np.zeros(len(sig), bool)
+        anchor = np.empty(len(sig), np.int64)
+        nth = np.arange(len(runs)) - np.repeat(first, count)
+        away[order] = np.repeat(count >= FREQUENT, count) & (nth >= 2)
+        anchor[order] = np.repeat(key[order[first]], count)
         yield from pack(sig[~away], key[~away], False)
         if away.any():
-            yield from pack(sig[away], key[away], True)
+            yield from pack(*_pairs(key[away], anchor[away]), True)
+
+    fields = {"p": pa.int32(), "a": pa.binary(), "b": pa.binary(), "sure": pa.bool_(), "doc_id": None, "n_shingles": pa.int64(), "node": pa.binary(), "key": pa.int64(), "band": pa.int32(), "text": pa.int64()}
+
+    def batch_of(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(n, t) for k, t in fields.items()], names=list(fields))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         sigs, keys, held = [], [], 0
         for batch in batches:
-            for text in utf8(batch.column(0)):
+            fields["doc_id"] = batch.column(0).type
+            sizes, nodes, codes = [], [], []
+            texts = utf8(batch.column(1))
+            for text in texts:
                 items = shingles(text)
-                if not len(items) or (key := key_of(named(items))) in sent:
+                sizes.append(len(items))
+                nodes.append(named(items) if len(items) else None)
+                codes.append(key_of(nodes[-1]) if len(items) else None)
+                if not len(items) or codes[-1] in sent:
                     continue
                 if len(sent) >= REMEMBERED:
                     sent.clear()
-                sent.add(key)
+                sent.add(codes[-1])
                 sigs.append(signatures(items))
-                keys.append(key)
+                keys.append(codes[-1])
                 held += len(sigs[-1])
                 if held >= BATCH:
                     yield from out(sigs, keys)
                     sigs, keys, held = [], [], 0
+            if texts:
+                n = len(texts)
+                yield batch_of({
+                    "p": pa.array(np.arange(n) % parts, pa.int32()), "doc_id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(nodes, pa.binary()),
+                    "key": pa.array(codes, pa.int64()), "band": pa.array([band(x) for x in sizes], pa.int32()), "text": pa.array([text_key(x) for x in texts], pa.int64()),
+                }, n)
         if held:
             yield from out(sigs, keys)
 
-    return arrow_map(docs.select("text"), work, "p int, sure boolean, sigs binary, keys binary")
+    return arrow_map(docs.select("doc_id", "text"), work, f"p int, a binary, b binary, sure boolean, doc_id {kind}, n_shingles long, node binary, key long, band int, text long")
 
 
-def buckets(packed: DataFrame, parts: int) -> DataFrame:
-    """(sig, key) of the signatures that two nodes have; rows of frequent ones may repeat.
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of different numbers."""
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[fresh], b[fresh]
 
-    Sorted rows stream through: a row stays if its neighbour has its signature.
-    """
 
-    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sure, sigs, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(sigs, np.int64)), pa.array(np.frombuffer(keys, np.int64)), pa.array(np.full(len(sigs) // 8, sure))], names=["sig", "key", "sure"])
+def text_key(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def candidates(packed: DataFrame, parts: int) -> DataFrame:
+    """(a, b, doc_id, ...): pairs of keys of nodes that share a signature, and the documents, whose a is null.
+
+    A node is paired with the first of its signature. A task holds the packs of a partition; packs() sizes it.
+    """
+    names = ["doc_id", "n_shingles", "node", "key", "band", "text"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+        sigs, keys, left, right = [], [], [], []
+        kind = None
         for batch in batches:
-            sig, key, sure = (np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True))
-            if not len(sig):
-                continue
-            same = sig[1:] == sig[:-1]
-            # a row that repeats hands on what it knows to the next
-            twin = np.append(same & (key[1:] == key[:-1]), False)
-            stays = sure.copy()
-            stays[1:] |= same & ~twin[:-1]
-            for k in np.flatnonzero(twin[:-1]):
-                stays[k + 1] |= stays[k]
-            onward = stays.copy()
-            stays[:-1] |= same
-            # the last row waits for its neighbour
-            kept = [sig[-1:], key[-1:], onward[-1:]]
-            stays &= ~twin
-            stays[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(sig[stays]), pa.array(key[stays])], names=["sig", "key"])
-        if kept[2].any():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[:2]], names=["sig", "key"])
-
-    dealt = packed.repartitionById(parts, "p").select("sure", "sigs", "keys")
-    return arrow_map(arrow_map(dealt, rows, "sig long, key long, sure boolean").sortWithinPartitions("sig", "key", "sure"), work, "sig long, key long")
+            kind = batch.column("doc_id").type
+            docs = batch.filter(pc.is_null(batch.column("a")))
+            if len(docs):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(docs), pa.int64())] * 2 + [docs.column(k) for k in names], names=["a", "b", *names])
+            packs = batch.filter(pc.is_valid(batch.column("a")))
+            for a, b, sure in zip(*(packs.column(k).to_pylist() for k in ("a", "b", "sure")), strict=True):
+                (right if sure else keys).append(np.frombuffer(b, np.int64))
+                if sure:
+                    left.append(np.frombuffer(a, np.int64))
+                else:
+                    sigs.append(np.zeros((len(keys[-1]), 8), np.uint8))
+                    sigs[-1][:, :MOVED] = np.frombuffer(a, np.uint8).reshape(-1, MOVED)
+        if sigs:
+            sig, key = np.concatenate(sigs).view(np.int64).ravel(), np.concatenate(keys)
+            sigs = keys = None
+            order = np.argsort(sig)
+            sig, key = sig[order], key[order]
+            fresh = np.append(True, sig[1:] != sig[:-1])
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))
+            left.append(key[~fresh])
+            right.append(key[first[~fresh]])
+        if left:
+            a, b = _pairs(np.concatenate(left), np.concatenate(right))
+            empty = [pa.nulls(len(a), t) for t in (kind, pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *empty], names=["a", "b", *names])
+
+    kinds = dict(packed.dtypes)
+    dealt = packed.repartitionById(parts, "p").drop("p")
+    return arrow_map(dealt, work, f"a long, b long, {', '.join(f'{k} {kinds[k]}' for k in names)}")
 
 
 def slots_of(keys: DataFrame) -> np.ndarray:
@@ -285,19 +318,19 @@ def slots_of(keys: DataFrame) -> np.ndarray:
 
 
 def sets(docs: DataFrame, slots: np.ndarray) -> DataFrame:
-    """(node, items) of the documents' sets whose key falls into one of the slots."""
+    """(node, items) of the documents whose text's hash falls into one of the slots."""
     shared = docs.sparkSession.sparkContext.broadcast(slots)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in batches:
             for text in utf8(batch.column(0)):
+                slot = text_key(text) % SLOTS
+                if not shared.value[slot >> 3] >> (slot & 7) & 1:
+                    continue
                 items = shingles(text)
                 if not len(items) or (node := named(items)) in sent:
                     continue
-                slot = key_of(node) % SLOTS
-                if not shared.value[slot >> 3] >> (slot & 7) & 1:
-                    continue
                 if len(sent) >= REMEMBERED:
                     sent.clear()
                 sent.add(node)
@@ -306,16 +339,80 @@ def sets(docs: DataFrame, slots: np.ndarray) -> DataFrame:
     return arrow_map(docs.select("text"), work, "node binary, items array<long>")
 
 
-def measured(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (p, node, ...) with far, the Jaccard distance of their sets, and link, whether they link.
+def blocks(grouped: DataFrame) -> DataFrame:
+    """(node, blocks) of (node, cc, band, n_shingles): the blocks that each node of a group goes to."""
+    sizes = grouped.groupBy("cc", "band").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    whole = sizes.groupBy("cc").agg(((F.sum("c") > GROUP) | (F.sum("s") > GROUP_ITEMS)).alias("large"))
+    chunks = F.greatest(F.ceil(F.col("c") / CHUNK), F.ceil(F.col("s") / CHUNK_ITEMS)).cast("int")
+    sizes = sizes.join(whole, "cc").select("cc", "band", F.when(F.col("large"), chunks).otherwise(0).alias("own"))
+    beside = lambda d, name: sizes.select("cc", (F.col("band") - d).alias("band"), F.col("own").alias(name))
+    known = grouped.join(sizes, ["cc", "band"]).join(beside(-1, "below"), ["cc", "band"], "left").join(beside(1, "above"), ["cc", "band"], "left")
+    i = F.pmod(F.xxhash64("node"), F.greatest("own", F.lit(1))).cast("int")
+    up_to = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # a block's name is a hash; two of one name only become a larger block
+    name = lambda low, x, high, y: F.xxhash64("cc", low, x, high, y)
+    here = F.transform(up_to(F.col("own")), lambda j: name("band", F.least("i", j), "band", F.greatest("i", j)))
+    below = F.transform(up_to(F.col("below")), lambda j: name(F.col("band") - 1, j, "band", F.col("i")))
+    above = F.transform(up_to(F.col("above")), lambda j: name("band", F.col("i"), F.col("band") + 1, j))
+    return known.withColumn("i", i).select("node", F.when(F.col("own") == 0, F.array(F.xxhash64("cc"))).otherwise(F.concat(here, below, above)).alias("blocks"))
+
+
+def links(nodes: list[bytes], items: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+    """Pairs of a node and the least of the component that it has among these sets."""
+    n = len(nodes)
+    size = np.array([len(x) for x in items])
+    flat, row = np.concatenate(items), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    fresh = np.append(True, flat[1:] != flat[:-1])
+    column = np.cumsum(fresh) - 1
+    shared = np.bincount(column)[column] > 1
+    row, column = row[shared], column[shared]
+    column = np.cumsum(np.append(True, column[1:] != column[:-1])[: len(column)]) - 1
+    common = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        have = np.zeros((n, COLUMNS), np.float32)
+        have[row[a:b], column[a:b] - first] = 1
+        common += have @ have.T
+    common = common.astype(np.int64)
+    linked = 100 * common >= 80 * (size[:, None] + size[None, :] - common)
+    np.fill_diagonal(linked, True)
+    rank = np.argsort(np.argsort(np.array(nodes, object)))
+    label = rank.copy()
+    while True:
+        least = np.where(linked, label[None, :], n).min(1)
+        if (least == label).all():
+            break
+        label = least
+    of = sorted(nodes)
+    return [x for x, k, r in zip(nodes, label, rank, strict=True) if k != r], [of[k] for k, r in zip(label, rank, strict=True) if k != r]
+
 
-    The sets of the nodes meet their pairs, and then the pivots' sets; only pivots' sets move for that.
-    """
-    two = items.select("node", F.col("items").alias("y"))
-    one = items.join(pairs.select(F.col("p").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("p"), F.col("items").alias("x"))
-    inter = F.size(F.array_intersect("x", "y"))
-    sized = pairs.join(two, "node").join(one, "p").select(*pairs.columns, inter.alias("i"), (F.size("x") + F.size("y") - inter).alias("u"))
-    return sized.select(*pairs.columns, (1 - F.col("i") / F.col("u")).alias("far"), (100 * F.col("i") >= 80 * F.col("u")).alias("link"))
+def compared(items: DataFrame, plan: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of all blocks."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                a, b = links(list(held), list(held.values()))
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            held.clear()
+
+        for batch in batches:
+            for block, node, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != now:
+                    yield from solved()
+                    now = block
+                if node not in held:
+                    held[node] = row.values.to_numpy()
+        yield from solved()
+
+    met = items.join(plan, "node").select(F.explode("blocks").alias("block"), "node", "items")
+    return arrow_map(met.repartition("block").sortWithinPartitions("block"), work, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame | None:
@@ -340,127 +437,37 @@ def components(edges: DataFrame) -> DataFrame | None:
         dropped(old)
 
 
-def _distinct(bucket: DataFrame) -> DataFrame:
-    """(sig, key): one of the buckets with equal members."""
-    sum_of = lambda salt: F.sum(F.xxhash64("key", F.lit(salt)).cast("decimal(38,0)"))
-    seen = bucket.groupBy("sig").agg(F.count("*").alias("n"), sum_of(1).alias("k1"), sum_of(2).alias("k2"))
-    return bucket.join(seen.groupBy("n", "k1", "k2").agg(F.min("sig").alias("sig")).select("sig"), "sig", "left_semi")
-
-
-def _weighed(bucket: DataFrame) -> DataFrame:
-    """(sig, node, weight): weight counts the others that a node shares all its buckets with."""
-    seen = bucket.groupBy("sig").agg((F.count("*") - 1).alias("n"))
-    weight = bucket.join(seen, "sig").groupBy("node").agg(F.sum("n").alias("weight"))
-    return bucket.join(weight, "node").select("sig", "node", "weight")
-
-
-def _picked(here: DataFrame, turn: int) -> DataFrame:
-    """(sig, p, p_label, p_far): pivots of each bucket, the heaviest of each of PIVOTS classes of its nodes.
-
-    From the third round on, those of the components with the fewest nodes in the bucket
-    go first: with them compared, the bucket is done.
-    """
-    n = PIVOTS[min(turn, len(PIVOTS) - 1)]
-    if turn >= 2:
-        few = here.groupBy("sig", "label").agg((-F.count("*")).alias("few"))
-        here = here.join(few, ["sig", "label"])
-        rank = ["few", "weight", "node", "label", "far"]
-    else:
-        rank = ["weight", "node", "label", "far"]
-    kind = F.pmod(F.xxhash64("node"), F.lit(n))
-    best = here.groupBy("sig", kind.alias("c")).agg(F.max(F.struct(*rank)).alias("m"))
-    return best.select("sig", F.col("m.node").alias("p"), F.col("m.label").alias("p_label"), F.col("m.far").alias("p_far"))
-
-
-def _merged(here: DataFrame, items: DataFrame) -> DataFrame | None:
-    """(node, root): the components of the nodes of the buckets, None if no two link. Deletes here.
-
-    The first pivot of a bucket, the node that shares most buckets with others, is
-    compared with all of it. Jaccard distance is a metric, so two members whose distances
-    to that pivot differ by more than a link's distance can't link and aren't compared.
-    """
-    spark = here.sparkSession
-    roots = done = None
-    now = here.select("sig", "node", "weight", F.col("node").alias("label"), F.lit(0.0).alias("far"))
-    old = [here]
-    turn = 0
-    while True:
-        open_ = now.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sig")
-        here = written(now.join(open_, "sig", "left_semi"), "bucket")
-        dropped(*old)
-        swept(spark)
-        if here.isEmpty():
-            dropped(here, *([done] if done is not None else []))
-            return roots
-        pivots = written(_picked(here, turn), "pivots")
-        apart = (F.col("label") != F.col("p_label")) & (F.col("node") != F.col("p"))
-        if turn:
-            apart = apart & (F.abs(F.col("far") - F.col("p_far")) <= LINKED_WITHIN)
-        met = here.join(pivots, "sig").where(apart).select("p", "node", "p_label", "label")
-        met = met.groupBy(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).agg(F.min(F.struct("p", "node", "p_label", "label")).alias("e")).select("a", "b", "e.*")
-        if done is not None:
-            met = met.join(done, ["a", "b"], "left_anti")
-        met = written(met, "pairs")
-        new = written(measured(met, items), "links")
-        swept(spark)
-        if turn:
-            mine = pivots.select("sig", F.col("p").alias("node"))
-            now = here.join(mine, ["sig", "node"], "left_anti")
-        else:
-            both = new.select("a", "b", F.col("far").alias("d")).unionByName(new.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("far").alias("d")))
-            left = here.drop("far").join(pivots.select("sig", F.col("p").alias("a")), "sig").where("node <> a")
-            now = left.withColumn("b", F.col("node")).join(both, ["a", "b"]).select("sig", "node", "weight", "label", F.col("d").alias("far"))
-        old = [here, pivots, met, new]
-        linked = components(new.where("link").select(F.col("p_label").alias("a"), F.col("label").alias("b")))
-        if linked is not None:
-            to = linked.select(F.col("node").alias("label"), "root")
-            now = now.join(to, "label", "left").select("sig", "node", "weight", F.coalesce("root", "label").alias("label"), "far")
-            if roots is None:
-                roots = written(linked, "roots")
-            else:
-                next_ = linked.select(F.col("node").alias("root"), F.col("root").alias("r"))
-                moved = roots.join(next_, "root", "left").select("node", F.coalesce("r", "root").alias("root"))
-                fresh = linked.join(roots, "node", "left_anti")
-                roots, gone = written(moved.unionByName(fresh), "roots"), roots
-                dropped(gone)
-            old.append(linked)
-        pairs = new.select("a", "b")
-        if done is not None:
-            old.append(done)
-            pairs = pairs.unionByName(done)
-        done = written(pairs, "done")
-        turn += 1
-
-
 def cluster(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row a document."""
     docs = pick(docs, "doc_id", "text")
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(signed(docs), "nodes")
-    shared = written(buckets(packs(docs, parts), parts), "shared")
-    swept(spark)
-    kept = written(_distinct(shared), "distinct")
-    dropped(shared)
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+    found = written(candidates(packs(docs, parts), parts), "candidates")
     swept(spark)
-    keys = kept.select("key").distinct()
-    names = written(rows.where("node is not null").select("key", "node").join(keys, "key", "left_semi").distinct(), "names")
-    bucket = written(_weighed(kept.join(names, "key").select("sig", "node")), "bucket")
-    items = written(sets(docs, slots_of(names.select("key"))).join(names, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
-    dropped(kept, names)
-    swept(spark)
-    roots = _merged(bucket, items)
-    dropped(items)
-    swept(spark)
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("m"))
+    rows = found.where("a IS NULL").select("doc_id", "n_shingles", "node", "key", "band", "text")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("m"), *(F.first(c).alias(c) for c in ("key", "band", "n_shingles")), F.min("text").alias("text"))
+    nodes = written(nodes, "nodes")
+    groups = components(found.where("a IS NOT NULL").select("a", "b"))
+    roots = None
+    if groups is not None:
+        cc = groups.select(F.col("node").alias("key"), F.col("root").alias("cc"))
+        cc = cc.unionByName(groups.select(F.col("root").alias("key"), F.col("root").alias("cc")).distinct())
+        grouped = written(nodes.join(cc, "key").select("node", "cc", "band", "n_shingles", "text"), "groups")
+        dropped(groups)
+        items = sets(docs, slots_of(grouped.select(F.col("text").alias("key"))))
+        met = written(compared(items, blocks(grouped)), "links")
+        dropped(grouped)
+        swept(spark)
+        roots = components(met)
+        dropped(met)
     if roots is not None:
-        least = least.join(roots, "node", "left").select("node", "m", F.coalesce("root", "node").alias("root"))
-        least = written(least, "least")
+        least = nodes.select("node", "m").join(roots, "node", "left").select("node", "m", F.coalesce("root", "node").alias("root"))
         first = least.groupBy("root").agg(F.min("m").alias("component_id"))
         least = least.join(first, "root").select("node", "component_id")
     else:
-        least = least.select("node", F.col("m").alias("component_id"))
-    known = rows.join(least, "node", "left")
+        least = nodes.select("node", F.col("m").alias("component_id"))
+    known = rows.select("doc_id", "n_shingles", "node").join(least, "node", "left")
     return known.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -67,8 +68,10 @@ def dropped(*tables: DataFrame) -> None:
 
 def swept(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are out of use; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

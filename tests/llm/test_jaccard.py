@@ -1,9 +1,11 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 
-from barframe.llm.jaccard import SLOTS, band, bands, buckets, cluster, components, differ, filter_near, instance, key_of, most_apart, named, op6_ngram_jaccard, packs, shingles, signatures, slots_of
+from barframe.llm import jaccard
+from barframe.llm.jaccard import SLOTS, band, bands, blocks, candidates, cluster, components, differ, filter_near, instance, key_of, links, most_apart, named, op6_ngram_jaccard, packs, shingles, signatures, slots_of, text_key
 
 
 def exact(text):
@@ -65,11 +67,27 @@ def test_signatures_miss_no_link():
             assert set(signatures(np.unique(a)).tolist()) & set(signatures(np.unique(b)).tolist()), (n, extra)
 
 
-def test_buckets(spark):
-    """Shared signatures, with frequent ones, copies and several tasks, against a dictionary."""
+def joined(pairs):
+    """node -> the least of its component."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {k: find(k) for k in list(root)}
+
+
+def test_candidates(spark):
+    """Chains of shared signatures, with frequent ones, copies and several tasks, against a dictionary."""
     r = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[: r.randrange(30, 60)] + [f"x{r.randrange(40)}"]) for _ in range(150)] + [f"a b c d e f{i}" for i in range(30)]
+    texts += [" ".join(f"{w}{g}" for w in base[: 40 + k]) for g in range(9) for k in range(3)]
     texts += [texts[3]] * 20 + [None, ""]
     r.shuffle(texts)
     by = {}
@@ -78,17 +96,52 @@ def test_buckets(spark):
         if len(items):
             for x in signatures(items).tolist():
                 by.setdefault(x, set()).add(key_of(named(items)))
-    want = {(x, k) for x, ks in by.items() if len(ks) > 1 for k in ks}
-    assert any(len(ks) > 8 for ks in by.values())
-    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    got = buckets(packs(df, 7), 7)
-    assert {(x.sig, x.key) for x in got.collect()} == want
-    keys = got.select("key").distinct()
+    want = joined((a, min(ks)) for ks in by.values() if len(ks) > 1 for a in ks)
+    assert any(len(ks) > 8 for ks in by.values()) and len(set(want.values())) > 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = candidates(packs(df, 7), 7).collect()
+    assert joined((x.a, x.b) for x in got if x.a is not None) == want
+    rows = [x for x in got if x.a is None]
+    assert sorted(x.doc_id for x in rows) == list(range(len(texts)))
+    assert all(x.n_shingles == len(exact(texts[x.doc_id])) and (x.node is None) == (not x.n_shingles) and x.text == text_key((texts[x.doc_id] or "").encode()) for x in rows)
+
+
+def test_slots(spark):
+    keys = spark.range(500).selectExpr("xxhash64(id) AS key")
     slots = slots_of(keys)
     held = {x.key % SLOTS for x in keys.collect()}
     assert np.unpackbits(slots, bitorder="little").sum() == len(held) and all(slots[x >> 3] >> (x & 7) & 1 for x in held)
 
 
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    """Groups of any size give the same: all that can link meet in a block, none of which is large."""
+    docs = fixture()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard, "GROUP", 4)
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in cluster(df).collect()} == brute(docs)
+    sizes = [10 + k % 40 for k in range(400)]
+    grouped = spark.createDataFrame([(str(k).encode(), 1, band(n), n) for k, n in enumerate(sizes)], "node binary, cc long, band int, n_shingles long")
+    monkeypatch.setattr(jaccard, "CHUNK", 20)
+    of = {int(r.node): set(r.blocks) for r in blocks(grouped).collect()}
+    for a, b in itertools.combinations(range(400), 2):
+        low, high = sorted((sizes[a], sizes[b]))
+        assert of[a] & of[b] or 4 * high > 5 * low
+    held = Counter(x for v in of.values() for x in v)
+    assert max(held.values()) <= 90 and len(held) > 20
+
+
+def test_links():
+    r = random.Random(8)
+    for n in (2, 3, 9, 60):
+        base = r.sample(range(1 << 40), 60)
+        sets = {bytes([k]) * 16: np.array(sorted(set(base[r.randrange(9) :]) | set(r.sample(range(1 << 40), r.randrange(9)))), np.int64) for k in range(n)}
+        want = joined((a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(i := np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - len(i)))
+        got = joined(zip(*links(list(sets), list(sets.values())), strict=True))
+        assert got == want
+    assert links([b"a", b"b"], [np.array([1]), np.array([2])]) == ([], [])
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]
