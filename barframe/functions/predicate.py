@@ -49,6 +49,15 @@ class Predicate:
             return c.between(*v) if self.inclusive else (c > v[0]) & (c < v[1])
         return {"eq": c.__eq__, "ne": c.__ne__, "gt": c.__gt__, "gte": c.__ge__, "lt": c.__lt__, "lte": c.__le__}[self.op](v[0])
 
+    def may_hold(self, low: int, high: int) -> bool:
+        """The same for the least and most value of a chunk, as numbers."""
+        v = self.values
+        if self.op in DISCRETE:
+            return any(low <= x <= high for x in v)
+        if self.op == "between":
+            return high >= v[0] and low <= v[1]
+        return {"gt": lambda: high > v[0], "gte": lambda: high >= v[0], "lt": lambda: low < v[0], "lte": lambda: low <= v[0]}.get(self.op, lambda: True)()
+
     def may_match(self, low: Column, high: Column) -> Column:
         """Whether a block of values from low to high may hold a match."""
         v = self.values

@@ -48,12 +48,13 @@ def access_path(predicate: Predicate, has_zone_map: bool, has_value_index: bool)
     return FULL_SCAN
 
 
-def statistics(df: DataFrame, predicate: Predicate, start: int, end: int, part: str = "part", block: int = 256, has_zone_map: bool = True, has_value_index: bool = True) -> DataFrame:
+def statistics(df: DataFrame, predicate: Predicate, start: int, end: int, part: str = "part", block: int = 256, has_zone_map: bool = True, has_value_index: bool = True, zones: DataFrame | None = None) -> DataFrame:
     """One row of counters for one series whose chunks are its parts.
 
     A chunk that meets the range is considered. With a zone map, blocks that meet the
     range are considered, those that cannot match pruned, and runs of neighbours that
-    remain are scanned; with a value index, the rows of its slices are checked.
+    remain are scanned; with a value index, the rows of its slices are checked. zones: a
+    stored zone map; else one is made.
     """
     predicate.validated()
     if start > end:
@@ -64,7 +65,7 @@ def statistics(df: DataFrame, predicate: Predicate, start: int, end: int, part:
     value = predicate.column(F.col("value"))
     chunks = df.groupBy(part).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.sum(inside.cast("long")).alias("rows_in"), F.sum((inside & value).cast("long")).alias("hits"), F.sum(value.cast("long")).alias("sliced")).where((F.col("b") >= start) & (F.col("a") <= end))
     if path == ZONE_MAP:
-        z = zone_map(df, [part], block).where((F.col("end_ts") >= start) & (F.col("start_ts") <= end)).withColumn("may", predicate.may_match(F.col("min_value"), F.col("max_value")))
+        z = (zone_map(df, [part], block) if zones is None else zones).where((F.col("end_ts") >= start) & (F.col("start_ts") <= end)).withColumn("may", predicate.may_match(F.col("min_value"), F.col("max_value")))
         before = F.lag("end_row").over(Window.partitionBy(part).orderBy("start_row"))
         runs = z.where("may").withColumn("fresh", (F.coalesce(before, F.lit(-2)) + 1 != F.col("start_row")).cast("long"))
         of = z.groupBy(part).agg(F.count("*").alias("blocks")).join(runs.groupBy(part).agg(F.count("*").alias("kept"), F.sum("fresh").alias("runs"), F.sum(F.col("end_row") - F.col("start_row") + 1).alias("checked")), part, "left")

@@ -5,38 +5,51 @@ from __future__ import annotations
 import hashlib
 import json
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid_data, invalid_input, not_found
+from ..keys import Key
 from ..operators import overlaps
 from .files import Files
-from .store import ACTIVE, MANIFEST, SEALED, SNAPSHOT, Store
+from .store import ACTIVE, MANIFEST, SEALED, SNAPSHOT, VALUES, ZONES, Store
 
 ISSUES = ("missing", "untracked", "count_mismatch", "range_mismatch", "overlap", "unordered_manifest", "pending")
 
 
+def measured(store: Store, key: Key, names: list[str]) -> dict[str, Any]:
+    """Rows, least and most time of each of these folders of a series, whatever manifests say: one scan, grouped by folder."""
+    if not names:
+        return {}
+    rows = store._rows(key, [{"relative_path": n} for n in names])
+    found = rows.groupBy(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("name")).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return {unquote(r.name): r for r in found.collect()}
+
+
 def validate(store: Store, deep: bool = False) -> dict[str, list]:
     """What manifests and files disagree about; deep also reads the rows, one aggregate a series."""
     found: dict[str, list] = {k: [] for k in ISSUES}
     for key in store.keys():
-        meta, folder = store.meta(key), store.folder(key)
+        meta, folder, name = store.meta(key), store.folder(key), ":".join(key)
         there = set(store.files.names(folder))
         for c in meta["chunks"]:
-            if c["relative_path"] not in there:
-                found["missing"].append(f"{':'.join(key)}/{c['relative_path']}")
+            for x in ("", *(f".{y}" for y in c.get("sidecars", []))):
+                if c["relative_path"] + x not in there:
+                    found["missing"].append(f"{name}/{c['relative_path']}{x}")
+        here = [c for c in meta["chunks"] if c["relative_path"] in there]
         if deep:
-            for c in meta["chunks"]:
-                if c["relative_path"] in there:
-                    r = store._rows(key, [c]).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-                    if r.n != c["count"]:
-                        found["count_mismatch"].append(f"{':'.join(key)}/{c['relative_path']}")
-                    elif (r.a, r.b) != (c["start_ts"], c["end_ts"]):
-                        found["range_mismatch"].append(f"{':'.join(key)}/{c['relative_path']}")
+            rows = measured(store, key, [c["relative_path"] for c in here])
+            for c in here:
+                r = rows.get(unquote(c["relative_path"]))
+                if (r.n if r else 0) != c["count"]:
+                    found["count_mismatch"].append(f"{name}/{c['relative_path']}")
+                elif (r.a, r.b) != (c["start_ts"], c["end_ts"]):
+                    found["range_mismatch"].append(f"{name}/{c['relative_path']}")
         starts = [c["start_ts"] for c in meta["chunks"]]
         if starts != sorted(starts):
-            found["unordered_manifest"].append(":".join(key))
+            found["unordered_manifest"].append(name)
     found["untracked"] = store.orphans()
     found["overlap"] = [f"{r.symbol}:{r.category}:{r['name']}#{r.overlap_group}" for r in explain_overlaps(store).collect()]
     if store.pending():
@@ -44,6 +57,26 @@ def validate(store: Store, deep: bool = False) -> dict[str, list]:
     return found
 
 
+def scrub(store: Store) -> dict[str, list]:
+    """Read every row of every chunk and sidecar: what can't be read, and where an index and its rows disagree."""
+    found: dict[str, list] = {"unreadable": [], "index_mismatch": []}
+    both = F.sum(F.xxhash64("ts", "value").cast("decimal(38,0)"))
+    for key in store.keys():
+        for c in store.meta(key)["chunks"]:
+            name = f"{':'.join(key)}/{c['relative_path']}"
+            try:
+                rows = store._rows(key, [c])
+                if VALUES in c.get("sidecars", []):
+                    one, two = (x.agg(F.count("*").alias("n"), both.alias("mark")).first() for x in (rows, store._sidecar(key, [c], VALUES)))
+                    if one != two:
+                        found["index_mismatch"].append(name)
+                else:
+                    rows.agg(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first()
+            except Exception:
+                found["unreadable"].append(name)
+    return found
+
+
 def clean(report: dict[str, list]) -> bool:
     return not any(report.values())
 
@@ -57,50 +90,72 @@ def health(store: Store) -> dict[str, Any]:
     return {"clean": clean(v), "issues": sum(map(len, v.values())), "orphans": len(v["untracked"]), "overlap_groups": len(v["overlap"]), "recovery_pending": store.pending()}
 
 
+def _untracked(store: Store, key: Key, meta: dict) -> list[str]:
+    own = {c["relative_path"] + x for c in meta["chunks"] for x in ("", *(f".{y}" for y in c.get("sidecars", [])))}
+    return [n for n in store.files.names(store.folder(key)) if ".g" in n and n not in own]
+
+
+def _is_sidecar(name: str) -> bool:
+    return name.endswith((f".{ZONES}", f".{VALUES}"))
+
+
 def repair(store: Store, dry_run: bool = False) -> list[str]:
-    """Adopt chunks that no manifest names if they overlap nothing, newer than what is committed; remove the rest."""
+    """Adopt chunks that no manifest names if they overlap nothing, newer than what is committed; remove the rest.
+
+    Under the lock, so not on a sealed store or one open for reading; a dry run only says what it would do.
+    """
+    if dry_run:
+        return _repaired(store, True)
+    with store._locked():
+        return _repaired(store, False)
+
+
+def _repaired(store: Store, dry_run: bool) -> list[str]:
     plan = []
     for key in store.keys():
         meta = json.loads(json.dumps(store.meta(key)))
-        own = {c["relative_path"] for c in meta["chunks"]}
-        for name in store.files.names(store.folder(key)):
-            if ".g" not in name or name in own:
-                continue
+        names = _untracked(store, key, meta)
+        rows = measured(store, key, [n for n in names if not _is_sidecar(n)])
+        adopted = False
+        for name in names:
             part, _, generation = name.rpartition(".g")
-            r = store._rows(key, [{"relative_path": name}]).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-            meets = any(c["start_ts"] <= r.b and c["end_ts"] >= r.a for c in meta["chunks"]) if r.n else True
-            older = any(c["part"] == part and c["generation"] >= int(generation) for c in meta["chunks"])
-            if meets or older:
+            r = rows.get(unquote(name))
+            if r is None or not generation.isdigit() or any(c["start_ts"] <= r.b and c["end_ts"] >= r.a or c["part"] == unquote(part) and c["generation"] >= int(generation) for c in meta["chunks"]):
                 plan.append(f"remove {':'.join(key)}/{name}")
                 if not dry_run:
                     store.files.delete(f"{store.folder(key)}/{name}")
             else:
                 plan.append(f"adopt {':'.join(key)}/{name}")
-                meta["chunks"].append({"chunk_id": name, "part": part, "start_ts": r.a, "end_ts": r.b, "count": r.n, "state": ACTIVE if any(c["part"] == part for c in meta["chunks"]) else SEALED, "generation": int(generation), "relative_path": name})
-        if not dry_run and any(x.startswith(f"adopt {':'.join(key)}/") for x in plan):
-            with store._locked():
-                store._publish(key, meta)
+                adopted = True
+                meta["chunks"].append({"chunk_id": name, "part": unquote(part), "start_ts": r.a, "end_ts": r.b, "count": r.n, "state": ACTIVE if any(c["part"] == unquote(part) for c in meta["chunks"]) else SEALED, "generation": int(generation), "relative_path": name})
+        if adopted and not dry_run:
+            store._publish(key, meta)
     return plan
 
 
 def rebuild(store: Store) -> int:
     """Chunk lists anew from the files; an overlap without a clear winner is an error."""
     n = 0
-    for key in store.keys():
-        meta = json.loads(json.dumps(store.meta(key)))
-        state = {c["relative_path"]: c["state"] for c in meta["chunks"]}
-        chunks = []
-        for name in store.files.names(store.folder(key)):
-            if ".g" in name:
+    with store._locked():
+        for key in store.keys():
+            meta = json.loads(json.dumps(store.meta(key)))
+            known = {c["relative_path"]: c for c in meta["chunks"]}
+            there = store.files.names(store.folder(key))
+            names = [x for x in there if ".g" in x and not _is_sidecar(x)]
+            rows = measured(store, key, names)
+            chunks = []
+            for name in names:
                 part, _, generation = name.rpartition(".g")
-                r = store._rows(key, [{"relative_path": name}]).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-                chunks.append({"chunk_id": name, "part": part, "start_ts": r.a, "end_ts": r.b, "count": r.n, "state": state.get(name, SEALED), "generation": int(generation), "relative_path": name})
-        chunks.sort(key=lambda c: c["start_ts"])
-        if any(a["end_ts"] >= b["start_ts"] for a, b in zip(chunks, chunks[1:], strict=False)):
-            raise invalid_data(f"chunks of {':'.join(key)} overlap")
-        with store._locked():
+                r, old = rows.get(unquote(name)), known.get(name, {})
+                if r is None:
+                    continue
+                kept = {k: old[k] for k in ("sidecars", "min_value", "max_value") if k in old and all(f"{name}.{x}" in there for x in old.get("sidecars", []))}
+                chunks.append({"chunk_id": name, "part": unquote(part), "start_ts": r.a, "end_ts": r.b, "count": r.n, "state": old.get("state", SEALED), "generation": int(generation), "relative_path": name} | kept)
+            chunks.sort(key=lambda c: c["start_ts"])
+            if any(a["end_ts"] >= b["start_ts"] for a, b in zip(chunks, chunks[1:], strict=False)):
+                raise invalid_data(f"chunks of {':'.join(key)} overlap")
             store._publish(key, meta | {"chunks": chunks})
-        n += len(chunks)
+            n += len(chunks)
     return n
 
 
@@ -213,6 +268,18 @@ class Registry:
     def upsert_factor(self, factor_id: str, dataset_id: str, version: str, **more: Any) -> dict:
         return self._put("factors", factor_id, {"factor_id": factor_id, "dataset_id": dataset_id, "version": version} | more)
 
+    def feature(self, feature_id: str) -> dict:
+        return self._one("features", feature_id)
+
+    def factor(self, factor_id: str) -> dict:
+        return self._one("factors", factor_id)
+
+    def _one(self, kind: str, name: str) -> dict:
+        row = self._all()[kind].get(name)
+        if row is None:
+            raise not_found(f"no {kind[:-1]} {name}")
+        return row
+
     def listed(self, kind: str, dataset_id: str | None = None, version: str | None = None) -> list[dict]:
         rows = [r for r in self._all()[kind].values() if dataset_id in (None, r["dataset_id"]) and version in (None, r["version"])]
         return sorted(rows, key=lambda r: r[f"{kind[:-1]}_id"])

@@ -40,9 +40,15 @@ def _sorted(records: list[dict], columns: list[str], optional: tuple[str, ...] =
 class Bridge:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
+        self.opened: list[Store] = []
 
     def store(self, read_only: bool = True) -> Store:
-        return Store(self.spark, self.root, read_only)
+        self.opened.append(Store(self.spark, self.root, read_only))
+        return self.opened[-1]
+
+    def close(self) -> None:
+        for s in self.opened:
+            s.close()
 
     def _scalar_key(self, r: dict) -> Key:
         return Key(r["symbol"], r.get("category", "indicator"), keys.scoped(r["timeframe"], r["name"]))
@@ -179,21 +185,30 @@ class Bridge:
     def seal(self, r):
         return {"digest": admin.seal(self.store(False))["digest"]}
 
+    def scrub(self, r):
+        return admin.scrub(self.store())
+
+    def capabilities(self, r):
+        return self.store().capabilities(self._scalar_key(r) if r.get("name") else keys.kline(r["symbol"], r["timeframe"]))
+
     def verify(self, r):
         return {"digest": admin.verify(self.store(), r.get("digest"))["digest"]}
 
 
-VERBS = sorted(v for v in vars(Bridge) if not v.startswith("_") and v != "store")
+VERBS = sorted(v for v in vars(Bridge) if not v.startswith("_") and v not in ("store", "close"))
 
 
 def call(spark: SparkSession, root: str, verb: str, request: dict[str, Any]) -> dict[str, Any]:
     name = verb.replace("-", "_")
     if name not in VERBS:
         raise invalid_input(f"unknown verb {verb}")
+    bridge = Bridge(spark, root)
     try:
-        return getattr(Bridge(spark, root), name)(request)
+        return getattr(bridge, name)(request)
     except KeyError as e:
         raise invalid_input(f"the request lacks {e}") from None
+    finally:
+        bridge.close()
 
 
 def main(args: list[str] | None = None) -> int:

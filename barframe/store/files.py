@@ -39,6 +39,22 @@ class Files:
         if not self.system(old).rename(self.path(old), self.path(new)):
             raise OSError(f"can't move {old} to {new}")
 
+    def renamed(self, old: str, new: str) -> bool:
+        """Rename a file; False if it is gone, as of several processes only one succeeds."""
+        try:
+            return bool(self.system(old).rename(self.path(old), self.path(new)))
+        except Exception:
+            if self.exists(old):
+                raise
+            return False
+
+    def overwrite(self, name: str, text: str) -> None:
+        stream = self.system(name).create(self.path(name), True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
     def read(self, name: str) -> str:
         stream = self.system(name).open(self.path(name))
         try:

@@ -1,14 +1,24 @@
 """A store: series in folders of Parquet chunks, each with a manifest that says what counts.
 
-A write is one Spark job for all parts of a request, into a staging folder; then each part
-moves to its place and the manifest is published, so a part is the unit of commit.
+A write is one Spark job for all parts of a request, into a staging folder; the staged
+files are checked, then each part moves to its place and the manifest is published, so a
+part is the unit of commit, and the source is read once. A chunk of scalars has a zone map
+and an index of its values beside it, and its least and most value in the manifest.
 Reads take the files that the manifest lists for the range: that prunes by time and
 state before Spark plans the scan.
+
+One writer holds the store at a time, by a lease in a file that it renews; the lease of a
+process that is gone, or of one that hasn't renewed it, can be taken over. Handles for
+reading leave leases too, and keep writers out while they are open.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import socket
+import threading
+import time
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -22,13 +32,40 @@ from .. import keys
 from ..errors import BarframeError, invalid_data, invalid_input, not_found
 from ..functions.predicate import Predicate
 from ..keys import Key
-from ..operators import predicates, reads, sequences
+from ..operators import index, predicates, reads, sequences
 from ..schema import FAMILIES, KLINE, KLINE_FLOW, SCALAR, UNITS, Family, flow_faults, part_of
 from .files import Files
 
 ACTIVE, SEALED, MERGING, REPLACED = "active", "sealed", "merging", "replaced"
 CHUNK = T.StructType([T.StructField(n, t) for n, t in (("symbol", T.StringType()), ("category", T.StringType()), ("name", T.StringType()), ("family", T.StringType()), ("chunk_id", T.StringType()), ("part", T.StringType()), ("start_ts", T.LongType()), ("end_ts", T.LongType()), ("count", T.LongType()), ("state", T.StringType()), ("generation", T.LongType()), ("relative_path", T.StringType()))])
-MANIFEST, LOCK, PENDING, SNAPSHOT = "manifest.json", "lock", "pending", "snapshot.json"
+MANIFEST, LOCK, READERS, PENDING, SNAPSHOT = "manifest.json", "lock", "readers", "pending", "snapshot.json"
+ZONES, VALUES = "zmap", "vix"
+#: Seconds after which a lease that isn't renewed has ended.
+LEASE = 120.0
+#: A part's rows are dealt to that many spans of time at most; small ones share a file.
+SPANS = 32
+SPAN_MS = {"month": 31 * 86_400_000 // SPANS, "day": 86_400_000 // SPANS, "hour": 3_600_000 // SPANS}
+
+
+def _lease() -> str:
+    return json.dumps({"owner": uuid.uuid4().hex, "host": socket.gethostname(), "pid": os.getpid(), "time": time.time()})
+
+
+def _ended(text: str) -> bool:
+    """Whether the holder of a lease is gone; a text that isn't a lease is left over."""
+    try:
+        held = json.loads(text)
+        host, pid, at = held["host"], int(held["pid"]), float(held["time"])
+    except (ValueError, TypeError, KeyError):
+        return True
+    if host == socket.gethostname():
+        try:
+            os.kill(pid, 0)
+        except ProcessLookupError:
+            return True
+        except PermissionError:
+            pass
+    return time.time() - at > LEASE
 
 
 class Policy:
@@ -43,10 +80,31 @@ class Store:
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
         self.files, self.policy = Files(spark), policy or Policy()
         self.cache: dict[Key, dict] = {}
+        self.lease = ""
         if read_only and self.pending():
             raise invalid_data("recovery is pending; open the store for writing first")
-        if not read_only:
-            self.recover()
+        if read_only and self.files.exists(f"{self.root}/series") and not self.sealed():
+            self.lease = f"{self.root}/{READERS}/{uuid.uuid4().hex}"
+            self.files.create(self.lease, _lease())
+        if not read_only and self.pending():
+            with self._locked(recover=True):
+                self.recover()
+
+    def close(self) -> None:
+        """Let writers in again, if this handle is for reading."""
+        if self.lease:
+            self.files.delete(self.lease)
+            self.lease = ""
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def __del__(self):
+        if getattr(self, "lease", "") and self.spark.sparkContext._jsc is not None:
+            self.close()
 
     # ---- layout and manifests -----------------------------------------------------------
 
@@ -85,8 +143,36 @@ class Store:
     def sealed(self) -> bool:
         return self.files.exists(f"{self.root}/{SNAPSHOT}")
 
-    def _locked(self):
+    def _take(self, path: str, lease: str) -> None:
+        """Create the lock, or take over one whose holder is gone."""
+        for _ in range(2):
+            if self.files.create(path, lease):
+                return
+            held = self.files.read(path) if self.files.exists(path) else ""
+            if held and not _ended(held):
+                break
+            aside = f"{path}.{uuid.uuid4().hex}"
+            if self.files.renamed(path, aside):
+                if self.files.read(aside) != held:
+                    self.files.renamed(aside, path)  # another writer was quicker
+                    break
+                self.files.delete(aside)
+        raise BarframeError("IO", "another writer holds the store")
+
+    def _readers(self) -> bool:
+        """Whether a handle for reading is open; leases that have ended go."""
+        live = False
+        for name in self.files.names(f"{self.root}/{READERS}"):
+            path = f"{self.root}/{READERS}/{name}"
+            if _ended(self.files.read(path)):
+                self.files.delete(path)
+            else:
+                live = True
+        return live
+
+    def _locked(self, recover: bool = False):
         store = self
+        path = f"{store.root}/{LOCK}"
 
         class Lock:
             def __enter__(self):
@@ -95,12 +181,22 @@ class Store:
                 if store.sealed():
                     raise invalid_input("the store is sealed")
                 store.files.make(store.root)
-                if not store.files.create(f"{store.root}/{LOCK}", uuid.uuid4().hex):
-                    raise BarframeError("IO", "another writer holds the store")
+                lease = _lease()
+                store._take(path, lease)
+                if not recover and store._readers():
+                    store.files.delete(path)
+                    raise BarframeError("IO", "a reader holds the store")
+                self.done = threading.Event()
+                threading.Thread(target=self.renew, args=(lease,), daemon=True).start()
                 store.cache.clear()
 
+            def renew(self, lease: str):
+                while not self.done.wait(LEASE / 4):
+                    store.files.overwrite(path, json.dumps(json.loads(lease) | {"time": time.time()}))
+
             def __exit__(self, *_):
-                store.files.delete(f"{store.root}/{LOCK}")
+                self.done.set()
+                store.files.delete(path)
 
         return Lock()
 
@@ -162,36 +258,64 @@ class Store:
 
     # ---- writes -------------------------------------------------------------------------
 
-    def _checked(self, df: DataFrame, family: Family, unit: str) -> tuple[DataFrame, list]:
-        """Rows with part and ordinal, and a summary a part; a broken rule rejects the request.
+    def _staged(self, df: DataFrame, family: Family, unit: str, stage: str) -> list:
+        """Write the rows, dealt to parts, and check what was written: a summary a part. A broken rule rejects the request.
 
-        Input with a column `ordinal` has its order from it; other input is taken to be
-        ordered by time, and equal times are an error where the family forbids them.
+        Rows without a column `ordinal` are in the order they come in. Ticks must come in
+        order of time; bars and scalars are sorted. Equal times keep their order where the
+        family allows them.
         """
         lack = [c for c in family.columns if c not in df.columns]
         if lack:
             raise invalid_input(f"missing columns {lack}")
         own = [F.col(f.name).cast(f.dataType).alias(f.name) for f in family.schema]
-        order = F.col("ordinal").cast("long") if "ordinal" in df.columns else F.lit(None).cast("long")
-        rows = df.select(*own, order.alias("ordinal")).withColumn("part", part_of(F.col("ts"), unit))
-        before = F.lag("ts").over(Window.partitionBy("part").orderBy(*(["ordinal"] if "ordinal" in df.columns else ["ts"])))
-        back = F.col("ts") < before if family.equal_ts else F.col("ts") <= before
+        order = F.col("ordinal").cast("long") if "ordinal" in df.columns else F.monotonically_increasing_id()
+        rows = df.select(*own, order.alias("ordinal")).withColumn("part", F.coalesce(part_of(F.col("ts"), unit), F.lit("")))
+        # within a part, by spans of time, so that a large part is more than one task and one file
+        dealt = rows.repartition("part", F.floor(F.col("ts") / SPAN_MS[unit]))
+        dealt.sortWithinPartitions("part", "ts", "ordinal").write.partitionBy("part").parquet(stage)
+        schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in family.schema), T.StructField("ordinal", T.LongType()), T.StructField("part", T.StringType())])
+        rows = self.spark.read.schema(schema).parquet(stage)
+        w = Window.partitionBy("part").orderBy("ts", "ordinal")
+        back = F.lit(False) if family.equal_ts else F.col("ts") == F.lag("ts").over(w)
+        if family.sequence:
+            back = back | (F.col("ordinal") < F.lag("ordinal").over(w))
         nulls = F.lit(False)
         for f in family.schema:
             if not f.nullable:
                 nulls = nulls | F.col(f.name).isNull()
         faults = flow_faults() if family is KLINE_FLOW else F.lit(False)
-        marked = rows.select("*", back.alias("_back"), nulls.alias("_null"), faults.alias("_fault"))
-        parts = marked.groupBy("part").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), F.max(F.coalesce("_back", F.lit(False))).alias("back"), F.max("_null").alias("null"), F.max(F.coalesce("_fault", F.lit(False))).alias("fault")).orderBy("part").collect()
+        marked = rows.select("*", F.coalesce(back, F.lit(False)).alias("_back"), nulls.alias("_null"), F.coalesce(faults, F.lit(False)).alias("_fault"))
+        worth = [F.min("value").alias("low"), F.max("value").alias("high")] if family is SCALAR else []
+        parts = marked.groupBy("part").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), *(F.max(f"_{k}").alias(k) for k in ("back", "null", "fault")), *worth).orderBy("part").collect()
         if any(p.null for p in parts):
             raise invalid_input("a required value is null")
         if any(p.back for p in parts):
             raise invalid_data("timestamps are out of order or repeat")
         if any(p.fault for p in parts):
             raise invalid_input("flow values break a rule")
-        return rows, parts
-
-    def _write(self, key: Key, rows: DataFrame, parts: list, replace: bool = False) -> list[str]:
+        return parts
+
+    def _indexed(self, rows: DataFrame, stage: str) -> None:
+        """Zone maps and value indexes of all parts of (part, ts, value)."""
+        index.zone_map(rows, ["part"]).write.partitionBy("part").parquet(f"{stage}.{ZONES}")
+        ranged = rows.select("part", "value", "ts").repartitionByRange("part", "value", "ts")
+        ranged.sortWithinPartitions("part", "value", "ts").write.partitionBy("part").parquet(f"{stage}.{VALUES}")
+
+    def _place(self, key: Key, stage: str, p, name: str, state: str, generation: int) -> dict:
+        """Move a staged part to its place; its entry in the manifest."""
+        chunk = {"chunk_id": uuid.uuid4().hex, "part": name, "start_ts": p.a, "end_ts": p.b, "count": p.n, "state": state, "generation": generation, "relative_path": f"{quote(name, safe='')}.g{generation:08d}"}
+        sidecars = [x for x in (ZONES, VALUES) if self.files.exists(f"{stage}.{x}")]
+        for x in sidecars:
+            self.files.move(f"{stage}.{x}/part={_escaped(name)}", f"{self.folder(key)}/{chunk['relative_path']}.{x}")
+        self.files.move(f"{stage}/part={_escaped(name)}", f"{self.folder(key)}/{chunk['relative_path']}")
+        return chunk | {"sidecars": sidecars} | ({"min_value": p.low, "max_value": p.high} if sidecars else {})
+
+    def _remove(self, key: Key, chunk: dict) -> None:
+        for x in ("", *(f".{y}" for y in chunk.get("sidecars", []))):
+            self.files.delete(f"{self.folder(key)}/{chunk['relative_path']}{x}")
+
+    def _write(self, key: Key, stage: str, parts: list, replace: bool = False) -> list[str]:
         """Commit part by part; an error names the parts that are done."""
         meta = json.loads(json.dumps(self.meta(key)))
         if not replace:
@@ -199,21 +323,18 @@ class Store:
                 last = max((c["end_ts"] for c in meta["chunks"] if c["part"] == p.part), default=None)
                 if last is not None and p.a <= last:
                     raise invalid_data(f"rows of {p.part} begin at {p.a}, not after {last}")
-        self.files.create(f"{self.root}/{PENDING}", ":".join(key))
-        stage = f"{self.root}/staging/{uuid.uuid4().hex}"
         done: list[str] = []
         try:
-            # a part of a series is one file, sorted; parts are written in parallel
-            rows.repartition("part").sortWithinPartitions("part", "ts", "ordinal").write.partitionBy("part").parquet(stage)
+            if self.family(key) is SCALAR:
+                self._indexed(self.spark.read.schema("ts long, value long, part string").parquet(stage), stage)
             for p in parts:
                 old = [c for c in meta["chunks"] if c["part"] == p.part]
                 generation = max((c["generation"] for c in old), default=0) + 1
-                chunk = {"chunk_id": uuid.uuid4().hex, "part": p.part, "start_ts": p.a, "end_ts": p.b, "count": p.n, "state": ACTIVE if old and not replace else SEALED, "generation": generation, "relative_path": f"{quote(p.part, safe='')}.g{generation:08d}"}
-                self.files.move(f"{stage}/part={_escaped(p.part)}", f"{self.folder(key)}/{chunk['relative_path']}")
+                chunk = self._place(key, stage, p, p.part, ACTIVE if old and not replace else SEALED, generation)
                 meta["chunks"] = [c for c in meta["chunks"] if not (replace and c["part"] == p.part)] + [chunk]
                 self._publish(key, meta)
                 for c in old if replace else []:
-                    self.files.delete(f"{self.folder(key)}/{c['relative_path']}")
+                    self._remove(key, c)
                 done.append(p.part)
                 if self.policy.auto_merge and any(a["part"] == p.part for a in self.advice(key)):
                     self._merge(key, p.part)
@@ -222,12 +343,24 @@ class Store:
             raise
         except Exception as e:
             raise BarframeError("IO", f"write stopped after parts {done}: {e}", completed=done) from e
-        finally:
-            if self.files.exists(stage):
-                self.files.delete(stage)
-        self.files.delete(f"{self.root}/{PENDING}")
         return done
 
+    def _staging(self, key: Key):
+        """A folder for what a write stages; pending until its end."""
+        store, stage = self, f"{self.root}/staging/{uuid.uuid4().hex}"
+
+        class Stage:
+            def __enter__(self) -> str:
+                store.files.create(f"{store.root}/{PENDING}", ":".join(key))
+                return stage
+
+            def __exit__(self, *_) -> None:
+                for x in ("", f".{ZONES}", f".{VALUES}"):
+                    store.files.delete(f"{stage}{x}")
+                store.files.delete(f"{store.root}/{PENDING}")
+
+        return Stage()
+
     def put(self, key: Key, df: DataFrame) -> dict[str, Any]:
         """One batch: bars and scalars in one part; ticks are split. Bars append, scalars replace their part."""
         return self._store(key, df, one_part=self.family(key).name in (KLINE.name, KLINE_FLOW.name, SCALAR.name), replace=self.family(key) is SCALAR)
@@ -237,13 +370,14 @@ class Store:
         return self._store(key, df, merge=self.family(key) is SCALAR)
 
     def _store(self, key: Key, df: DataFrame, one_part: bool = False, replace: bool = False, merge: bool = False) -> dict[str, Any]:
-        with self._locked():
+        with self._locked(), self._staging(key) as stage:
             meta, family = self.meta(key), self.family(key)
-            rows, parts = self._checked(df, family, meta["unit"])
+            parts = self._staged(df, family, meta["unit"], stage)
             if one_part and len(parts) > 1:
                 raise invalid_input("a batch must stay in one part; use append")
             if one_part and not parts:
                 raise invalid_input("a batch must not be empty")
+            n = sum(p.n for p in parts)
             if merge and parts:
                 # scalars append by rewriting their part
                 for p in parts:
@@ -251,9 +385,13 @@ class Store:
                     if last is not None and p.a <= last:
                         raise invalid_data(f"rows of {p.part} begin at {p.a}, not after {last}")
                 old = self._rows(key, [c for c in meta["chunks"] if c["part"] in {p.part for p in parts}])
-                rows, parts = self._checked(old.drop("ordinal").unionByName(rows.drop("ordinal", "part")), family, meta["unit"])
-            written = self._write(key, rows, parts, replace or merge) if parts else []
-            return {"registered": True, "written": sum(p.n for p in parts), "parts": written}
+                fresh = self.spark.read.schema("ts long, value long, part string").parquet(stage).select("ts", "value")
+                with self._staging(key) as both:
+                    parts = self._staged(old.drop("ordinal").unionByName(fresh), family, meta["unit"], both)
+                    written = self._write(key, both, parts, replace=True)
+            else:
+                written = self._write(key, stage, parts, replace) if parts else []
+            return {"registered": True, "written": n, "parts": written}
 
     def _merge(self, key: Key, part: str) -> bool:
         meta = json.loads(json.dumps(self.meta(key)))
@@ -261,12 +399,16 @@ class Store:
         if len(old) < 2:
             return False
         generation = max(c["generation"] for c in old) + 1
-        chunk = {"chunk_id": uuid.uuid4().hex, "part": part, "start_ts": min(c["start_ts"] for c in old), "end_ts": max(c["end_ts"] for c in old), "count": sum(c["count"] for c in old), "state": ACTIVE if any(c["state"] == ACTIVE for c in old) else SEALED, "generation": generation, "relative_path": f"{quote(part, safe='')}.g{generation:08d}"}
-        self._rows(key, old).repartition(1).sortWithinPartitions("ts", "ordinal").write.parquet(f"{self.folder(key)}/{chunk['relative_path']}")
-        meta["chunks"] = [c for c in meta["chunks"] if c["part"] != part] + [chunk]
-        self._publish(key, meta)
-        for c in old:
-            self.files.delete(f"{self.folder(key)}/{c['relative_path']}")
+        state = ACTIVE if any(c["state"] == ACTIVE for c in old) else SEALED
+        with self._staging(key) as stage:
+            parts = self._staged(self._rows(key, old), self.family(key), meta["unit"], stage)
+            if self.family(key) is SCALAR:
+                self._indexed(self.spark.read.schema("ts long, value long, part string").parquet(stage), stage)
+            chunk = self._place(key, stage, parts[0], part, state, generation)
+            meta["chunks"] = [c for c in meta["chunks"] if c["part"] != part] + [chunk]
+            self._publish(key, meta)
+            for c in old:
+                self._remove(key, c)
         return True
 
     def merge(self, key: Key, part: str) -> bool:
@@ -327,17 +469,51 @@ class Store:
     def activity(self, key: Key, start: int, end: int) -> DataFrame:
         return reads.activity(self.between(key, start, end))
 
+    def _in_range(self, key: Key, start: int, end: int) -> list[dict]:
+        return [c for c in self.meta(key)["chunks"] if c["start_ts"] <= end and c["end_ts"] >= start]
+
+    def _sidecar(self, key: Key, chunks: list[dict], kind: str) -> DataFrame:
+        """The zone maps or value indexes of chunks, with the chunk's path as `chunk`."""
+        schema = "value long, ts long" if kind == VALUES else "block long, start_row long, end_row long, start_ts long, end_ts long, min_value long, max_value long"
+        if not chunks:
+            return self.spark.createDataFrame([], f"{schema}, chunk string")
+        found = self.spark.read.schema(schema).parquet(*(f"{self.folder(key)}/{c['relative_path']}.{kind}" for c in chunks))
+        return found.withColumn("chunk", F.regexp_replace(_folder_of(), f"[.]{kind}$", ""))
+
+    def zones(self, key: Key, start: int | None = None, end: int | None = None) -> DataFrame:
+        """The stored zone maps of the chunks that meet the range."""
+        return self._sidecar(key, [c for c in self._in_range(key, -(1 << 63) if start is None else start, 1 << 62 if end is None else end) if ZONES in c.get("sidecars", [])], ZONES)
+
+    def access_path(self, key: Key, predicate: Predicate, start: int, end: int) -> str | None:
+        """The index that answers a predicate in the range; None without a chunk there."""
+        chunks = self._in_range(key, start, end)
+        has = {x: all(x in c.get("sidecars", []) for c in chunks) for x in (ZONES, VALUES)}
+        return predicates.access_path(predicate, has[ZONES], has[VALUES]) if chunks else None
+
     def predicate(self, key: Key, predicate: Predicate, start: int, end: int, values: bool = True) -> DataFrame:
+        """Matches in order of time. Values that are listed come from the value indexes alone,
+        ranges from the chunks whose least and most value meet them, all else from the rows."""
         predicate.validated()
         if start > end:
             raise invalid_input(f"start {start} is after end {end}")
         if predicate.impossible:
             return self.spark.createDataFrame([], "ts long, value long")
-        return predicates.matches(self.frame(key, start, end), predicate, start, end, values)
-
-    def predicate_statistics(self, key: Key, predicate: Predicate, start: int, end: int, block: int = 256) -> DataFrame:
-        """Counters of a zone map made for the call; there is no value index to use."""
-        return predicates.statistics(self.frame(key).withColumn("part", part_of(F.col("ts"), self.meta(key)["unit"])), predicate, start, end, block=block, has_value_index=self.capabilities(key)["value_index"])
+        path, chunks = self.access_path(key, predicate, start, end), self._in_range(key, start, end)
+        if path == predicates.VALUE_INDEX:
+            chunks = [c for c in chunks if predicate.may_hold(c["min_value"], c["max_value"])]
+            return predicates.matches(self._sidecar(key, chunks, VALUES), predicate, start, end, values)
+        if path == predicates.ZONE_MAP:
+            chunks = [c for c in chunks if predicate.may_hold(c["min_value"], c["max_value"])]
+        return predicates.matches(self._rows(key, chunks), predicate, start, end, values)
+
+    def predicate_statistics(self, key: Key, predicate: Predicate, start: int, end: int) -> DataFrame:
+        """One row of counters, chunk by chunk, from the stored indexes; no index without a chunk in the range."""
+        path, chunks = self.access_path(key, predicate, start, end), self._in_range(key, start, end)
+        rows = self._rows(key, chunks).withColumn("chunk", _folder_of() if chunks else F.lit(""))
+        zones = self._sidecar(key, chunks, ZONES) if path == predicates.ZONE_MAP else None
+        found = predicates.statistics(rows, predicate, start, end, part="chunk", has_zone_map=zones is not None, has_value_index=path == predicates.VALUE_INDEX, zones=zones)
+        found = found.withColumn("chunks_scanned", F.col("chunks_considered") - F.col("chunks_pruned"))
+        return found if path else found.withColumn("index_used", F.lit(None).cast("string")).withColumn("fallback_scan", F.lit(False))
 
     def scan(self, key: Key, start: int, end: int) -> DataFrame:
         """Adjacent rows of a tick series, for the reports of operators.sequences."""
@@ -394,16 +570,17 @@ class Store:
         return sorted({s[1] for s in scoped if s and s[0] == timeframe})
 
     def capabilities(self, key: Key) -> dict[str, bool]:
-        """What is stored with the series: writes build no index."""
-        self.meta(key)
-        return {"raw": True, "zone_map": False, "value_index": False}
+        """What is stored with every chunk of the series."""
+        chunks = self.meta(key)["chunks"]
+        has = lambda x: bool(chunks) and all(x in c.get("sidecars", []) for c in chunks)
+        return {"raw": True, "zone_map": has(ZONES), "value_index": has(VALUES)}
 
     def orphans(self) -> list[str]:
         """Folders under a series that its manifest doesn't name."""
         out = []
         for k in self.keys():
             folder = self.folder(k)
-            own = {c["relative_path"] for c in self.files.load(f"{folder}/{MANIFEST}")["chunks"]}
+            own = {c["relative_path"] + x for c in self.files.load(f"{folder}/{MANIFEST}")["chunks"] for x in ("", *(f".{y}" for y in c.get("sidecars", [])))}
             out += [f"{folder.removeprefix(f'{self.root}/series/')}/{n}" for n in self.files.names(folder) if ".g" in n and n not in own]
         return out
 
@@ -411,6 +588,11 @@ class Store:
         return Session(self)
 
 
+def _folder_of():
+    """The name of the folder that a row's file is in."""
+    return F.element_at(F.split("_metadata.file_path", "/"), -2)
+
+
 def _escaped(part: str) -> str:
     """As Spark names the folder of a partition value."""
     return part.replace(":", "%3A")

@@ -1,11 +1,18 @@
 import json
+import shutil
+import socket
+import subprocess
+import sys
+import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from barframe import keys
 from barframe.errors import BarframeError
 from barframe.functions import predicate as p
+from barframe.operators import predicates
 from barframe.operators import sequences as seq
 from barframe.store import admin
 from barframe.store.bridge import VERBS, call
@@ -83,12 +90,93 @@ def test_flow_rules(spark, store):
 
 
 def test_capabilities_are_what_is_stored(spark, store):
-    k = keys.Key("BTC", "x", "y")
-    store.register_scalar(k, M)
-    store.put(k, scalars(spark, [(T, 10), (T + M, 15)]))
-    assert store.capabilities(k) == {"raw": True, "zone_map": False, "value_index": False}
-    assert store.predicate_statistics(k, p.in_set(10), T, MARCH).first().index_used != "ValueIndex"
+    """Scalars get a zone map and a value index with every write; a chunk without them is read raw."""
+    k = store.register_scalar(keys.Key("BTC", "feature", "1m@@x"), M)
+    none = {"raw": True, "zone_map": False, "value_index": False}
     assert code(lambda: store.capabilities(keys.Key("NO", "x", "y"))) == "NOT_FOUND"
+    assert store.capabilities(k) == none and store.predicate_statistics(k, p.gt(1), T, MARCH).first().index_used is None
+    store.append(k, scalars(spark, [(T + i * M, (i * 7) % 100) for i in range(600)] + [(MARCH + i * M, 1000 + i) for i in range(300)]))
+    assert store.capabilities(k) == {"raw": True, "zone_map": True, "value_index": True} and not store.orphans()
+    z = store.zones(k).orderBy("chunk", "start_row").collect()
+    assert [(r.start_row, r.end_row) for r in z] == [(0, 255), (256, 511), (512, 599), (0, 255), (256, 299)] and z[0].min_value == 0 and z[-1].max_value == 1299
+    used = lambda q: store.predicate_statistics(k, q, T, MARCH + 999 * M).first()
+    want = lambda f: sorted([T + i * M for i in range(600) if f((i * 7) % 100)] + [MARCH + i * M for i in range(300) if f(1000 + i)])
+    cases = [(p.eq(14), lambda v: v == 14, "ValueIndex"), (p.in_set(3, 1005), lambda v: v in (3, 1005), "ValueIndex"), (p.gt(1100), lambda v: v > 1100, "ZoneMap"), (p.between(90, 1010), lambda v: 90 <= v <= 1010, "ZoneMap"), (p.ne(14), lambda v: v != 14, "FullScan"), (p.not_in_set(1, 2), lambda v: v not in (1, 2), "FullScan")]
+    for q, f, path in cases:
+        got = store.predicate(k, q, T, MARCH + 999 * M)
+        assert [r.ts for r in got.collect()] == want(f) and all(f(r.value) for r in got.collect())
+        s = used(q)
+        assert (s.index_used, s.rows_matched, s.fallback_scan, s.chunks_considered) == (path, len(want(f)), path == "FullScan", 2)
+        files = "".join(got.inputFiles())
+        assert (".vix" in files) == (path == "ValueIndex") and (path == "FullScan" or ("2024-03" in files) == bool([v for v in want(f) if v >= MARCH]))
+    s = used(p.gt(1100))
+    assert (s.chunks_pruned, s.chunks_scanned, s.blocks_considered, s.blocks_pruned, s.rows_checked) == (1, 1, 5, 3, 300)
+    assert not any(admin.scrub(store).values())
+    store.put(k, scalars(spark, [(T, 5)]))
+    assert store.capabilities(k)["value_index"] and [r.ts for r in store.predicate(k, p.eq(5), T, T + M).collect()] == [T] and not store.orphans()
+    chunk = Path(store.folder(k).removeprefix("file://")) / store.meta(k)["chunks"][0]["relative_path"]
+    shutil.rmtree(f"{chunk}.vix")
+    assert not admin.clean(admin.validate(store))
+
+
+def test_statistics_count_chunks(spark, store):
+    """Blocks begin anew in each chunk, also where a part has several."""
+    k = store.register_kline("BTC", "1m", M, 1, 1)
+    store.put(k, bars(spark, T, 5))
+    store.put(k, bars(spark, T + 9 * M, 5))
+    assert len(store.meta(k)["chunks"]) == 2
+    named = store.frame(k).select("ts", F.col("close").alias("value"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("chunk"))
+    s = predicates.statistics(named, p.gt(-1), T, MARCH, part="chunk", block=4, has_value_index=False).first()
+    assert (s.chunks_considered, s.blocks_considered, s.rows_checked) == (2, 4, 10)
+
+
+def test_writers_and_readers(spark, store, tmp_path):
+    """One writer at a time; a writer that is gone doesn't hold the store; readers keep writers out while they are open."""
+    k = store.register_kline("BTC", "1m", M, 1, 1)
+    store.put(k, bars(spark, T, 3))
+    root = tmp_path / "st"
+    other = subprocess.Popen([sys.executable, "-c", "import time; time.sleep(600)"])
+    held = json.dumps({"owner": "x", "host": socket.gethostname(), "pid": other.pid, "time": time.time()})
+    (root / "lock").write_text(held)
+    (root / "pending").write_text("x")
+    (root / "staging").mkdir(exist_ok=True)
+    (root / "staging" / "unfinished").write_text("x")
+    assert code(lambda: Store(spark, store.root)) == "IO" and (root / "staging" / "unfinished").exists()
+    assert code(lambda: store.put(k, bars(spark, T + 9 * M, 1))) == "IO" and code(lambda: admin.repair(store)) == "IO"
+    other.kill()
+    other.wait()
+    second = Store(spark, store.root)
+    assert not (root / "staging" / "unfinished").exists() and not second.pending()
+    for left in (held, "pid=999999,ts_ms=0", "", json.dumps({"owner": "x", "host": "elsewhere", "pid": 1, "time": time.time() - 1000})):
+        (root / "lock").write_text(left)
+        store.put(k, bars(spark, store.coverage(k)["end_ts"] + M, 1))
+        assert not (root / "lock").exists()
+    (root / "lock").write_text(json.dumps({"owner": "x", "host": "elsewhere", "pid": 1, "time": time.time()}))
+    assert code(lambda: store.put(k, bars(spark, T + 99 * M, 1))) == "IO"
+    (root / "lock").unlink()
+    # writers that take turns see each other's rows
+    second.put(k, bars(spark, T + 100 * M, 1))
+    store.put(k, bars(spark, T + 101 * M, 1))
+    second.cache.clear()
+    assert second.frame(k).count() == store.frame(k).count() == 9
+    reader, again = Store(spark, store.root, read_only=True), Store(spark, store.root, read_only=True)
+    assert code(lambda: store.put(k, bars(spark, T + 200 * M, 1))) == "IO" and not (root / "lock").exists()
+    reader.close()
+    again.close()
+    store.put(k, bars(spark, T + 200 * M, 1))
+    with Store(spark, store.root, read_only=True) as r:
+        assert r.frame(k).count() == 10 and code(lambda: admin.repair(r)) == "INVALID_INPUT"
+
+
+def test_ties_keep_their_order(spark, store):
+    """Without a column ordinal, rows are in the order they come in; ticks out of order are refused."""
+    k = store.register_ticks("trade", "BTC", "spot")
+    rows = [(T + (i // 40) * M, T, 1000 - i, 5, 1, 1, 0) for i in range(200)]
+    cols = "ts long, recv_ts long, trade_id long, price long, qty long, side int, flags int"
+    store.put(k, spark.createDataFrame(rows, cols).repartitionByRange(5, F.desc("trade_id")))
+    assert [r.trade_id for r in store.replay(k, T).collect()] == [1000 - i for i in range(200)]
+    assert code(lambda: store.put(k, spark.createDataFrame([rows[0], rows[-1], rows[0]], cols))) == "INVALID_DATA"
+    assert not store.pending() and not store.orphans()
 
 
 def test_scalars(spark, store):
@@ -152,9 +240,6 @@ def test_recovery_repair_and_locks(spark, store, tmp_path):
     assert code(lambda: Store(spark, store.root, read_only=True)) == "INVALID_DATA"
     again = Store(spark, store.root)
     assert not again.pending() and not (folder / "2024-04.g00000001").exists()
-    (tmp_path / "st" / "lock").write_text("x")
-    assert code(lambda: again.put(k, bars(spark, T + 9 * M, 1))) == "IO"
-    (tmp_path / "st" / "lock").unlink()
     assert code(lambda: Store(spark, store.root, read_only=True).put(k, bars(spark, T + 9 * M, 1))) == "INVALID_INPUT"
 
 
