@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import invalid_data, invalid_input
 from ..functions import predicate as p
 from ..keys import Key, kline
+from ..operators import reads
 from ..schema import KLINE, KLINE_FLOW, MISSING, SCALAR, Family
 from .store import Store
 
@@ -36,6 +37,7 @@ class Reader:
 
     def close(self) -> None:
         self.store.cache.clear()
+        self.store.close()
 
     def _bars(self, kind: str, symbol: str, timeframe: str, start: int, end: int) -> np.ndarray:
         return to_array(getattr(self.store, kind)(kline(symbol, timeframe), start, end))
@@ -55,6 +57,9 @@ class Reader:
     def read_kline_latest(self, symbol, timeframe, limit) -> np.ndarray:
         return to_array(self.store.latest(kline(symbol, timeframe), limit).select(*KLINE.columns))
 
+    def read_kline_flow_latest(self, symbol, timeframe, limit) -> np.ndarray:
+        return to_array(reads.widened(self.store.latest(kline(symbol, timeframe), limit)))
+
     def read_scalar_range(self, symbol, timeframe, category, name, start_ts, end_ts) -> np.ndarray:
         return to_array(self.store.between(Key(symbol, category, f"{timeframe}@@{name}"), start_ts, end_ts))
 
