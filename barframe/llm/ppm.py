@@ -1,33 +1,31 @@
 """Operator 2, LM scoring: prediction by partial matching over bytes, pretrained.
 
-The model is a trie of byte contexts that start at a word's first byte, down to DEPTH
-bytes, with the counts of the training texts. A word's bytes, then an end byte, are
-coded one by one: with the probability of the byte in the longest context, or by an
-escape to the shorter contexts, the last ORDER to 0 bytes, in which bytes that the
-longer contexts know are excluded. Escape probabilities of the trie are estimated from
-the corpus: leaving each occurrence out in turn, how often was the byte new to a context
-of that depth, count and number of bytes? So a word's code length depends on the word
-alone. A text adapts: its words so far are the longest context, blended with the trained
-bytes by the weight of its escape. The code length of a text is the sum over its words
-and its end.
-
-All words of the corpus, with their counts, are dealt to ranges of the sorted order; a
-range holds its part of the trie, found with array operations. Only nodes on the paths of
-the bounds lie in two ranges; their counts are added up first. Of the shorter contexts,
-those of up to SHORT bytes are broadcast, at most 2**24 counts; the longer ones stay a table
-that the bytes after an escape are joined to, so all of their counts hold. For the texts,
-TABLE words of at most TABLE_BYTES are broadcast. A text's other words are joined to the
-scored words, so what moves grows with the corpus.
+A text is its words, in lower case, with one space between, and an end byte. Each byte is
+predicted from the ORDER bytes before it, spaces included, so contexts reach from one word
+into the next; before a text stand end bytes. The contexts of all lengths are a trie, whose
+counts are those of the training texts. A byte that a context has seen n times, of total
+with kinds different ones, has n / (total + kinds); the rest, kinds / (total + kinds), is the
+escape to the next shorter context, in which the bytes that the longer ones know are
+excluded; after the empty context all bytes left are equally likely. A text's score is the
+sum of the logarithms over its bytes: its code length.
+
+So a byte's worth depends on the gram of ORDER + 1 bytes that it ends. All grams of the
+training texts are counted and valued, in tables that are as large as the corpus makes them.
+For the texts, the values of the TABLE most frequent grams are broadcast, 16 bytes each; the
+other grams of a text are joined to the values. Those that training has not seen, which
+escape, are valued once each: they are joined to the followers of their contexts; only
+contexts of up to SHORT bytes are broadcast, at most 65,536 counts. For the base score, the
+words that are not among the WORDS most frequent are joined to the counts. What is broadcast
+changes no result.
 
 Null or empty text: only the end token. Repeated rows are scored each for itself. A null
 doc_id counts as the empty text when rows are held out. An empty table gives an empty
 result; with no training text, every byte is equally likely. Long texts and words are
-coded whole. Columns besides doc_id and text are ignored.
+coded whole. Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -37,430 +35,257 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, crc_of, documents, dropped, pick, utf8, written
+from .shared import arrow_map, crc_of, documents, pick, swept, utf8, written
 
-DEPTH, ORDER = 24, 4
-START, END = 0x20, 0x0A
-#: Bytes that a word and its end can hold: all but six of white space, and the end.
-ALPHABET = 251
-#: The longest context that is broadcast, and the bits of a gram below its length.
-SHORT, BITS = 2, 8 * (ORDER + 1)
-TABLE, TABLE_BYTES = 1 << 17, 64
-#: Words that a task counts before it sends them on.
-COUNTED = 400_000
-#: Words of a sample that place the bounds, per range.
-SAMPLE = 200
-#: What a word of the text gives up to the escape, and the escape's weight before the first word.
-OWN, FIRST = 0.95, 20
-DEPTHS, SIZES, KINDS = 10, 48, 6
+ORDER, SHORT = 5, 1
+END = 0x0A
+#: Bytes that a word and its end can hold, and the space: all but five of white space, one of which is the end.
+ALPHABET = 252
+#: Grams and words that are broadcast, and the most bytes of such a word.
+TABLE, WORDS, WORD_BYTES = 1 << 20, 1 << 17, 64
+#: Words, and bytes of text, that a task counts before it sends them on or sorts them.
+COUNTED, SORTED = 400_000, 2 << 20
+#: Grams that a task holds before it sends them on.
+HELD = 2_000_000
 
 
 # ---- counts -------------------------------------------------------------------------------
 
 
+def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that end in each byte of the texts, as numbers, and where each text's begin."""
+    pad = bytes([END]) * ORDER
+    parts = [pad + b" ".join(words) + bytes([END]) for words in texts]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    flat = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    code = flat.copy()
+    for k in range(1, ORDER + 1):
+        code[k:] |= flat[: len(flat) - k] << 8 * k
+    first = np.cumsum(size) - size
+    inside = np.ones(len(flat), bool)
+    for k in range(ORDER):
+        inside[first + k] = False
+    return code[inside], first - ORDER * np.arange(len(parts))
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    at = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    return codes[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(code, n): the grams of the texts."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        waits: list[list[bytes]] = []
+        size = 0
+
+        def settle() -> None:
+            nonlocal codes, counts, size
+            if waits:
+                kinds, n = np.unique(grams(waits)[0], return_counts=True)
+                codes, counts = _summed(np.concatenate([codes, kinds]), np.concatenate([counts, n]))
+            waits.clear()
+            size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+
+        for batch in batches:
+            for text in utf8(batch.column(0)):
+                waits.append(text.lower().split())
+                size += len(text)
+                if size >= SORTED:
+                    settle()
+                    if len(codes) >= HELD:
+                        yield out()
+                        codes, counts = codes[:0], counts[:0]
+        settle()
+        yield out()
+
+    return arrow_map(docs.select("text"), work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): all words of the texts, n their count in those that train."""
+    """(word, n): the words of the texts."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        held: set[bytes] = set()
 
         def out() -> pa.RecordBatch:
-            only = [w for w in held if w not in seen]
-            block = pa.RecordBatch.from_arrays([pa.array([*seen, *only], pa.binary()), pa.array([*seen.values(), *[0] * len(only)], pa.int64())], names=["word", "n"])
+            block = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
             seen.clear()
-            held.clear()
             return block
 
         for batch in batches:
-            for text, out_ in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                (held if out_ else seen).update(text.lower().split())
-                if len(seen) + len(held) > COUNTED:
+            for text in utf8(batch.column(0)):
+                seen.update(text.lower().split())
+                if len(seen) > COUNTED:
                     yield out()
         yield out()
 
-    return arrow_map(docs.select("text", "held_out"), work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("text"), work, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def in_ranges(words: DataFrame, n: int) -> tuple[DataFrame, list[bytes]]:
-    """The words with the range that each lies in, and the bounds of n ranges about equal.
+# ---- values -------------------------------------------------------------------------------
 
-    A bounded sample, the words of the smallest hashes, sets the bounds; they only balance.
-    """
-    some = words.select("word", F.xxhash64("word").alias("h")).orderBy("h", "word").limit(n * SAMPLE)
-    order = sorted(bytes(r.word)[:DEPTH] for r in some.collect())
-    bounds = sorted({order[k * len(order) // n] for k in range(1, n)}) if order else []
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = [bisect_right(bounds, w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *batch.columns], names=["p", "word", "n"])
+def suffixes(counted: DataFrame, size: int) -> DataFrame:
+    """(code, n): the counts of the last size bytes of the grams."""
+    return counted.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("code")).agg(F.sum("n").alias("n"))
 
-    return arrow_map(words.select("word", "n"), work, "p int, word binary, n long"), bounds
 
+def _context(code: str = "code"):
+    return F.shiftright(code, 8)
 
-def each_range(ranged: DataFrame, n: int, work, schema: str) -> DataFrame:
-    """work(p, words, counts) on whole ranges, sorted; its record batches."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, counts = None, [], []
-        for batch in batches:
-            p = batch.column(0).to_numpy()
-            for part in np.unique(p).tolist():
-                a, b = np.searchsorted(p, [part, part + 1])
-                if part != now:
-                    if words:
-                        yield from work(now, words, np.concatenate(counts))
-                    now, words, counts = part, [], []
-                words += batch.column(1).slice(a, b - a).to_pylist()
-                counts.append(batch.column(2).slice(a, b - a).to_numpy())
-        if words:
-            yield from work(now, words, np.concatenate(counts))
-
-    return arrow_map(ranged.repartition(n, "p").sortWithinPartitions("p", "word"), run, schema)
-
-
-# ---- the trie -----------------------------------------------------------------------------
-
-
-class Level:
-    """The nodes at one depth: rows are words, nodes and children are runs of rows."""
-
-    __slots__ = ("depth", "rows", "symbols", "node_of", "first", "children", "child_of", "child_node", "child_symbol", "total", "kinds", "single")
-
-    def settle(self) -> None:
-        n = len(self.first)
-        self.total = np.bincount(self.child_node, self.children, n).astype(np.int64)
-        self.kinds = np.bincount(self.child_node, self.children > 0, n).astype(np.int64)
-        self.single = np.bincount(self.child_node, self.children == 1, n).astype(np.int64)
-
-
-def levels(words: list[bytes], counts: np.ndarray, known=None) -> Iterator[Level]:
-    """Walk down the trie of sorted words. known(prefix): counts of a node that other ranges share, or None.
-
-    Rows leave at their end, and after a byte that training has not seen there.
-    """
-    flat = b"".join((w[: DEPTH + 1] + b"\n")[: DEPTH + 1].ljust(DEPTH + 1, b"\0") for w in words)
-    matrix = np.frombuffer(flat, np.uint8).reshape(len(words), DEPTH + 1)
-    rows = np.arange(len(words))
-    new_node = np.zeros(len(words), bool)
-    new_node[:1] = True
-    for depth in range(DEPTH + 1):
-        if not len(rows):
-            return
-        x = Level()
-        x.depth, x.rows, x.symbols = depth, rows, matrix[rows, depth]
-        x.node_of = np.cumsum(new_node) - 1
-        new_child = new_node.copy()
-        new_child[1:] |= x.symbols[1:] != x.symbols[:-1]
-        at = np.flatnonzero(new_child)
-        x.first = rows[new_node]
-        x.child_of = np.cumsum(new_child) - 1
-        x.children = np.add.reduceat(counts[rows], at)
-        x.child_node, x.child_symbol = x.node_of[at], x.symbols[at]
-        x.settle()
-        if known:
-            for node in {0, len(x.first) - 1}:
-                full = known(words[x.first[node]][:depth])
-                if full is not None:
-                    mine = np.flatnonzero(x.child_node == node)
-                    x.children[mine] = [full.get(int(s), 0) for s in x.child_symbol[mine]]
-                    x.total[node] = sum(full.values())
-                    x.kinds[node] = sum(v > 0 for v in full.values())
-                    x.single[node] = sum(v == 1 for v in full.values())
-        yield x
-        on = (x.children[x.child_of] > 0) & (x.symbols != END)
-        rows, new_node = rows[on], new_child[on]
-
-
-def escape_class(depth: int, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    size = np.where(total <= 16, total, 12 + np.log2(np.maximum(total, 1)).astype(np.int64))
-    return (min(depth, DEPTHS - 1) * SIZES + np.clip(size, 0, SIZES - 1)) * KINDS + np.clip(kinds, 0, KINDS - 1)
-
-
-def left_out(depth: int, total: np.ndarray, kinds: np.ndarray, single: np.ndarray, stats: np.ndarray) -> None:
-    """Add to stats (class, (new, all)) what leaving out each occurrence shows."""
-    on = total > 1
-    total, kinds, single = total[on], kinds[on], single[on]
-    lone = escape_class(depth, total - 1, kinds - 1)
-    np.add.at(stats, (lone, 0), single)
-    np.add.at(stats, (lone, 1), single)
-    np.add.at(stats, (escape_class(depth, total - 1, kinds), 1), total - single)
-
-
-def escapes(stats: np.ndarray) -> np.ndarray:
-    """The escape probability of each class."""
-    return (stats[:, 0] + 0.3) / (stats[:, 1] + 1)
-
-
-def grams(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the bytes of words, each with the up to ORDER bytes before it: length, then the bytes."""
-    on = np.flatnonzero(counts)
-    if not len(on):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    texts = [b" " + words[k] + b"\n" for k in on.tolist()]
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
-    weight = np.repeat(counts[on], size)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    code, length = flat.copy(), np.minimum(place, ORDER) + 1
-    for k in range(1, ORDER + 1):
-        before = np.concatenate([np.zeros(k, np.int64), flat[:-k]]) << 8 * k
-        code |= np.where(place >= k, before, 0)
-    code |= length << BITS
-    code, weight = code[place > 0], weight[place > 0]
-    kinds, at = np.unique(code, return_inverse=True)
-    return kinds, np.bincount(at, weight).astype(np.int64)
-
-
-class Contexts:
-    """The contexts of up to SHORT bytes: bytes -> counts of the next byte."""
-
-    def __init__(self, codes: list[int], counts: list[int]):
-        self.of: dict[bytes, dict[int, int]] = {}
-        for code, n in zip(codes, counts, strict=True):
-            gram = gram_of(code)
-            self.of.setdefault(gram[:-1], {})[gram[-1]] = n
-
-    def tail(self, word: bytes, at: int, excluded: set[int]) -> tuple[float, list[int], bytes]:
-        """What codes word[at:] and its end: log10 of the probability of the bytes whose contexts are short, the
-        grams of the others, and what the first gram excludes. excluded holds for the first byte."""
-        text = b" " + word + b"\n"
-        worth, codes, gone = 0.0, [], b""
-        for j in range(at + 1, len(text)):
-            if j <= SHORT:
-                worth += self.one(text[:j], text[j], excluded)
-            else:
-                gram = text[max(0, j - ORDER) : j + 1]
-                codes.append(len(gram) << BITS | int.from_bytes(gram))
-                if j == at + 1:
-                    gone = bytes(sorted(excluded))
-            excluded = set()
-        return worth, codes, gone
-
-    def one(self, context: bytes, symbol: int, excluded: Iterable[int], longer: Iterable[dict[int, int]] = ()) -> float:
-        """log10 of the probability of symbol; longer: the counts in the longer contexts, longest first."""
-        chance = 1.0
-        gone = set(excluded)
-        for seen in chain(longer, (self.of.get(context[k:]) for k in range(len(context) + 1))):
-            if not seen:
-                continue
-            left = {s: n for s, n in seen.items() if s not in gone} if gone else seen
-            if not left:
-                continue
-            total, kinds = sum(left.values()), len(left)
-            if symbol in left:
-                return float(np.log10(chance * left[symbol] / (total + kinds)))
-            chance *= kinds / (total + kinds)
-            gone.update(left)
-        return float(np.log10(chance / max(1, ALPHABET - len(gone))))
-
-
-def gram_of(code: int) -> bytes:
-    return (code & (1 << BITS) - 1).to_bytes(ORDER + 1)[-(code >> BITS) :]
-
-
-def followers(every: DataFrame) -> DataFrame:
-    """(context, next): the contexts longer than SHORT, at most ALPHABET counts each, as count << 8 | byte."""
-    body = F.col("code").bitwiseAND(F.lit((1 << BITS) - 1))
-    context = F.shiftleft(F.col("k") - 1, BITS).bitwiseOR(F.shiftright(body, 8)).alias("context")
-    return every.where(F.col("k") > SHORT + 1).groupBy(context).agg(F.collect_list(F.shiftleft("n", 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(255)))).alias("next"))
-
-
-def tails(out: DataFrame, longer: DataFrame, model) -> DataFrame:
-    """(word, more): what the grams of a word that tail() left are worth. Each gram that occurs is valued once."""
-    need = out.select("word", F.posexplode("codes").alias("at", "code"), "gone").select("word", "code", F.when(F.col("at") == 0, F.col("gone")).otherwise(F.expr("X''")).alias("gone"))
-    body = F.shiftright(F.col("code").bitwiseAND(F.lit((1 << BITS) - 1)), 8)
-    asked = need.select("code", "gone").distinct()
-    for k in range(ORDER, SHORT, -1):
-        # a gram without a context of k bytes has a key of its own that nothing meets
-        key = F.when(F.shiftright("code", BITS) > k, body.bitwiseAND(F.lit((1 << 8 * k) - 1)).bitwiseOR(F.lit(k << BITS))).otherwise(-F.col("code"))
-        side = longer.select(F.col("context").alias(f"c{k}"), F.col("next").alias(f"f{k}"))
-        asked = asked.withColumn(f"c{k}", key).join(side, f"c{k}", "left")
+def followers(counted: DataFrame, size: int) -> DataFrame:
+    """(context, next): what follows the contexts of size bytes, at most ALPHABET counts each, as count << 8 | byte."""
+    return suffixes(counted, size + 1).groupBy(_context().alias("context")).agg(F.collect_list(F.shiftleft("n", 8).bitwiseOR(F.col("code").bitwiseAND(F.lit(255)))).alias("next"))
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts = model.value[1]
-        for batch in batches:
-            sides = [(c.offsets.to_pylist(), c.values.to_numpy().tolist()) for c in batch.columns[2:]]
-            values = []
-            for row, (code, gone) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                gram = gram_of(code)
-                seen = ({v & 255: v >> 8 for v in flat[at[row] : at[row + 1]]} for at, flat in sides)
-                values.append(contexts.one(gram[:-1][-SHORT:], gram[-1], gone, seen))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.float64())], names=["code", "gone", "value"])
 
-    none = F.array().cast("array<bigint>")
-    slim = asked.select("code", "gone", *(F.coalesce(f"f{k}", none).alias(f"f{k}") for k in range(ORDER, SHORT, -1)))
-    return need.join(arrow_map(slim, work, "code long, gone binary, value double"), ["code", "gone"]).groupBy("word").agg(F.sum("value").alias("more"))
+def escaped(contexts: Iterable[dict[int, int] | None], symbol: int) -> float:
+    """log10 of the probability of symbol; contexts: the counts that follow in each, longest first."""
+    chance, gone = 1.0, set()
+    for seen in contexts:
+        left = {s: n for s, n in seen.items() if s not in gone} if seen and gone else seen
+        if not left:
+            continue
+        total, kinds = sum(left.values()), len(left)
+        if symbol in left:
+            return float(np.log10(chance * left[symbol] / (total + kinds)))
+        chance *= kinds / (total + kinds)
+        gone.update(left)
+    return float(np.log10(chance / max(1, ALPHABET - len(gone))))
 
 
-# ---- the model ----------------------------------------------------------------------------
+def values(known: DataFrame) -> DataFrame:
+    """(code, n, value): log10 of the probability of the last byte of each known gram after the others."""
+    total = known.groupBy(_context().alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    return known.withColumn("context", _context()).join(total, "context").select("code", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("value"))
+
+
+def escapes(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(code, value) of grams (code) that are not known."""
+    shorter = suffixes(known, SHORT + 1).collect()  # at most 65,536 counts
+    short: dict[int, dict[int, dict[int, int]]] = {k: {} for k in range(SHORT + 1)}
+    for r in shorter:
+        for k in short:
+            here = short[k].setdefault((r.code >> 8) & ((1 << 8 * k) - 1), {})
+            here[r.code & 255] = here.get(r.code & 255, 0) + r.n
+    model = known.sparkSession.sparkContext.broadcast(short)
+    sizes = range(ORDER, SHORT, -1)
+    for k in sizes:
+        side = followers(known, k).select(F.col("context").alias(f"c{k}"), F.col("next").alias(f"f{k}"))
+        asked = asked.withColumn(f"c{k}", _context().bitwiseAND(F.lit((1 << 8 * k) - 1))).join(side, f"c{k}", "left")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.value
+        for batch in batches:
+            found = []
+            for code, *sides in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                longer = ({v & 255: v >> 8 for v in flat or ()} for flat in sides)
+                found.append(escaped(chain(longer, (of[k].get((code >> 8) & ((1 << 8 * k) - 1)) for k in range(SHORT, -1, -1))), code & 255))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["code", "value"])
+
+    return arrow_map(asked.select("code", *(f"f{k}" for k in sizes)), work, "code long, value double")
 
 
 def fit(docs: DataFrame) -> dict:
-    """The scored words (word, n, worth) as a table, and the numbers of the corpus; docs: (text, held_out)."""
-    spark = docs.sparkSession
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = written(word_counts(docs), "words")
-    facts = words.agg(F.sum("n"), F.sum((F.col("n") > 0).cast("long"))).first()
-    ends = docs.where(~F.col("held_out")).count()
-    ranged, bounds = in_ranges(words, n_parts)
-    paths = {b[:k] for b in bounds for k in range(len(b) + 1)}
-
-    def stats(p: int, mine: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = np.zeros((DEPTHS * SIZES * KINDS, 2), np.int64)
-        shared: Counter[bytes] = Counter()
-        for x in levels(mine, counts):
-            whole = np.ones(len(x.first), bool)
-            for node in {0, len(x.first) - 1}:
-                prefix = mine[x.first[node]][: x.depth]
-                if prefix in paths:
-                    whole[node] = False
-                    for c in np.flatnonzero((x.child_node == node) & (x.children > 0)).tolist():
-                        shared[prefix + bytes([x.child_symbol[c]])] += int(x.children[c])
-            left_out(x.depth, x.total[whole], x.kinds[whole], x.single[whole], found)
-        codes, n = grams(mine, counts)
-        at = np.flatnonzero(found.any(1))
-        rows = [("n", list(shared), list(shared.values()), [0] * len(shared)), ("e", [int(k).to_bytes(8) for k in at], found[at, 0].tolist(), found[at, 1].tolist()), ("g", [int(c).to_bytes(8) for c in codes], n.tolist(), [0] * len(n))]
-        for kind, keys, a, b in rows:
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "key", "a", "b"])
-
-    raw = each_range(ranged, n_parts, stats, "kind string, key binary, a long, b long").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    raw = written(raw, "stats")
-    shared: dict[bytes, dict[int, int]] = {}
-    table = np.zeros((DEPTHS * SIZES * KINDS, 2), np.int64)
-    # at most DEPTH + 1 nodes a bound and ALPHABET bytes a node; classes are fixed in number
-    for r in raw.where("kind = 'n'").collect():
-        key = bytes(r.key)
-        shared.setdefault(key[:-1], {})[key[-1]] = r.a
-    for r in raw.where("kind = 'e'").collect():
-        table[int.from_bytes(r.key)] += (r.a, r.b)
-    for prefix, seen in shared.items():
-        v = np.array(list(seen.values()))
-        left_out(len(prefix), *(np.array([q]) for q in (v.sum(), len(v), (v == 1).sum())), table)
-    code = F.conv(F.hex("key"), 16, 10).cast("long")
-    long = raw.where("kind = 'g'").select(code.alias("code"), F.col("a").alias("n"))
-    size = F.shiftright("code", BITS)
-    shorter = long.select(F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("k"), "code", "n")
-    low = F.expr("shiftleft(1L, CAST(8 * k AS INT)) - 1L")
-    every = shorter.select(F.shiftleft("k", BITS).bitwiseOR(F.col("code").bitwiseAND(low)).alias("code"), "k", "n").groupBy("code", "k").agg(F.sum("n").alias("n"))
-    short = every.where(F.col("k") <= SHORT + 1).select("code", "n").toArrow()
-    longer = written(followers(every), "contexts")
-    model = spark.sparkContext.broadcast((escapes(table), Contexts(short.column("code").to_pylist(), short.column("n").to_pylist()), shared))
-
-    def scored(p: int, mine: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        escape, contexts, full = model.value
-        worth = np.zeros(len(mine))
-        open_ = np.ones(len(mine), bool)
-        codes: list[list[int]] = [[] for _ in mine]
-        gone = [b""] * len(mine)
-
-        def tail(row: int, at: int, excluded: set[int]) -> float:
-            own, codes[row], gone[row] = contexts.tail(mine[row], at, excluded)
-            return own
-
-        for x in levels(mine, counts, full.get):
-            some = x.total > 0
-            e = np.where(some, escape[escape_class(x.depth, x.total, x.kinds)], 1)
-            n = x.children[x.child_of]
-            hit = n > 0
-            at = x.node_of[hit]
-            worth[x.rows[hit]] += np.log10((1 - e[at]) * n[hit] / x.total[at])
-            open_[x.rows[hit & (x.symbols == END)]] = False
-            for k in np.flatnonzero(~hit).tolist():
-                row, node = int(x.rows[k]), int(x.node_of[k])
-                seen = full.get(mine[row][: x.depth])
-                if seen is None:
-                    a, b = np.searchsorted(x.child_node, [node, node + 1])
-                    seen = dict(zip(x.child_symbol[a:b].tolist(), x.children[a:b].tolist(), strict=True))
-                worth[row] += np.log10(e[node]) + tail(row, x.depth, {s for s, v in seen.items() if v > 0})
-                open_[row] = False
-        for row in np.flatnonzero(open_).tolist():
-            worth[row] += tail(row, DEPTH + 1, set())
-        yield pa.RecordBatch.from_arrays([pa.array(mine, pa.binary()), pa.array(counts, pa.int64()), pa.array(worth, pa.float64()), pa.array(codes, pa.list_(pa.int64())), pa.array(gone, pa.binary())], names=["word", "n", "worth", "codes", "gone"])
-
-    begun = written(each_range(ranged, n_parts, scored, "word binary, n long, worth double, codes array<long>, gone binary"), "begun")
-    dropped(words)
-    dropped(raw)
-    out = begun.join(tails(begun, longer, model), "word", "left").select("word", "n", (F.col("worth") + F.coalesce("more", F.lit(0.0))).alias("worth"))
-    out = written(out, "scored")
-    dropped(begun)
-    dropped(longer)
-    return {"words": out, "ends": ends, "tokens": (facts[0] or 0) + ends, "kinds": (facts[1] or 0) + (ends > 0)}
-
-
-def memory(words: list[bytes], chances: np.ndarray, end: float, later: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Which words are new to their text, and log10 of all that their text predicts.
-
-    Of the t words before, with d different ones, a word seen n times has (n - OWN) / (t + FIRST);
-    what that leaves, (OWN * d + FIRST) / (t + FIRST), is the escape to the trained model.
-    The two are blended: chances holds the trained chances. A new word has its escape here
-    and its trained chance elsewhere. A repeated word of those in later, whose chance is
-    not at hand, is left out: for each word, its own chance and its escape come instead.
-    """
-    index: dict[bytes, int] = {}
-    n = len(words)
-    local = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, n)
-    order = np.argsort(local, kind="stable")
-    runs = local[order]
-    before = np.empty(n, np.int64)
-    before[order] = np.arange(n) - np.searchsorted(runs, np.arange(len(index)))[runs]
-    new = before == 0
-    t = np.arange(n + 1) + FIRST
-    escape = (OWN * np.concatenate([[0], np.cumsum(new)]) + FIRST) / t
-    own = (before - OWN) / t[:-1]
-    on = ~new & ~later
-    again = own[on] + escape[:-1][on] * chances[on]
-    return new, float(np.log10(escape[np.append(new, True)]).sum() + np.log10(again).sum() + np.log10(end)), own, escape[:-1]
+    """Grams and words of the training texts as tables, and the numbers of the corpus; docs: (text, held_out)."""
+    train = docs.where(~F.col("held_out"))
+    words, known = written(word_counts(train), "words"), written(gram_counts(train), "grams")
+    swept(docs.sparkSession)
+    facts, ends = words.agg(F.sum("n"), F.count("*")).first(), train.count()
+    return {"words": words, "grams": known, "values": written(values(known), "values"), "ends": ends, "tokens": (facts[0] or 0) + ends, "kinds": facts[1] + (ends > 0)}
+
+
+class Values:
+    """Values of grams by a table of slots; those whose slot is taken come from a sorted array."""
+
+    def __init__(self, codes: np.ndarray, worth: np.ndarray):
+        self.bits = max(4, int(len(codes) * 2).bit_length())
+        self.code, self.worth = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        slot = self._slot(codes)
+        # the first of a slot, the most frequent, has it
+        slot, first = np.unique(slot, return_index=True)
+        self.code[slot], self.worth[slot] = codes[first], worth[first]
+        rest = np.ones(len(codes), bool)
+        rest[first] = False
+        order = np.argsort(codes[rest])
+        self.rest, self.rest_worth = np.append(codes[rest][order], 1 << 62), np.append(worth[rest][order], 0.0)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, 0 where unknown, and which are known."""
+        slot = self._slot(codes)
+        known = self.code[slot] == codes
+        worth = np.where(known, self.worth[slot], 0.0)
+        away = np.flatnonzero(~known)
+        at = np.searchsorted(self.rest, codes[away])
+        hit = self.rest[at] == codes[away]
+        worth[away[hit]], known[away[hit]] = self.rest_worth[at[hit]], True
+        return worth, known
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs: (doc_id, text, held_out)."""
     spark = docs.sparkSession
-    words, total, kinds, ends = (model[k] for k in ("words", "tokens", "kinds", "ends"))
-    often = words.where((F.col("n") > 0) & (F.length("word") <= TABLE_BYTES)).orderBy(F.desc("n"), "word").limit(TABLE).toArrow()
-    stop = (ends + 1) / (total + 2)
-    go = float(np.log10(1 - stop))
+    words, valued, total, kinds, ends = (model[k] for k in ("words", "values", "tokens", "kinds", "ends"))
+    often = words.where(F.length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    top = valued.orderBy(F.desc("n"), "code").limit(TABLE).select("code", "value").toArrow()
     base_of = lambda c: np.log10((c + 1) / (total + kinds + 1))
-    known = spark.sparkContext.broadcast((often.column("word").to_pylist(), base_of(often.column("n").to_numpy().astype(float)), often.column("worth").to_numpy() + go))
-    end_base, end_chance, end_known = float(base_of(float(ends))), stop, int(ends > 0)
+    known = spark.sparkContext.broadcast((often.column("word").to_pylist(), base_of(often.column("n").to_numpy().astype(float)), top.column("code").to_numpy(), top.column("value").to_numpy()))
+    end_base, end_known = float(base_of(float(ends))), int(ends > 0)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     kind = dict(docs.dtypes)["doc_id"]
+    types = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "worth": pa.float64(), "rest": pa.list_(pa.binary()), "times": pa.list_(pa.int64()), "codes": pa.list_(pa.int64()), "often": pa.list_(pa.int64())}
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, bases, worths = known.value
-        chances = np.append(10**worths, 0.0)
-        place = {w: k for k, w in enumerate(names)}.get
+        names, bases, codes, worths = known.value
+        place, table = {w: k for k, w in enumerate(names)}.get, Values(codes, worths)
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for text in utf8(batch.column(3)):
-                mine = text.lower().split()
-                at = np.fromiter((place(w, -1) for w in mine), np.int64, len(mine))
-                hit = at >= 0
-                new, worth, own, escape = memory(mine, np.where(hit, chances[at], 0), end_chance, ~hit)
-                rest = Counter([mine[k] for k in np.flatnonzero(~hit).tolist()])
-                again: dict[bytes, list[float]] = {}
-                for k in np.flatnonzero(~hit & ~new).tolist():
-                    again.setdefault(mine[k], []).extend((own[k], escape[k]))
-                for c, v in zip(cols, (len(mine) + 1, int(hit.sum()) + end_known, float(bases[at[hit]].sum()) + end_base, worth + float(worths[at[hit & new]].sum()), list(rest), list(rest.values()), [again.get(w, []) for w in rest]), strict=True):
-                    c.append(v)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "worth", "rest", "times", "again"])
-
-    rows = written(arrow_map(numbered, work, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, worth double, rest array<binary>, times array<long>, again array<array<double>>"), "texts")
-    rare = rows.select("row", F.explode(F.arrays_zip("rest", "times", "again")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"), F.col("x.again").alias("again"))
-    # the chance in the blend: that of a trained word of at most TABLE_BYTES, as in memory()
-    chance = F.when((F.col("n") > 0) & (F.length("word") <= TABLE_BYTES), F.pow(F.lit(10.0), F.col("worth") + F.lit(go))).otherwise(F.lit(0.0))
-    # again holds pairs: a word's own chance, its escape
-    repeats = lambda c: F.aggregate(F.sequence(F.lit(1), F.size("again"), F.lit(2)), F.lit(0.0), lambda a, i: a + F.log10(F.element_at("again", i) + F.element_at("again", i + 1) * c))
-    blended = F.when(F.size("again") > 0, repeats(F.col("chance"))).otherwise(F.lit(0.0))
-    got = rare.join(words, "word").withColumn("chance", chance).groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("k"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(total + kinds + 1)))).alias("b"),
-        F.sum(F.col("worth") + F.lit(go) + blended).alias("w"),
-    )
+            waits: list[tuple[int, list[bytes]]] = []
+            size, last = 0, batch.num_rows - 1
+            for i, text in enumerate(utf8(batch.column(3))):
+                waits.append((i, text.lower().split()))
+                size += len(text)
+                if size < SORTED and i < last:
+                    continue
+                mine, first = grams([w for _, w in waits])
+                worth, hit = table.of(mine)
+                ends_at = np.append(first[1:], len(mine))
+                sums = np.add.reduceat(worth, first)
+                cols: list[list] = [[] for _ in types]
+                for (_, own), a, b, s in zip(waits, first.tolist(), ends_at.tolist(), sums.tolist(), strict=True):
+                    at = np.fromiter((place(w, -1) for w in own), np.int64, len(own))
+                    there = at >= 0
+                    rest = Counter([own[k] for k in np.flatnonzero(~there).tolist()])
+                    tail, often_ = np.unique(mine[a:b][~hit[a:b]], return_counts=True)
+                    for c, v in zip(cols, (len(own) + 1, int(there.sum()) + end_known, float(bases[at[there]].sum()) + end_base, s, list(rest), list(rest.values()), tail, often_), strict=True):
+                        c.append(v)
+                rows = batch.slice(waits[0][0], len(waits))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], *(pa.array(c, t) for c, t in zip(cols, types.values(), strict=True))], names=["row", "doc_id", "held_out", *types])
+                waits, size = [], 0
+
+    rows = written(arrow_map(numbered, work, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, worth double, rest array<binary>, times array<long>, codes array<long>, often array<long>"), "texts")
+    rare = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
+    n = F.coalesce("n", F.lit(0))
+    of_words = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(total + kinds + 1)))).alias("b"))
+    tails = rows.select("row", F.explode(F.arrays_zip("codes", "often")).alias("x")).select("row", F.col("x.codes").alias("code"), F.col("x.often").alias("often"))
+    found = written(tails.join(valued.select("code", "value"), "code", "left"), "tails")
+    strange = found.where("value IS NULL")
+    new = escapes(strange.select("code").distinct(), model["grams"])
+    both = found.where("value IS NOT NULL").select("row", "often", "value").unionByName(strange.select("row", "code", "often").join(new, "code").select("row", "often", "value"))
+    of_grams = both.groupBy("row").agg(F.sum(F.col("often") * F.col("value")).alias("g"))
     plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return rows.drop("rest", "times", "again").join(got, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("worth", "w").alias("score"))
+    out = rows.drop("rest", "times", "codes", "often").join(of_words, "row", "left").join(of_grams, "row", "left")
+    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "k").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("worth", "g").alias("score"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
