@@ -59,8 +59,10 @@ MOVED = 6
 REMEMBERED = 200_000
 #: Signatures of a batch of packs; how many nodes of a batch make a signature frequent.
 BATCH, FREQUENT = 500_000, 8
-#: Characters of text for a partition of the signatures, at most; that is about 8 million of them, 128 MB.
+#: Characters of text for a partition of the signatures, at most; that is about 8 million of them, 112 MB.
 PART_CHARS = 64 << 20
+#: Signatures of a partition that are sorted at once.
+RANGE = 500_000
 #: Nodes and shingles of a group that one block holds, and of a chunk of a larger one.
 GROUP, GROUP_ITEMS = 512, 1 << 21
 CHUNK, CHUNK_ITEMS = 256, 1 << 20
@@ -267,39 +269,46 @@ def text_key(text: bytes) -> int:
 def candidates(packed: DataFrame, parts: int) -> DataFrame:
     """(a, b, doc_id, ...): pairs of keys of nodes that share a signature, and the documents, whose a is null.
 
-    A node is paired with the first of its signature. A task holds the packs of a partition; packs() sizes it.
+    A node is paired with the first of its signature. A task holds the packs of a partition, as they came, and
+    sorts RANGE signatures or so at a time.
     """
     names = ["doc_id", "n_shingles", "node", "key", "band", "text"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, keys, left, right = [], [], [], []
+        sigs, keys = [], []
         kind = None
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            a, b = _pairs(a, b)
+            empty = [pa.nulls(len(a), t) for t in (kind, pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *empty], names=["a", "b", *names])
+
         for batch in batches:
             kind = batch.column("doc_id").type
             docs = batch.filter(pc.is_null(batch.column("a")))
             if len(docs):
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(docs), pa.int64())] * 2 + [docs.column(k) for k in names], names=["a", "b", *names])
-            packs = batch.filter(pc.is_valid(batch.column("a")))
-            for a, b, sure in zip(*(packs.column(k).to_pylist() for k in ("a", "b", "sure")), strict=True):
-                (right if sure else keys).append(np.frombuffer(b, np.int64))
-                if sure:
-                    left.append(np.frombuffer(a, np.int64))
+            for a, b, sure in zip(*(batch.column(k) for k in ("a", "b", "sure")), strict=True):
+                if not a.is_valid:
+                    continue
+                key = np.frombuffer(b.as_buffer(), np.int64)
+                if sure.as_py():
+                    yield pairs(np.frombuffer(a.as_buffer(), np.int64), key)
                 else:
-                    sigs.append(np.zeros((len(keys[-1]), 8), np.uint8))
-                    sigs[-1][:, :MOVED] = np.frombuffer(a, np.uint8).reshape(-1, MOVED)
-        if sigs:
-            sig, key = np.concatenate(sigs).view(np.int64).ravel(), np.concatenate(keys)
-            sigs = keys = None
-            order = np.argsort(sig)
+                    sigs.append(np.frombuffer(a.as_buffer(), np.uint8).reshape(-1, MOVED))
+                    keys.append(key)
+        ranges = min(256, -(-sum(map(len, keys)) // RANGE))
+        for k in range(ranges):
+            low, high = 256 * k // ranges, 256 * (k + 1) // ranges
+            here = [(x[:, -1] >= low) & (x[:, -1] < high) for x in sigs]
+            key = np.concatenate([x[m] for x, m in zip(keys, here, strict=True)])
+            sig = np.zeros((len(key), 8), np.uint8)
+            sig[:, :MOVED] = np.concatenate([x[m] for x, m in zip(sigs, here, strict=True)])
+            order = np.argsort(sig := sig.view(np.int64).ravel())
             sig, key = sig[order], key[order]
-            fresh = np.append(True, sig[1:] != sig[:-1])
+            fresh = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))
-            left.append(key[~fresh])
-            right.append(key[first[~fresh]])
-        if left:
-            a, b = _pairs(np.concatenate(left), np.concatenate(right))
-            empty = [pa.nulls(len(a), t) for t in (kind, pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *empty], names=["a", "b", *names])
+            yield pairs(key[~fresh], key[first[~fresh]])
 
     kinds = dict(packed.dtypes)
     dealt = packed.repartitionById(parts, "p").drop("p")

@@ -96,6 +96,14 @@ def strings(column: pa.Array) -> list[str]:
     return [x.decode("utf-8", "replace") for x in utf8(column)]
 
 
+#: Rows of a batch that Python gets at once, at most: texts may be long.
+BATCH_ROWS = 1000
+
+
 def arrow_map(df: DataFrame, work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of at most BATCH_ROWS rows, a setting of the session."""
     reach(df.sparkSession)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(rows, BATCH_ROWS)
     return df.mapInArrow(work, schema)
