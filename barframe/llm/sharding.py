@@ -68,3 +68,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     placed = place(docs.select("doc_id", "source", "n_chars"), ["doc_id"], [f"shard-{k:03d}" for k in range(SHARDS)])
     return placed.select("d.doc_id", "d.source", "d.n_chars", "slot", "shard")
+
+
+def _oracle() -> str:
+    """The generated table as a list, and the hash in SQL."""
+    table = ", ".join(map(str, lookup_table([f"shard-{k:03d}" for k in range(SHARDS)])))
+    return f"""
+WITH t AS (SELECT [{table}] AS shards),
+s AS (SELECT doc_id, source, n_chars, (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {SLOTS})::BIGINT AS slot FROM documents)
+SELECT doc_id, source, n_chars, slot, printf('shard-%03d', shards[slot + 1]) AS shard FROM s, t
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -162,7 +162,7 @@ def test_against_sql(spark, sf):
     db = duckdb.connect()
     for t in ("documents", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for f, sql in ((quality.op3_quality_rules, quality.ORACLE_SQL), (chat.op10_chat_formatting, chat.ORACLE_SQL)):
+    for f, sql in ((quality.op3_quality_rules, quality.ORACLE_SQL), (sharding.op4_sharding, sharding.ORACLE_SQL), (chat.op10_chat_formatting, chat.ORACLE_SQL)):
         df = f(spark, sf)
         want = db.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in df.columns)} FROM ({sql})").fetchall()
         assert Counter(map(tuple, df.collect())) == Counter(want)
