@@ -379,3 +379,16 @@ def r16_json(spark, d):
     root = store(spark, d).root
     found = [(x, r) for x in SYMBOLS for r in call(spark, root, "read-kline-activity", {"symbol": x, "timeframe": "1h", "start_ts": START, "end_ts": END})["records"]]
     return _rows(spark, "symbol string, " + ", ".join(f"{c} long" for c in ("ts", "volume", *FLOW)), *((x, *(r[c] for c in ("ts", "volume", *FLOW))) for x, r in found))
+
+
+@query("c05_backtest_view", f"SELECT symbol, ts, open, close FROM bar_view WHERE {_IN} AND ts BETWEEN {START} AND {END}")
+def c05_backtest_view(spark, d):
+    return store(spark, d).backtest_view().attach_timeframe("1h", list(SYMBOLS)).bars("1h", START, END)
+
+
+@query("m03_scrub", "SELECT 0::BIGINT AS unreadable, 0::BIGINT AS index_mismatch")
+def m03_scrub(spark, d):
+    s, _ = _small(spark, d)
+    s.put(s.register_scalar(Key(ONE, "feature", "1m@@value"), 60_000), views.scalars(spark, d).where(F.col("symbol") == ONE))
+    found = admin.scrub(s)
+    return _rows(spark, "unreadable long, index_mismatch long", (len(found["unreadable"]), len(found["index_mismatch"])))

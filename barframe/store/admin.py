@@ -19,6 +19,10 @@ from .store import ACTIVE, MANIFEST, SEALED, SNAPSHOT, VALUES, ZONES, Store
 ISSUES = ("missing", "untracked", "count_mismatch", "range_mismatch", "overlap", "unordered_manifest", "pending")
 
 
+#: Of the registry's file; 1 had no status and checksum of datasets.
+FORMAT = 2
+
+
 def measured(store: Store, key: Key, names: list[str]) -> dict[str, Any]:
     """Rows, least and most time of each of these folders of a series, whatever manifests say: one scan, grouped by folder."""
     if not names:
@@ -218,8 +222,13 @@ class Registry:
         self.spark, self.path, self.files = spark, path, Files(spark)
 
     def _all(self) -> dict[str, dict]:
+        """The rows as of now: those of older formats get what has been added since."""
         found = self.files.load(self.path) if self.files.has(self.path) else {}
-        return {"datasets": {}, "features": {}, "factors": {}} | found
+        if found.get("format", 1) > FORMAT:
+            raise invalid_data(f"the registry has format {found['format']}, newer than {FORMAT}")
+        rows = {"datasets": {}, "features": {}, "factors": {}} | {k: v for k, v in found.items() if k != "format"}
+        rows["datasets"] = {k: {"status": "open", "checksum": None} | v for k, v in rows["datasets"].items()}
+        return rows
 
     def _put(self, kind: str, key: str, row: dict) -> dict:
         everything = self._all()
@@ -227,7 +236,7 @@ class Registry:
         if kind == "datasets" and old and old.get("status") == "sealed" and old != row:
             raise invalid_input(f"{key} is published and can't change")
         everything[kind][key] = row
-        self.files.publish(self.path, json.dumps(everything, indent=1, sort_keys=True))
+        self.files.publish(self.path, json.dumps(everything | {"format": FORMAT}, indent=1, sort_keys=True))
         return row
 
     def upsert_dataset(self, dataset_id: str, version: str, root: str, created_at: int, **more: Any) -> dict:

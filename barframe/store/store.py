@@ -587,6 +587,9 @@ class Store:
     def session(self) -> Session:
         return Session(self)
 
+    def backtest_view(self, *plan: Key) -> BacktestView:
+        return BacktestView(self).initialize(*plan)
+
 
 def _folder_of():
     """The name of the folder that a row's file is in."""
@@ -622,15 +625,16 @@ class Cursor:
 
 
 class Session:
-    """Attached series as cached frames; others are read through the store."""
+    """Attached series as cached frames, with the manifests as they were then; others are read through the store."""
 
     def __init__(self, store: Store):
-        self.store, self.attached = store, {}
+        self.store, self.attached, self.metas, self.answers = store, {}, {}, {}
 
     def attach(self, *wanted: Key) -> None:
         for k in wanted:
             if k not in self.attached:
                 self.attached[k] = self.store.frame(k)
+                self.metas[k] = self.store.meta(k)
 
     def prewarm(self, eager: bool = False) -> None:
         for df in self.attached.values():
@@ -651,17 +655,76 @@ class Session:
         return reads.latest(df, n, "ordinal").drop("ordinal") if df is not None else self.store.latest(key, n)
 
     def predicate(self, key: Key, predicate: Predicate, start: int, end: int) -> DataFrame:
-        df = self.attached.get(key)
-        return predicates.matches(df, predicate, start, end) if df is not None else self.store.predicate(key, predicate, start, end)
+        """Matches with their values; the frame of an answer is kept until a reset."""
+        asked = (key, predicate, start, end)
+        if asked not in self.answers:
+            df = self.attached.get(key)
+            self.answers[asked] = predicates.matches(df, predicate, start, end) if df is not None else self.store.predicate(key, predicate, start, end)
+        return self.answers[asked]
 
     def inventory(self) -> list[Key]:
         return sorted(self.attached)
 
+    def capabilities(self) -> dict[Key, dict[str, bool]]:
+        return {k: self.store.capabilities(k) for k in self.inventory()}
+
+    def health(self) -> dict[Key, bool]:
+        """Whether the files of each attached series are still those that it was attached with."""
+        there = {k: set(self.store.files.names(self.store.folder(k))) for k in self.inventory()}
+        return {k: all(c["relative_path"] in there[k] for c in self.metas[k]["chunks"]) for k in there}
+
+    def cached(self) -> dict[str, int]:
+        return {"attached": len(self.attached), "cached": sum(df.storageLevel.useMemory for df in self.attached.values()), "answers": len(self.answers)}
+
     def reset(self, scope: str = "query") -> None:
-        """query and logical free what is cached; full also detaches."""
+        """query forgets answers, logical frees cached rows too, full also detaches."""
         if scope not in ("query", "logical", "full"):
             raise invalid_input(f"unknown scope {scope}")
+        self.answers.clear()
+        if scope == "query":
+            return
         for df in self.attached.values():
             df.unpersist()
         if scope == "full":
             self.attached.clear()
+            self.metas.clear()
+
+
+class BacktestView:
+    """A session for a plan of series, all attached at the start; a snapshot tells what a run has read."""
+
+    def __init__(self, store: Store):
+        self.session = store.session()
+
+    def initialize(self, *plan: Key) -> BacktestView:
+        self.session.reset("full")
+        self.session.attach(*plan)
+        return self
+
+    def attach_timeframe(self, timeframe: str, symbols: list[str]) -> BacktestView:
+        self.session.attach(*(keys.kline(s, timeframe) for s in symbols))
+        return self
+
+    def bars(self, timeframe: str, start: int, end: int) -> DataFrame:
+        """(symbol, ts, open, close) of all attached series of bars, for operators.backtest."""
+        own = [k for k in self.session.inventory() if k.category == keys.KLINE and k.name == timeframe]
+        if not own:
+            raise not_found(f"no bars of {timeframe} are attached")
+        out = None
+        for k in own:
+            one = self.session.between(k, start, end).select(F.lit(k.symbol).alias("symbol"), "ts", "open", "close")
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def between(self, key: Key, start: int, end: int) -> DataFrame:
+        return self.session.between(key, start, end)
+
+    def latest(self, key: Key, n: int) -> DataFrame:
+        return self.session.latest(key, n)
+
+    def predicate(self, key: Key, predicate: Predicate, start: int, end: int) -> DataFrame:
+        return self.session.predicate(key, predicate, start, end)
+
+    def snapshot(self) -> dict[str, list[str]]:
+        """The chunks that each attached series is read from."""
+        return {":".join(k): [c["chunk_id"] for c in self.session.metas[k]["chunks"]] for k in self.session.inventory()}

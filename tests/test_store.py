@@ -309,3 +309,49 @@ def test_bridge(spark, tmp_path):
     assert do("overlaps") == {"groups": []} and do("orphans") == {"orphans": []} and do("repair") == {"actions": []} and do("rebuild")["chunks"] == 3
     assert do("seal")["digest"] == do("verify")["digest"]
     assert code(lambda: do("nothing")) == "INVALID_INPUT" and len(VERBS) >= 20
+
+
+def test_sessions_and_views(spark, store):
+    from barframe.operators import backtest
+
+    k = store.register_kline("A", "1h", H, 1, 1)
+    other = store.register_kline("B", "1h", H, 1, 1)
+    x = store.register_scalar(keys.Key("A", "feature", "1h@@x"), H)
+    for key in (k, other):
+        store.append(key, bars(spark, T, 80, H))
+    store.put(x, scalars(spark, [(T + i * H, i) for i in range(80)]))
+    s = store.session()
+    s.attach(k, x)
+    s.prewarm(eager=True)
+    assert [r.value for r in s.predicate(x, p.gt(77), T, MARCH).collect()] == [78, 79] and s.predicate(x, p.gt(77), T, MARCH) is s.predicate(x, p.gt(77), T, MARCH)
+    assert s.cached() == {"attached": 2, "cached": 2, "answers": 1} and s.health() == {k: True, x: True} and s.capabilities()[x]["zone_map"] and not s.capabilities()[k]["zone_map"]
+    s.reset("query")
+    assert s.cached() == {"attached": 2, "cached": 2, "answers": 0}
+    s.reset("logical")
+    assert s.cached() == {"attached": 2, "cached": 0, "answers": 0}
+    s.reset("full")
+    assert s.cached() == {"attached": 0, "cached": 0, "answers": 0} and code(lambda: s.reset("other")) == "INVALID_INPUT"
+    view = store.backtest_view(x).attach_timeframe("1h", ["A", "B"])
+    account = backtest.accounts(view.bars("1h", T, MARCH), "momentum", 100)
+    assert account.count() == 160 and backtest.summary(account, "momentum").first().fills > 0
+    assert set(view.snapshot()) == {"A:kline:1h", "B:kline:1h", "A:feature:1h@@x"} and view.snapshot()["A:kline:1h"] == [c["chunk_id"] for c in store.meta(k)["chunks"]]
+    assert view.predicate(x, p.eq(5), T, MARCH).first().value == 5 and view.latest(k, 2).count() == 2 and view.between(other, T, T).count() == 1
+    assert code(lambda: store.backtest_view().bars("1h", T, MARCH)) == "NOT_FOUND"
+    s.attach(k)
+    store.append(k, bars(spark, T + 100 * H, 1))
+    store.merge(k, "2024-02")
+    assert s.health() == {k: False}
+
+
+def test_registry_formats(spark, tmp_path):
+    path = tmp_path / "registry.json"
+    path.write_text(json.dumps({"datasets": {"d@1": {"dataset_id": "d", "version": "1", "root": "r", "created_at": 1}}}))
+    r = admin.Registry(spark, str(path))
+    assert r.dataset("d", "1")["status"] == "open" and r.latest("d")["checksum"] is None
+    r.upsert_feature("f", "d", "1", note="x")
+    r.upsert_factor("g", "d", "1")
+    assert r.feature("f")["note"] == "x" and r.factor("g")["version"] == "1" and code(lambda: r.factor("f")) == "NOT_FOUND"
+    assert json.loads(path.read_text())["format"] == 2
+    (tmp_path / ".registry.json.crc").unlink()
+    path.write_text(json.dumps({"format": 3}))
+    assert code(lambda: r.datasets()) == "INVALID_DATA"
