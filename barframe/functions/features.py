@@ -24,9 +24,35 @@ def rolling_mean(column: str, n: int, by: list[str]) -> Column:
     return floor_div(F.sum(column).over(w), F.count(column).over(w))
 
 
+def with_sums(rows: DataFrame, by: list[str], sums: dict[str, tuple[str, int]]) -> DataFrame:
+    """name -> (column, n): sums over the last n rows that exist, of columns without nulls, and `_seen`, the rows so far.
+
+    A sum is the difference of two running sums, so its cost doesn't grow with n.
+    """
+    w = Window.partitionBy(*by).orderBy("ts")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    columns = list(dict.fromkeys(c for c, _ in sums.values()))
+    run = rows.select("*", F.row_number().over(w).cast("long").alias("_seen"), *(F.sum(F.col(c).cast("decimal(38,0)")).over(so_far).alias(f"_run_{c}") for c in columns))
+    last = [(F.col(f"_run_{c}") - F.coalesce(F.lag(f"_run_{c}", n).over(w), F.lit(0))).cast("long").alias(k) for k, (c, n) in sums.items()]
+    return run.select(*rows.columns, "_seen", *last)
+
+
+def _floored(total: Column, n: Column) -> Column:
+    """Floor of a quotient of 64-bit integers, without leaving them."""
+    return F.call_function("div", total - F.pmod(total, n), n)
+
+
 def with_rolling(bars: DataFrame, by: list[str]) -> DataFrame:
     """All usual features; they share one shuffle and sort."""
-    return bars.select("*", *(rolling_mean(c, n, by).alias(k) for k, (c, n) in ROLLING.items()))
+    rows = with_sums(bars, by, {f"_sum_{k}": v for k, v in ROLLING.items()})
+    return rows.select(*bars.columns, *(_floored(F.col(f"_sum_{k}"), F.least("_seen", F.lit(n).cast("long"))).alias(k) for k, (_, n) in ROLLING.items()))
+
+
+def with_sma_signal(bars: DataFrame, by: list[str], name: str, fast: int = 20, slow: int = 60) -> DataFrame:
+    """Bars with sma_signal() as a column, whatever the length of the means."""
+    rows = with_sums(bars, by, {"_fast": ("close", fast), "_slow": ("close", slow)})
+    up = F.col("_fast").cast("decimal(20,0)") * slow > F.col("_slow").cast("decimal(20,0)") * fast
+    return rows.select(*bars.columns, ((F.col("_seen") >= slow) & up).alias(name))
 
 
 def sma_signal(by: list[str], fast: int = 20, slow: int = 60) -> Column:

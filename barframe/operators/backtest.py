@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import invalid_data, invalid_input
-from ..functions.features import momentum_signal, sma_signal
+from ..functions.features import momentum_signal, with_sma_signal
 
 CASES = ("rsi", "sma", "momentum")
 PERIOD, BUY, SELL = 14, 30, 70
@@ -64,18 +64,17 @@ def rsi_signal(rsi: Column | str) -> Column:
 def _desired(bars: DataFrame, case: str) -> DataFrame:
     if case == "rsi":
         return strength(bars).withColumn("desired", rsi_signal("rsi")).drop("rsi")
-    return bars.withColumn("desired", {"sma": sma_signal, "momentum": momentum_signal}[case](["symbol"]))
+    if case == "sma":
+        return with_sma_signal(bars, ["symbol"], "desired")
+    return bars.withColumn("desired", momentum_signal(["symbol"]))
 
 
 def checked(bars: DataFrame) -> int:
-    """The number of symbols; bars that repeat, differ in their times or have no price are an error. One aggregate."""
-    times = F.sum(F.xxhash64("ts").cast("decimal(38,0)"))
-    found = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.count_distinct("ts").alias("times"), times.alias("mark"), F.min(F.least("open", "close")).alias("low"))
-    total = found.agg(F.count("*").alias("symbols"), F.bool_or(F.col("n") != F.col("times")).alias("repeats"), F.count_distinct("n", "mark").alias("kinds"), F.min("low").alias("low")).first()
+    """The number of symbols; bars that differ in their times or have no price are an error. One aggregate without a sort."""
+    found = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.bit_xor(F.xxhash64("ts")).alias("mark"), F.min(F.least("open", "close")).alias("low"))
+    total = found.agg(F.count("*").alias("symbols"), F.count_distinct("n", "first", "last", "mark").alias("kinds"), F.min("low").alias("low")).first()
     if not total.symbols:
         raise invalid_input("a backtest needs bars")
-    if total.repeats:
-        raise invalid_data("a symbol has two bars of one time")
     if total.kinds > 1:
         raise invalid_data("the symbols' bars must have the same times; none are filled in")
     if total.low <= 0:
@@ -87,6 +86,7 @@ def accounts(bars: DataFrame, case: str, scale: int, capital: float = 100_000.0,
     """A row a bar: equity, the fill at its open if any, the account after it, and the target for the next open.
 
     bars: (symbol, ts, open, close). Symbols share the capital and have accounts of their own.
+    Two bars of a symbol at one time stop the query when it runs.
     """
     if case not in CASES:
         raise invalid_input(f"no such case: {case}")
@@ -96,7 +96,8 @@ def accounts(bars: DataFrame, case: str, scale: int, capital: float = 100_000.0,
     share, fee, slip = capital / checked(bars), fee_bps / 10_000, slippage_bps / 10_000
     w = Window.partitionBy("symbol").orderBy("ts")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = _desired(bars, case).withColumn("held", F.coalesce(F.lag("desired").over(w), F.lit(False)))
+    twice = F.when(F.lag("ts").over(w) == F.col("ts"), F.raise_error(F.lit("INVALID_DATA: a symbol has two bars of one time")).cast("boolean")).otherwise(F.col("desired"))
+    rows = _desired(bars, case).withColumn("desired", twice).withColumn("held", F.coalesce(F.lag("desired").over(w), F.lit(False)))
     rows = rows.withColumn("filled", F.col("held") != F.coalesce(F.lag("held").over(w), F.lit(False)))
     price = F.col("open") / scale * F.when(F.col("held"), 1 + slip).otherwise(1 - slip)
     # the logarithm of what a fill makes of an account: money to units, or units to money
@@ -111,27 +112,37 @@ def accounts(bars: DataFrame, case: str, scale: int, capital: float = 100_000.0,
     )
 
 
-def curve(account: DataFrame) -> DataFrame:
-    """(ts, equity, peak, drawdown) of the portfolio: peaks of buckets of time first, then within each."""
-    total = account.groupBy("ts").agg(F.sum("equity").alias("equity")).withColumn("_bucket", F.floor(F.col("ts") / BUCKET))
+def curve(account: DataFrame, *more: Column) -> DataFrame:
+    """(ts, equity, peak, drawdown) of the portfolio, and more sums of each time: peaks of buckets of time first, then within each."""
+    total = account.groupBy("ts").agg(F.sum("equity").alias("equity"), *more).withColumn("_bucket", F.floor(F.col("ts") / BUCKET))
     tops = total.groupBy("_bucket").agg(F.max("equity").alias("_top"))
     # a row for 30 days: the one window without a partition
     tops = tops.select("_bucket", F.max("_top").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     within = F.max("equity").over(Window.partitionBy("_bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     rows = total.withColumn("_within", within).join(tops, "_bucket")
     peak = F.greatest("_within", "_before")
-    return rows.select("ts", "equity", peak.alias("peak"), (1 - F.col("equity") / peak).alias("drawdown"))
+    return rows.withColumn("peak", peak).withColumn("drawdown", 1 - F.col("equity") / F.col("peak")).drop("_bucket", "_within", "_before")
 
 
 def summary(account: DataFrame, case: str, capital: float = 100_000.0) -> DataFrame:
-    """One row: what became of the capital, fills, positions open at the end and targets that wait for a next open."""
-    last = lambda c: F.max_by(c, "ts")
-    sides = lambda s: F.count_if(F.col("side").isin(s))
-    each = account.groupBy("symbol").agg(last("equity").alias("equity"), last(F.col("units_after") > 0).alias("open"), last(F.col("pending") != (F.col("units_after") > 0)).alias("waits"), F.count("*").alias("rows"), sides(["buy", "sell"]).alias("fills"), sides(["sell"]).alias("sales"), F.sum("fee").alias("fees"))
-    total = each.agg(F.sum("rows").alias("rows"), F.sum("equity").alias("final_equity"), F.sum("fills").alias("fills"), F.sum("sales").alias("completed_round_trips"), F.coalesce(F.sum("fees"), F.lit(0.0)).alias("fees"), F.count_if("open").alias("open_positions"), F.count_if("waits").alias("pending_targets"))
-    worst = curve(account).agg(F.max("drawdown").alias("max_drawdown"))
-    one = F.lit(1).alias("one")
-    return total.select(one, "*").join(worst.select(one, "*"), "one").select(F.lit(case).alias("case"), "rows", "final_equity", (F.col("final_equity") / capital - 1).alias("return_fraction"), "max_drawdown", "fills", "completed_round_trips", "fees", "open_positions", "pending_targets")
+    """One row: what became of the capital, fills, positions open at the end and targets that wait for a next open.
+
+    All comes from one row for each time, so the accounts are made once.
+    """
+    is_open = F.col("units_after") > 0
+    times = account.groupBy("ts").agg(F.sum("equity").alias("equity"), F.count("*").alias("rows"), F.count("side").alias("fills"), F.count_if(F.col("side") == "sell").alias("sales"), F.sum("fee").alias("fees"), F.count_if(is_open).alias("open"), F.count_if(F.col("pending") != is_open).alias("waits"))
+    w = Window.partitionBy("_bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    # within a bucket: the worst against the bucket's own peaks, and against any peak before it, the least equity
+    each = times.withColumn("_bucket", F.floor(F.col("ts") / BUCKET)).withColumn("_peak", F.max("equity").over(w))
+    last = lambda c: F.max_by(c, "ts").alias(c)
+    sums = lambda *cs: [F.sum(c).alias(c) for c in cs]
+    kept = ("rows", "fills", "sales", "fees")
+    each = each.withColumn("_own", 1 - F.col("equity") / F.col("_peak"))
+    buckets = each.groupBy("_bucket").agg(F.max("ts").alias("ts"), *(last(c) for c in ("equity", "open", "waits")), *sums(*kept), F.max("_own").alias("own"), F.min("equity").alias("low"), F.max("equity").alias("top"))
+    before = F.max("top").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    worst = F.greatest("own", 1 - F.col("low") / F.col("_before"), F.lit(0.0))
+    total = buckets.withColumn("_before", before).agg(*(last(c) for c in ("equity", "open", "waits")), *sums(*kept), F.max(worst).alias("max_drawdown"))
+    return total.select(F.lit(case).alias("case"), "rows", F.col("equity").alias("final_equity"), (F.col("equity") / capital - 1).alias("return_fraction"), "max_drawdown", "fills", F.col("sales").alias("completed_round_trips"), F.coalesce("fees", F.lit(0.0)).alias("fees"), F.col("open").alias("open_positions"), F.col("waits").alias("pending_targets"))
 
 
 def digest(account: DataFrame) -> DataFrame:

@@ -1,7 +1,15 @@
 """From raw documents to packed token sequences, in four stages.
 
 Each stage takes what its predecessor kept, written as Parquet and read again, works on
-all of it and decides alone; all but the last return the columns of documents as they came.
+all of it and decides alone; all but the last return the columns of documents as they came,
+more columns and those with names that operators use too.
+
+Null and empty texts go at the first stage, as they have fewer than ten words; given to a
+later stage alone, language ID rejects them, the join keeps each, as they link with nothing,
+and packing gives their end id. A null doc_id, lang or source is carried; a null doc_id is
+the greatest of a group. Repeated rows are judged alike by the first two stages, and the
+join keeps one of them; of equal keys any one stays. Very long texts are worked on whole.
+An empty table stays empty.
 """
 
 from __future__ import annotations
