@@ -38,3 +38,34 @@ def test_entry(spark, sf):
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in q) == 1
     assert "pipeline" in q and set(o) <= set(q)
+
+
+def edge_cases(spark):
+    prose = " ".join(f"word{k % 97} und{k} le{k * 7}" for k in range(60))
+    rows = [
+        (1, prose, "en", "a", 5, "x"), (1, prose, "en", "a", 5, "x"), (2, prose, None, None, 5, "x"), (None, prose + " more", "en", "a", None, None),
+        (3, None, "en", "a", 5, "x"), (4, "", None, "a", 5, "x"), (5, " \t\n", "en", "a", 5, "x"), (6, "1 2 3 4 5 6 7 8 9 10 11 12", "en", "a", 5, "x"),
+        (7, " ".join(f"t{k}x" for k in range(60_000)), "en", "a", 5, "x"), (8, " ".join(f"other{k}" for k in range(40)), "en", "a", 5, "x"),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, score string").repartition(3)
+
+
+def test_edge_cases(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing columns and empty tables, stage by stage and through all."""
+    docs, sf = edge_cases(spark), "unused"
+    one = corpus_pipeline.quality_rules(spark, docs, sf)
+    assert one.columns == docs.columns and sorted(str(r.doc_id) for r in one.collect()) == ["1", "1", "2", "6", "7", "8", "None"]
+    two = corpus_pipeline.language_id(spark, docs, sf)
+    assert two.columns == docs.columns and not {3, 4, 5, 6} & {r.doc_id for r in two.collect()}
+    three = corpus_pipeline.ngram_jaccard_join(spark, docs, sf)
+    assert three.columns == docs.columns and sorted(r.doc_id for r in three.collect()) == [1, 3, 4, 5, 6, 7, 8]
+    four = corpus_pipeline.pack(spark, docs, sf).collect()
+    assert sorted(r.doc_tokens for r in four if r.doc_id in (3, 4)) == [1, 1] and {r.doc_id for r in four} == {None, 1, 2, 3, 4, 5, 6, 7, 8}
+    whole = docs
+    for _, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / f"{stage.__name__}.parquet")
+        stage(spark, whole, sf).write.parquet(path)
+        whole = spark.read.parquet(path)
+    assert {r.doc_id for r in whole.collect()} == {1, 7, 8}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).collect() == []
