@@ -50,10 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again."""
+    """Cut the lineage: write df as Parquet to the shared folder and read it again.
+
+    What dropped() doesn't delete before goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barframe-{label}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
