@@ -71,7 +71,7 @@ def format_pairs(df: DataFrame) -> DataFrame:
 def pairs(turns: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = turns.where(F.col("conv_id").isNotNull()).select("conv_id", F.struct(F.col("turn"), text("role").alias("role"), text("text").alias("text")).alias("t"))
-    conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    conv = rows.groupBy("conv_id").agg(F.collect_list("t").alias("ts"))
     conv = conv.select("conv_id", F.transform(F.sort_array("ts"), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"))
     said = F.filter("chosen", lambda t: t["role"] == "assistant")
     conv = conv.select("conv_id", "chosen", F.when(F.size(said) > 1, F.get(said, F.size(said) - 2)["text"]).when(F.size(said) > 0, F.lit("")).alias("stale"), (F.size("chosen") - F.array_position(F.transform(F.reverse("chosen"), lambda t: t["role"]), "assistant")).alias("last"))

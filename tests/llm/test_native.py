@@ -158,6 +158,15 @@ def test_chat(spark, sf):
     assert chat.format_pairs(chat.pairs(df.limit(0))).collect() == []
 
 
+def test_chat_is_native_and_takes_long_conversations(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = chat.format_pairs(chat.pairs(df))
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+    got = out.first()
+    assert got.n_prompt_turns == 19_999 and got.chosen == "<|im_start|>assistant\nt19999<|im_end|>\n" and got.rejected == "<|im_start|>assistant\nt19997<|im_end|>\n" and got.prompt.count("<|im_start|>") == 19_999
+
+
 def test_against_sql(spark, sf):
     db = duckdb.connect()
     for t in ("documents", "conversations"):
