@@ -119,3 +119,16 @@ def checksum(bars: DataFrame, by: list[str]) -> DataFrame:
     for k in ROLLING:
         total = total + wide(F.col(k))
     return with_rolling(bars, by).agg(F.count("*").alias("loaded"), F.sum(total.cast("decimal(38,0)")).alias("checksum"))
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """Mean, least, most and interpolated percentiles of a value; exact, from counts of its distinct values."""
+    q = F.percentile(value, F.array(*map(F.lit, ranks.values())))
+    found = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("_q"))
+    return found.select(*by, "mean", "least", "most", *(F.get("_q", k).alias(n) for k, n in enumerate(ranks)))
+
+
+def row_digest(rows: DataFrame, by: list[str], *columns: str) -> DataFrame:
+    """Rows and the sum of a hash of each, whatever their order: 32 bits of the MD5 of the values with commas between."""
+    mark = F.conv(F.substring(F.md5(F.concat_ws(",", *columns).cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(mark).alias("digest"))

@@ -334,61 +334,10 @@ def i06_stats_full_scan(spark, d):
 # ---- inventory ------------------------------------------------------------------------------------
 
 
-def chunks(spark, d) -> DataFrame:
-    """A manifest of the derived series: a day of scalars, an hour of trades, a day of bars make a chunk each."""
-    b = views.bars(spark, d).select("symbol", F.lit("kline").alias("category"), F.lit("1h").alias("name"), "ts", F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("part"))
-    s = views.scalars(spark, d).select("symbol", "category", F.lit("1m@@value").alias("name"), "ts", "part")
-    t = views.trades(spark, d).select("symbol", F.lit("trade").alias("category"), F.lit("events").alias("name"), "ts", "part")
-    rows = b.unionByName(s).unionByName(t)
-    g = rows.groupBy("symbol", "category", "name", "part").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("count"))
-    return g.withColumn("state", F.when(F.substring("part", 9, 2) < "28", "sealed").otherwise("active"))
-
-
-_CHUNKS = """, ch AS (SELECT symbol, category, name, part, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS count, CASE WHEN substr(part, 9, 2) < '28' THEN 'sealed' ELSE 'active' END AS state FROM (
-SELECT symbol, 'kline' AS category, '1h' AS name, ts, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS part FROM bar_view
-UNION ALL SELECT symbol, category, '1m@@value', ts, part FROM scalar_view
-UNION ALL SELECT symbol, 'trade', 'events', ts, part FROM trade_view) GROUP BY symbol, category, name, part)
-"""
-_ID = ["symbol", "category", "name"]
-
-
-@query("a01_series", _CHUNKS + "SELECT symbol, category, name, count(*) AS chunks, CAST(sum(count) AS BIGINT) AS records, count(*) FILTER (state = 'active') AS active FROM ch GROUP BY ALL")
-def a01_series(spark, d):
-    return chunks(spark, d).groupBy(*_ID).agg(F.count("*").alias("chunks"), F.sum("count").alias("records"), F.count_if(F.col("state") == "active").alias("active"))
-
-
-@query("a02_stats", _CHUNKS + "SELECT count(DISTINCT (symbol, category, name)) AS series, count(DISTINCT CASE WHEN category <> 'kline' THEN (symbol, category, name) END) AS scalar_series, count(*) AS chunks, CAST(sum(count) AS BIGINT) AS records FROM ch")
-def a02_stats(spark, d):
-    return a01_series(spark, d).agg(F.count("*").alias("series"), F.count_if(F.col("category") != "kline").alias("scalar_series"), F.sum("chunks").alias("chunks"), F.sum("records").alias("records"))
-
-
-@query("a03_part_inventory", _CHUNKS + "SELECT symbol, category, name, substr(part, 1, 7) AS month, count(*) AS chunks, CAST(sum(count) AS BIGINT) AS records, count(*) FILTER (state = 'sealed') AS sealed, count(*) FILTER (state = 'active') AS active, min(start_ts) AS start_ts, max(end_ts) AS end_ts FROM ch GROUP BY ALL")
-def a03_part_inventory(spark, d):
-    return chunks(spark, d).groupBy(*_ID, F.substring("part", 1, 7).alias("month")).agg(F.count("*").alias("chunks"), F.sum("count").alias("records"), F.count_if(F.col("state") == "sealed").alias("sealed"), F.count_if(F.col("state") == "active").alias("active"), F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"))
-
-
-@query("a04_chunk_inventory", _CHUNKS + "SELECT * FROM ch")
-def a04_chunk_inventory(spark, d):
-    return chunks(spark, d)
-
-
-@query("a05_coverage", _CHUNKS + "SELECT min(start_ts) AS start_ts, max(end_ts) AS end_ts, CAST(coalesce(sum(count), 0) AS BIGINT) AS records FROM ch WHERE symbol = 'click' AND category = 'kline'")
-def a05_coverage(spark, d):
-    own = reads.series(chunks(spark, d), symbol=SYMBOL, category="kline")
-    return own.agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("records"))
-
-
-@query("a07_indicators", _CHUNKS + "SELECT DISTINCT symbol, split_part(name, '@@', 1) AS timeframe, split_part(name, '@@', 2) AS name FROM ch WHERE category = 'feature' AND split_part(name, '@@', 1) = '1m'")
-def a07_indicators(spark, d):
-    tf, name = (F.get(F.split("name", "@@", 2), k) for k in (0, 1))
-    return chunks(spark, d).where("category = 'feature'").select("symbol", tf.alias("timeframe"), name.alias("name")).where("timeframe = '1m'").distinct()
-
-
 @query("a10_percentiles", "SELECT symbol, avg(value) AS mean, min(value) AS least, max(value) AS most, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM (SELECT symbol, CAST(value % 1024 AS DOUBLE) AS value FROM scalar_view) GROUP BY symbol")
 def a10_percentiles(spark, d):
     v = views.scalars(spark, d).select("symbol", (F.col("value") % 1024).cast("double").alias("value"))
-    q = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return v.groupBy("symbol").agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), q.alias("q")).select("symbol", "mean", "least", "most", *(F.get("q", k).alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+    return fx.percentiles(v, ["symbol"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @query("a11_checksum", f"SELECT count(*) AS loaded, CAST(sum(ma5 + ma20 + ma60 + volume20 + CASE WHEN close >= ma20 THEN close - open ELSE open - close END) AS VARCHAR) AS checksum FROM (SELECT *, {_roll('close', 5)} AS ma5, {_roll('close', 20)} AS ma20, {_roll('close', 60)} AS ma60, {_roll('volume', 20)} AS volume20 FROM bar_view)")
@@ -398,8 +347,7 @@ def a11_checksum(spark, d):
 
 @query("a12_row_hash", "SELECT symbol, count(*) AS n, CAST(sum(('0x' || substr(md5(ts || ',' || value), 1, 8))::BIGINT) AS BIGINT) AS digest FROM scalar_view GROUP BY symbol")
 def a12_row_hash(spark, d):
-    h = F.conv(F.substring(F.md5(F.concat_ws(",", "ts", "value").cast("binary")), 1, 8), 16, 10).cast("long")
-    return views.scalars(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.sum(h).alias("digest"))
+    return fx.row_digest(views.scalars(spark, d), ["symbol"], "ts", "value")
 
 
 # ---- sequences ------------------------------------------------------------------------------------------
@@ -494,7 +442,7 @@ for _name, (_make, _sql) in _FLOWS.items():
     _flow_query(_name, _make, _sql)
 
 
-# ---- overlaps, replay, writes ----------------------------------------------------------------------------------
+# ---- overlaps ----------------------------------------------------------------------------------
 
 
 def _spans(spark, d) -> DataFrame:
@@ -518,32 +466,6 @@ def t06_winner(spark, d):
     return overlaps.winners(_spans(spark, d), ["symbol"]).withColumn("overlap_group", F.col("overlap_group").cast("long"))
 
 
-@query("s01_replay_order", f"SELECT symbol, ts, trade_id, row_number() OVER (PARTITION BY symbol ORDER BY ts, ordinal) - 1 AS position FROM trade_view WHERE {IN} AND substr(part, 9, 2) < '28'")
-def s01_replay_order(spark, d):
-    sealed = views.trades(spark, d).where(F.substring("part", 9, 2) < "28").where(F.col("ts").between(START, END))
-    return reads.with_position(sealed, ["symbol"], "ordinal").select("symbol", "ts", "trade_id", F.col("position").cast("long").alias("position"))
-
-
-@query("w06_partition_split", "SELECT symbol, part, count(*) AS rows, min(ts) AS start_ts, max(ts) AS end_ts FROM trade_view GROUP BY symbol, part")
-def w06_partition_split(spark, d):
-    from ..schema import part_of
-
-    t = views.trades(spark, d).withColumn("part", part_of(F.col("ts"), "hour"))
-    return t.groupBy("symbol", "part").agg(F.count("*").alias("rows"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-
-
-@query("w12_order_faults", "SELECT symbol, count(*) FILTER (ts <= prev) AS equal_or_back FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ordinal) AS prev FROM trade_view) GROUP BY symbol")
-def w12_order_faults(spark, d):
-    before = F.lag("ts").over(Window.partitionBy("symbol").orderBy("ordinal"))
-    return views.trades(spark, d).select("symbol", (F.col("ts") <= before).alias("bad")).groupBy("symbol").agg(F.count_if("bad").alias("equal_or_back"))
-
-
-@query("w15_compaction_advice", _CHUNKS + "SELECT symbol, category, name, substr(part, 1, 7) AS month, count(*) - 1 AS deltas, CAST(sum(count) AS BIGINT) AS records, count(*) - 1 >= 4 AS advised FROM ch GROUP BY ALL")
-def w15_compaction_advice(spark, d):
-    g = chunks(spark, d).groupBy(*_ID, F.substring("part", 1, 7).alias("month")).agg((F.count("*") - 1).alias("deltas"), F.sum("count").alias("records"))
-    return g.withColumn("advised", F.col("deltas") >= 4)
-
-
 # ---- backtest ----------------------------------------------------------------------------------------------------
 
 CAPITAL = 100_000.0

@@ -20,7 +20,8 @@ from ..operators import sequences as seq
 from ..schema import FLOW
 from ..sources import views
 from ..store import admin
-from ..store.arrays import Reader
+from ..errors import BarframeError
+from ..store.arrays import Reader, Writer, to_array
 from ..store.bridge import call
 from ..store.store import Policy, Store
 from .queries import ALL, END, START, query
@@ -392,3 +393,62 @@ def m03_scrub(spark, d):
     s.put(s.register_scalar(Key(ONE, "feature", "1m@@value"), 60_000), views.scalars(spark, d).where(F.col("symbol") == ONE))
     found = admin.scrub(s)
     return _rows(spark, "unreadable long, index_mismatch long", (len(found["unreadable"]), len(found["index_mismatch"])))
+
+
+@query("w10_append_scalars", f"SELECT ts, value, CASE WHEN ts < {END} THEN 1 ELSE 2 END::BIGINT AS batch FROM scalar_view WHERE symbol = '{ONE}'")
+def w10_append_scalars(spark, d):
+    """A part is rewritten with what it holds and what comes."""
+    s = Store(spark, _folder(spark))
+    k = s.register_scalar(Key(ONE, "feature", "1m@@value"), 60_000)
+    rows = views.scalars(spark, d).where(F.col("symbol") == ONE)
+    for batch in (rows.where(F.col("ts") < END), rows.where(F.col("ts") >= END)):
+        s.append(k, batch)
+    return s.between(k, *ALL).withColumn("batch", F.when(F.col("ts") < END, 1).otherwise(2).cast("long"))
+
+
+@query("w12_json_writes", f"SELECT ts, open, high, low, close, volume FROM bar_view WHERE symbol = '{ONE}' AND ts BETWEEN {START} AND {END}")
+def w12_json_writes(spark, d):
+    root = _folder(spark)
+    bars = views.bars(spark, d).where((F.col("symbol") == ONE) & F.col("ts").between(START, END))
+    names = ("ts", "open", "high", "low", "close", "volume")
+    records = [{c: r[c] for c in names} for r in bars.collect()]
+    call(spark, root, "write-kline-range", {"symbol": ONE, "timeframe": "1h", "timeframe_ms": HOUR_MS, "price_scale": 100, "volume_scale": 1, "records": records})
+    return Store(spark, root).between(keys.kline(ONE, "1h"), *ALL)
+
+
+@query("w13_array_writes", f"SELECT ts, value FROM scalar_view WHERE symbol = '{ONE}' AND ts BETWEEN {START} AND {END}")
+def w13_array_writes(spark, d):
+    root = _folder(spark)
+    rows = to_array(store(spark, d).between(Key(ONE, "feature", "1m@@value"), START, END))
+    Writer(spark, root).write_scalar_range(ONE, "1m", "feature", "value", rows, timeframe_ms=60_000)
+    return Store(spark, root).between(Key(ONE, "feature", "1m@@value"), *ALL)
+
+
+@query("r14_open_read_only", f"SELECT count(*) AS rows, 'INVALID_INPUT' AS write, 'IO' AS while_read, count(*) AS after FROM bar_view WHERE symbol = '{ONE}'")
+def r14_open_read_only(spark, d):
+    """A handle for reading refuses writes, and keeps writers out until it is closed."""
+    s, k = _small(spark, d)
+
+    def code(f) -> str:
+        try:
+            f()
+        except BarframeError as e:
+            return e.code
+        return ""
+
+    with Store(spark, s.root, read_only=True) as r:
+        n = r.frame(k).count()
+        codes = code(lambda: r.merge(k, "2024-01")), code(lambda: s.merge(k, "2024-01"))
+    s.merge(k, "2024-01")
+    return _rows(spark, "rows long, write string, while_read string, after long", (n, *codes, s.frame(k).count()))
+
+
+@query("p19_find_raw", f"SELECT DISTINCT symbol, ts FROM bar_view WHERE {_IN} AND close > open AND ts BETWEEN {START} AND {END}")
+def p19_find_raw(spark, d):
+    from ..operators import predicates
+
+    def read(s, k):
+        body = s.frame(k).select("ts", (F.col("close") - F.col("open")).alias("value"))
+        return predicates.find(body, p.gt(0), START, END)
+
+    return _each(spark, d, "kline", "1h", read)
