@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicate import Predicate
@@ -10,9 +10,18 @@ from ..functions.predicate import Predicate
 BLOCK = 256
 
 
-def zone_map(df: DataFrame, by: list[str], block: int = BLOCK) -> DataFrame:
-    """A row for each block of rows of a chunk; blocks restart in each chunk. by: what names a chunk."""
-    rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*by).orderBy("ts")) - 1)
+def zone_map(df: DataFrame, by: list[str], block: int = BLOCK, span: Column | None = None) -> DataFrame:
+    """A row for each block of rows of a chunk; blocks restart in each chunk. by: what names a chunk.
+
+    span: a number that grows with ts; rows are then numbered span by span, so that a large chunk is more than one task.
+    """
+    rows = df.withColumn("_span", F.lit(0) if span is None else span)
+    w = Window.partitionBy(*by, "_span").orderBy("ts")
+    rows = rows.withColumn("_row", F.row_number().over(w) - 1)
+    if span is not None:
+        sizes = rows.groupBy(*by, "_span").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.join(sizes.select(*by, "_span", before.alias("_before")), [*by, "_span"]).withColumn("_row", F.col("_row") + F.col("_before"))
     blocks = rows.groupBy(*by, F.floor(F.col("_row") / block).alias("block"))
     return blocks.agg(F.min("_row").cast("long").alias("start_row"), F.max("_row").cast("long").alias("end_row"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
 

@@ -276,7 +276,10 @@ class Store:
         dealt.sortWithinPartitions("part", "ts", "ordinal").write.partitionBy("part").parquet(stage)
         schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in family.schema), T.StructField("ordinal", T.LongType()), T.StructField("part", T.StringType())])
         rows = self.spark.read.schema(schema).parquet(stage)
-        w = Window.partitionBy("part").orderBy("ts", "ordinal")
+        # rows of one time lie in one span; between spans, the ordinals must go on
+        span = F.floor(F.col("ts") / SPAN_MS[unit])
+        rows = rows.withColumn("_span", span)
+        w = Window.partitionBy("part", "_span").orderBy("ts", "ordinal")
         back = F.lit(False) if family.equal_ts else F.col("ts") == F.lag("ts").over(w)
         if family.sequence:
             back = back | (F.col("ordinal") < F.lag("ordinal").over(w))
@@ -287,7 +290,11 @@ class Store:
         faults = flow_faults() if family is KLINE_FLOW else F.lit(False)
         marked = rows.select("*", F.coalesce(back, F.lit(False)).alias("_back"), nulls.alias("_null"), F.coalesce(faults, F.lit(False)).alias("_fault"))
         worth = [F.min("value").alias("low"), F.max("value").alias("high")] if family is SCALAR else []
-        parts = marked.groupBy("part").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), *(F.max(f"_{k}").alias(k) for k in ("back", "null", "fault")), *worth).orderBy("part").collect()
+        spans = marked.groupBy("part", "_span").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"), *(F.max(f"_{k}").alias(k) for k in ("back", "null", "fault")), F.min("ordinal").alias("_least"), F.max("ordinal").alias("_most"), *worth)
+        if family.sequence:
+            spans = spans.withColumn("back", F.col("back") | F.coalesce(F.lag("_most").over(Window.partitionBy("part").orderBy("_span")) > F.col("_least"), F.lit(False)))
+        total = [F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"), *(F.max(k).alias(k) for k in ("back", "null", "fault"))]
+        parts = spans.groupBy("part").agg(*total, *([F.min("low").alias("low"), F.max("high").alias("high")] if worth else [])).orderBy("part").collect()
         if any(p.null for p in parts):
             raise invalid_input("a required value is null")
         if any(p.back for p in parts):
@@ -296,9 +303,9 @@ class Store:
             raise invalid_input("flow values break a rule")
         return parts
 
-    def _indexed(self, rows: DataFrame, stage: str) -> None:
+    def _indexed(self, rows: DataFrame, unit: str, stage: str) -> None:
         """Zone maps and value indexes of all parts of (part, ts, value)."""
-        index.zone_map(rows, ["part"]).write.partitionBy("part").parquet(f"{stage}.{ZONES}")
+        index.zone_map(rows, ["part"], span=F.floor(F.col("ts") / SPAN_MS[unit])).write.partitionBy("part").parquet(f"{stage}.{ZONES}")
         ranged = rows.select("part", "value", "ts").repartitionByRange("part", "value", "ts")
         ranged.sortWithinPartitions("part", "value", "ts").write.partitionBy("part").parquet(f"{stage}.{VALUES}")
 
@@ -326,7 +333,7 @@ class Store:
         done: list[str] = []
         try:
             if self.family(key) is SCALAR:
-                self._indexed(self.spark.read.schema("ts long, value long, part string").parquet(stage), stage)
+                self._indexed(self.spark.read.schema("ts long, value long, part string").parquet(stage), meta["unit"], stage)
             for p in parts:
                 old = [c for c in meta["chunks"] if c["part"] == p.part]
                 generation = max((c["generation"] for c in old), default=0) + 1
@@ -403,7 +410,7 @@ class Store:
         with self._staging(key) as stage:
             parts = self._staged(self._rows(key, old), self.family(key), meta["unit"], stage)
             if self.family(key) is SCALAR:
-                self._indexed(self.spark.read.schema("ts long, value long, part string").parquet(stage), stage)
+                self._indexed(self.spark.read.schema("ts long, value long, part string").parquet(stage), meta["unit"], stage)
             chunk = self._place(key, stage, parts[0], part, state, generation)
             meta["chunks"] = [c for c in meta["chunks"] if c["part"] != part] + [chunk]
             self._publish(key, meta)
