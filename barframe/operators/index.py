@@ -46,10 +46,10 @@ def value_index(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def write_value_index(df: DataFrame, by: list[str], path: str, n: int | None = None) -> None:
-    """The index as a table whose files hold ranges of values, so a lookup reads few row groups."""
+    """The index as a table, a folder for what by names, whose files hold ranges of values, so a lookup reads few row groups."""
     cols = [F.col(c) for c in (*by, "value", "ts")]
     index = value_index(df, by)
-    (index.repartitionByRange(n, *cols) if n else index.repartitionByRange(*cols)).sortWithinPartitions(*cols).write.parquet(path)
+    (index.repartitionByRange(n, *cols) if n else index.repartitionByRange(*cols)).sortWithinPartitions(*cols).write.partitionBy(*by).parquet(path)
 
 
 def lookup(index: DataFrame, predicate: Predicate, start: int, end: int) -> DataFrame:

@@ -206,6 +206,11 @@ def w16_zone_map(spark, d):
     return _each(spark, d, "feature", "1m@@value", lambda s, k: s.zones(k).drop("chunk"))
 
 
+@query("i03_stored_index", f"SELECT symbol, value, ts FROM scalar_view WHERE {_IN}")
+def i03_stored_index(spark, d):
+    return _each(spark, d, "feature", "1m@@value", lambda s, k: s.values(k).drop("chunk"))
+
+
 def _found(name: str, q: p.Predicate, sql: str, used: str) -> None:
     """The matches, and the counters with the index that gave them."""
 

@@ -306,8 +306,7 @@ class Store:
     def _indexed(self, rows: DataFrame, unit: str, stage: str) -> None:
         """Zone maps and value indexes of all parts of (part, ts, value)."""
         index.zone_map(rows, ["part"], span=F.floor(F.col("ts") / SPAN_MS[unit])).write.partitionBy("part").parquet(f"{stage}.{ZONES}")
-        ranged = rows.select("part", "value", "ts").repartitionByRange("part", "value", "ts")
-        ranged.sortWithinPartitions("part", "value", "ts").write.partitionBy("part").parquet(f"{stage}.{VALUES}")
+        index.write_value_index(rows, ["part"], f"{stage}.{VALUES}")
 
     def _place(self, key: Key, stage: str, p, name: str, state: str, generation: int) -> dict:
         """Move a staged part to its place; its entry in the manifest."""
@@ -491,6 +490,10 @@ class Store:
         """The stored zone maps of the chunks that meet the range."""
         return self._sidecar(key, [c for c in self._in_range(key, -(1 << 63) if start is None else start, 1 << 62 if end is None else end) if ZONES in c.get("sidecars", [])], ZONES)
 
+    def values(self, key: Key, start: int | None = None, end: int | None = None) -> DataFrame:
+        """The stored value indexes of the chunks that meet the range."""
+        return self._sidecar(key, [c for c in self._in_range(key, -(1 << 63) if start is None else start, 1 << 62 if end is None else end) if VALUES in c.get("sidecars", [])], VALUES)
+
     def access_path(self, key: Key, predicate: Predicate, start: int, end: int) -> str | None:
         """The index that answers a predicate in the range; None without a chunk there."""
         chunks = self._in_range(key, start, end)
