@@ -48,7 +48,7 @@ SHOWN = [
     ("<table><div>x<tr><td>c</div>d</table>", "x\n\ncd"),
     ("<table><tr><td>a <table>in<tr><td>b</table></table>", "a in\n\nb"),
     ("<tr><td>no table</td></tr>x", "no tablex"),
-    ("<table><tr><td colspan=70000>w<td>x<tr><td rowspan=00002>a<td>b<tr><td>c</table>", "w" + " " * 2000 + "x\na  b\n   c"),
+    ("<table><tr><td colspan=70000>w<td>x<tr><td rowspan=00002>a<td>b<tr><td>c</table>", "w" + " " * 2001 + "x\na  b\n   c"),
     ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
     ("<table><tr><td colspan=2>ab cd ef<td>z<tr><td>1<td>2<td>3</table>", "ab cd ef z\n1  2  3"),
 ]
