@@ -137,7 +137,8 @@ def summary(account: DataFrame, case: str, capital: float = 100_000.0) -> DataFr
     last = lambda c: F.max_by(c, "ts").alias(c)
     sums = lambda *cs: [F.sum(c).alias(c) for c in cs]
     kept = ("rows", "fills", "sales", "fees")
-    each = each.withColumn("_own", 1 - F.col("equity") / F.col("_peak"))
+    # an account can fade to nothing after many fills; then its own bucket has no peak to fall from
+    each = each.withColumn("_own", 1 - F.try_divide("equity", "_peak"))
     buckets = each.groupBy("_bucket").agg(F.max("ts").alias("ts"), *(last(c) for c in ("equity", "open", "waits")), *sums(*kept), F.max("_own").alias("own"), F.min("equity").alias("low"), F.max("equity").alias("top"))
     before = F.max("top").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     worst = F.greatest("own", 1 - F.col("low") / F.col("_before"), F.lit(0.0))
