@@ -9,7 +9,8 @@ projects every piece to a span of bytes of the source; the spans of a text are
 contiguous and cover it.
 
 No piece of such a model joins a word's end with the space after it (checked when the
-model is read), so words are merged one by one and remembered in a bounded table.
+model is read), so words are merged apart and remembered in a bounded table. The new words
+of many texts are merged at once: a row of symbols for each word, a merge a row and round.
 
 Null text: empty, so only the begin and end ids. Repeated rows are encoded each for
 itself, an empty table gives an empty result, long texts are handled one at a time.
@@ -22,7 +23,7 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,12 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 REMEMBERED = 500_000
 NEVER = float("inf")
-_MARKS = ".,;:!?"
+#: Words up to the same one of these lengths are merged together, in blocks of so many; fewer than FEW, or longer ones, one by one.
+WIDTHS, BLOCK, FEW = (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64), 8192, 24
+#: Texts of so many characters in all are encoded together.
+TOGETHER = 1_000_000
+#: Of each length, its width; 0 for one by one.
+_WIDTH_OF = [next(w for w in WIDTHS if w >= n) for n in range(WIDTHS[-1] + 1)] + [0]
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -119,7 +125,6 @@ class Model:
         self.map = CharacterMap(blob) if blob else None
         self.rank = {p: (-score, k) for k, (p, score, t) in enumerate(self.pieces) if t == NORMAL}
         self.cost = {p: c for p, (c, _) in self.rank.items()}.get
-        self.adjacent = {a + b for p in self.rank for a, b in zip(p, p[1:], strict=False)}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.rank):
             raise ValueError("a piece joins a word with the space after it")
         self.byte = {int(p[3:5], 16): k for k, (p, _, t) in enumerate(self.pieces) if t == BYTE}
@@ -127,7 +132,34 @@ class Model:
         self.begin, self.end = by_name["<s>"], by_name["</s>"]
         self.surface = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
         self.is_byte = np.array([t == BYTE for *_, t in self.pieces])
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self._tabulate()
+
+    def _tabulate(self) -> None:
+        """Symbols, the pieces and the characters in them, as numbers, and the pairs of symbols that merge; symbol 0 merges with none."""
+        names = ["", *self.rank, *sorted({c for p in self.rank for c in p} - self.rank.keys())]
+        number = {p: k for k, p in enumerate(names)}
+        self.names = names
+        self.symbol = np.zeros(0x110000, np.int32)
+        for p, k in number.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = k
+        self.id_of = np.array([self.rank[p][1] if p in self.rank else -1 for p in names], np.int64)
+        self.size_of = np.array([len(p.encode()) for p in names], np.int64)
+        # equal scores have the same level, so that the leftmost of them comes first
+        levels = np.unique([self.rank[p][0] if p in self.rank else NEVER for p in names], return_inverse=True)[1]
+        self.level = levels.astype(np.int32)
+        merges = {number[a] * len(names) + number[b]: k for p, k in number.items() for i in range(1, len(p)) if (a := p[:i]) in number and (b := p[i:]) in number and p in self.rank}
+        keys = np.fromiter(merges, np.int64, len(merges))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_to = np.append(np.fromiter(merges.values(), np.int32, len(merges))[order], 0).astype(np.int32)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbols that pairs merge to, 0 for none."""
+        keys = left.astype(np.int64) * len(self.names) + right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where(self.pair_keys[at] == keys, self.pair_to[at], 0)
 
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
         """The text as the model sees it, and for each of its bytes, and its end, the byte of the source where that began."""
@@ -214,58 +246,131 @@ class Model:
             offer(i)
         return [p for p in parts if p]
 
-    def segment(self, segment: str) -> tuple[bytes, bytes]:
-        """Ids, and the bytes of the normalised text that each takes, as little-endian 32-bit."""
-        found = self.known.get(segment)
-        if found is None:
-            core = segment.rstrip(_MARKS)
-            if core and core != segment and core[-1] + segment[len(core)] not in self.adjacent:
-                # no piece holds these two characters, so none joins the parts
-                one, two = self.segment(core), self.segment(segment[len(core) :])
-                found = one[0] + two[0], one[1] + two[1]
-            else:
-                found = self._fresh(segment)
-            if len(segment) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[segment] = found
+    def _merged_block(self, words: Sequence[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """merged() of words of at most width characters, all at once: numbers of words, and a row of symbols for each, filled with -1."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        inside = np.arange(width) < size[:, None]
+        parts = np.full((n, width), -1, np.int32)
+        parts[inside] = self.symbol[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
+        inside = inside[:, 1:]
+        to = np.zeros((n, width - 1), np.int32)
+        to[inside] = self._joined(parts[:, :-1][inside], parts[:, 1:][inside])
+        who = np.arange(n)
+        while len(who) and to.shape[1]:
+            level = self.level[to]
+            at = level.argmin(axis=1)
+            rows = np.arange(len(who))
+            live = to[rows, at] > 0
+            if not live.all():
+                yield who[~live], parts[~live]
+                who, parts, to, at = who[live], parts[live], to[live], at[live]
+                rows = np.arange(len(who))
+            # the right part of the best pair goes, and the pair with it
+            w = to.shape[1]
+            parts[rows, at] = to[rows, at]
+            keep = np.ones((len(who), w + 1), bool)
+            keep[rows, at + 1] = False
+            parts = parts[keep].reshape(len(who), w)
+            keep = np.ones((len(who), w), bool)
+            keep[rows, at] = False
+            to = to[keep].reshape(len(who), w - 1)
+            for beside, first in ((at > 0, at - 1), (at < w - 1, at)):
+                r, c = rows[beside], first[beside]
+                right = parts[r, c + 1]
+                to[r, c] = np.where(right < 0, 0, self._joined(parts[r, c], right))
+        if len(who):
+            yield who, parts
+
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Of each word, pairs of an id and the bytes of the normalised text that it takes, as little-endian 32-bit."""
+        found: dict[str, bytes] = {}
+        by_width: dict[int, list[str]] = {}
+        for word in words:
+            by_width.setdefault(_WIDTH_OF[min(len(word), len(_WIDTH_OF) - 1)], []).append(word)
+        for width, some in by_width.items():
+            if not width or len(some) < FEW:
+                found.update((word, self._spelt(self.merged(word))) for word in some)
+                continue
+            for k in range(0, len(some), BLOCK):
+                block = some[k : k + BLOCK]
+                for who, parts in self._merged_block(block, width):
+                    there = parts >= 0
+                    flat = parts[there]
+                    ends = np.cumsum(there.sum(axis=1))
+                    data = np.stack([self.id_of[flat], self.size_of[flat]], axis=1).astype("<u4").tobytes()
+                    at = (8 * ends).tolist()
+                    names = [block[i] for i in who.tolist()]
+                    found.update(zip(names, [data[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)], strict=True))
+                    # characters without a piece become bytes
+                    for i in np.unique(np.searchsorted(ends, np.flatnonzero(self.id_of[flat] < 0), "right")).tolist():
+                        found[names[i]] = self._spelt(self._names(names[i], parts[i][there[i]]))
         return found
 
-    def _fresh(self, segment: str) -> tuple[bytes, bytes]:
-        ids: list[int] = []
-        lens: list[int] = []
-        for p in self.merged(segment):
+    def _names(self, word: str, parts: np.ndarray) -> Iterator[str]:
+        """The parts of a word as texts; symbol 0 is a character that no piece holds."""
+        at = 0
+        for k in parts.tolist():
+            p = self.names[k] or word[at]
+            at += len(p)
+            yield p
+
+    def _spelt(self, parts: Iterable[str]) -> bytes:
+        out: list[int] = []
+        for p in parts:
+            data = p.encode()
             if p in self.rank:
-                ids.append(self.rank[p][1])
-                lens.append(len(p.encode()))
+                out += self.rank[p][1], len(data)
             else:
-                ids += (self.byte[b] for b in p.encode())
-                lens += [1] * len(p.encode())
-        return np.asarray(ids, "<u4").tobytes(), np.asarray(lens, "<u4").tobytes()
+                for b in data:
+                    out += self.byte[b], 1
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids without begin and end, and n + 1 bounds: piece k has the source's bytes bounds[k] to bounds[k + 1]."""
-        if not text:
-            return np.empty(0, "<u4"), np.zeros(1, np.int64)
-        norm, align = self.normalised(text)
-        if norm[:1] == MARK and norm[-1] != MARK and MARK * 2 not in norm:
-            parts = [MARK + w for w in norm[1:].split(MARK)]  # what the pattern finds
-        else:
-            parts = _SEGMENT.findall(norm)
-        known, segment = self.known.get, self.segment
-        done = [known(p) or segment(p) for p in parts]
-        ids = np.frombuffer(b"".join([d[0] for d in done]), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([d[1] for d in done]), "<u4"), dtype=np.int64)
-        return ids, align[np.concatenate([[0], ends])]
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """encode() of each text."""
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            if some and size + len(text) > TOGETHER:
+                yield from self._encoded(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        yield from self._encoded(some)
+
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        normal = [self.normalised(text) if text else None for text in texts]
+        split = [_segments(norm[0]) if norm else [] for norm in normal]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = self.learn(set().union(*split).difference(self.known))
+        self.known.update(new)
+        known = self.known.__getitem__
+        spelt = [b"".join(map(known, parts)) for parts in split]
+        for p in [p for p in new if len(p) > WIDTHS[-1]]:
+            del self.known[p]  # long ones are not remembered
+        for norm, data in zip(normal, spelt, strict=True):
+            if norm is None:
+                yield np.empty(0, "<u4"), np.zeros(1, np.int64)
+                continue
+            pairs = np.frombuffer(data, "<u4").reshape(-1, 2)
+            bounds = np.zeros(len(pairs) + 1, np.int64)
+            np.cumsum(pairs[:, 1], out=bounds[1:])
+            yield np.ascontiguousarray(pairs[:, 0]), norm[1][bounds]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids in UTF-8; ill-formed runs of byte pieces give U+FFFD for each byte at fault."""
-        out = b"".join(map(self.surface.__getitem__, ids.tolist()))
+        listed = ids.tolist()
+        out = b"".join(map(self.surface.__getitem__, listed))
         try:
             out.decode()
         except UnicodeDecodeError:
             out = self._mended(ids)
-        first = next((k for k in ids.tolist() if self.pieces[k][2] != CONTROL), None)
+        first = next((k for k in listed if self.pieces[k][2] != CONTROL), None)
         lead = first is not None and self.pieces[first][0].startswith(MARK) and not self.is_byte[first]
         return out[1:] if self.dummy and lead else out
 
@@ -284,6 +389,13 @@ class Model:
         return b"".join(out)
 
 
+def _segments(norm: str) -> list[str]:
+    """What is merged apart: a word with the signs before it."""
+    if norm[:1] == MARK and norm[-1] != MARK and MARK * 2 not in norm:
+        return [MARK + w for w in norm[1:].split(MARK)]  # what the pattern finds
+    return _SEGMENT.findall(norm)
+
+
 def _well_formed(data: bytes) -> bool:
     try:
         return len(data.decode()) == 1
@@ -309,8 +421,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         m = model(path)
         for batch in batches:
             keys = batch.column(0)
-            for i, text in enumerate(strings(batch.column(1))):
-                ids, bounds = m.encode(text)
+            for i, (ids, bounds) in enumerate(m.encode_all(strings(batch.column(1)))):
                 rows = [m.begin, *ids.tolist(), m.end], [0, *bounds[:-1].tolist(), int(bounds[-1])], [0, *bounds[1:].tolist(), int(bounds[-1])]
                 arrays = [keys.slice(i, 1), *(pa.array([r], pa.list_(pa.int32())) for r in rows)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "begins", "ends"])
@@ -327,8 +438,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         head, tail = (np.asarray([k], "<u4") for k in (m.begin, m.end))
         for batch in batches:
             rows = []
-            for text in strings(batch.column(1)):
-                ids, bounds = m.encode(text)
+            for ids, bounds in m.encode_all(strings(batch.column(1))):
                 ids = np.concatenate([head, ids, tail])
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(m.decode(ids)).hexdigest(), hashlib.sha256(bounds.astype("<u4").tobytes()).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [[]] * 4

@@ -53,6 +53,70 @@ def test_pieces_equal_library():
                 assert data[bounds[k] : bounds[k + 1]].replace("▁".encode(), b" ") == m.surface[p][k == 0 and m.surface[p][:1] == b" " :], (x, k)
 
 
+def fresh(n, seed):
+    """Words of many lengths from letters, marks and characters without a piece."""
+    r = random.Random(seed)
+    return ["".join(r.choice("etaoinshrdlu,.'\né日😀▁"[: r.choice([12, 12, 15, 20])]) for _ in range(r.choice([1, 2, 3, 5, 8, 9, 13, 18, 30, 60, 70, 130]))) for _ in range(n)]
+
+
+def test_new_words_are_merged_together():
+    """As the library does, and with few calls for a word: one by one they took dozens."""
+    import sys
+
+    import sentencepiece
+
+    path = public_path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in [" ".join(fresh(4000, 1)), "  ".join(fresh(500, 2)), "".join(fresh(40, 3))]:
+        m = Model(open(path, "rb").read())
+        ids, bounds = m.encode(text)
+        want = sp.encode(text)
+        assert ids.tolist() == want and bounds[-1] == len(text.encode()) and len(bounds) == len(ids) + 1
+    r = random.Random(4)
+    text = " ".join({"".join(r.choice("etaoinshrdlu") for _ in range(9)) for _ in range(5000)})
+    m, calls = Model(open(path, "rb").read()), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        ids, _ = m.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert ids.tolist() == sp.encode(text) and calls < 10 * 5000, calls
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_block_of_words_equals_one_by_one(seed):
+    """Pieces with equal scores, pieces that no pair makes, characters that only longer pieces hold."""
+    r = random.Random(seed)
+    pieces = {"".join(r.choice("abcd") for _ in range(r.choice([1, 2, 2, 2, 3, 3, 4, 6]))) for _ in range(60)} | {"ab", "é"}
+    m = Model.__new__(Model)
+    m.rank = {p: (r.randrange(8), 300 + k) for k, p in enumerate(sorted(pieces))}
+    m.cost, m.byte = {p: c for p, (c, _) in m.rank.items()}.get, {b: b for b in range(256)}
+    m._tabulate()
+    words = ["".join(r.choice("abcdéz日") for _ in range(r.randrange(1, 70))) for _ in range(1500)] + ["a" * n for n in range(1, 65)]
+    assert m.learn(words) == {w: m._spelt(m.merged(w)) for w in words}
+
+
+def test_texts_together_equal_texts_alone(monkeypatch):
+    """Whatever is remembered, and however many texts are taken at once."""
+    from barframe.llm import pieces
+
+    data = open(public_path("piece_bpe_32k.model"), "rb").read()
+    texts = [*TEXTS, *noise(100), *(" ".join(fresh(60, k)) for k in range(5)), *TEXTS]
+    alone = [(i.tolist(), b.tolist()) for i, b in map(Model(data).encode, texts)]
+    for together, remembered in ((1, 0), (300, 50), (10**6, 10**6)):
+        monkeypatch.setattr(pieces, "TOGETHER", together)
+        monkeypatch.setattr(pieces, "REMEMBERED", remembered)
+        m = Model(data)
+        assert [(i.tolist(), b.tolist()) for i, b in m.encode_all(texts)] == alone
+        assert all(len(p) <= pieces.WIDTHS[-1] for p in m.known)
+    assert list(m.encode_all([])) == []
+
+
 def test_decode_ill_formed_bytes():
     import sentencepiece
 
