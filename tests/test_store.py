@@ -355,3 +355,20 @@ def test_registry_formats(spark, tmp_path):
     (tmp_path / ".registry.json.crc").unlink()
     path.write_text(json.dumps({"format": 3}))
     assert code(lambda: r.datasets()) == "INVALID_DATA"
+
+
+def test_scalars_of_events_may_repeat_times(spark, store):
+    """A series that is registered for it keeps all values of one time, in order, through appends and indexes; others refuse them."""
+    k = store.register_scalar(keys.Key("BTC", "feature", "1m@@x"), M, equal_ts=True)
+    assert store.register_scalar(k, M, equal_ts=True) == k and code(lambda: store.register_scalar(k, M)) == "INVALID_INPUT"
+    rows = [(T + i // 3 * M, 900 - i) for i in range(900)]
+    for batch in (rows[:600], rows[600:]):
+        store.append(k, scalars(spark, batch))
+    assert [tuple(r) for r in store.between(k, T, MARCH).collect()] == rows and [tuple(r) for r in store.latest(k, 4).collect()] == rows[-4:]
+    z = [(r.start_row, r.end_row, r.min_value, r.max_value) for r in store.zones(k).orderBy("start_row").collect()]
+    assert z == [(a, b, 900 - b, 900 - a) for a, b in ((0, 255), (256, 511), (512, 767), (768, 899))]
+    assert sorted(tuple(r) for r in store.values(k).select("ts", "value").collect()) == sorted(rows)
+    assert code(lambda: store.append(k, scalars(spark, [rows[-1]]))) == "INVALID_DATA"
+    assert admin.clean(admin.validate(store, deep=True)) and not any(admin.scrub(store).values())
+    other = store.register_scalar(keys.Key("BTC", "feature", "1m@@y"), M)
+    assert code(lambda: store.put(other, scalars(spark, rows))) == "INVALID_DATA"
