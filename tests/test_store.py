@@ -372,3 +372,12 @@ def test_scalars_of_events_may_repeat_times(spark, store):
     assert admin.clean(admin.validate(store, deep=True)) and not any(admin.scrub(store).values())
     other = store.register_scalar(keys.Key("BTC", "feature", "1m@@y"), M)
     assert code(lambda: store.put(other, scalars(spark, rows))) == "INVALID_DATA"
+
+
+def test_quotes_of_events_may_repeat_times(spark, store):
+    b = store.register_ticks("bbo", "BTC", "spot", equal_ts=True)
+    rows = [(T + i // 3 * M, T, 1, 1, 1, 1, 900 - i, i) for i in range(90)]
+    cols = [*store.family(b).columns, "ordinal"]
+    store.put(b, spark.createDataFrame(rows, cols))
+    assert [r.sequence for r in store.replay(b, T).collect()] == [900 - i for i in range(90)]
+    assert code(lambda: store.put(b, spark.createDataFrame([(T + 99 * M + k * M, T, 1, 1, 1, 1, 1, 9 - k) for k in range(2)], cols))) == "INVALID_DATA"
