@@ -42,6 +42,7 @@ def check(spark, d, name):
 NAMES = [
     "m03_scrub",
     "a01_store_series",
+    "a02_store_stats",
 ]
 
 
