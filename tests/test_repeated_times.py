@@ -43,6 +43,7 @@ NAMES = [
     "m03_scrub",
     "a01_store_series",
     "a02_store_stats",
+    "a03_store_parts",
 ]
 
 
