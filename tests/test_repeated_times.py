@@ -44,6 +44,7 @@ NAMES = [
     "a01_store_series",
     "a02_store_stats",
     "a03_store_parts",
+    "a04_store_chunks",
 ]
 
 
