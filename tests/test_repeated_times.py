@@ -45,6 +45,7 @@ NAMES = [
     "a02_store_stats",
     "a03_store_parts",
     "a04_store_chunks",
+    "a05_store_coverage",
 ]
 
 
