@@ -46,6 +46,7 @@ NAMES = [
     "a03_store_parts",
     "a04_store_chunks",
     "a05_store_coverage",
+    "a07_store_indicators",
 ]
 
 
