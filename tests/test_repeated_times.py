@@ -47,6 +47,7 @@ NAMES = [
     "a04_store_chunks",
     "a05_store_coverage",
     "a07_store_indicators",
+    "a06_json_inventory",
 ]
 
 
