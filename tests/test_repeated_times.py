@@ -48,6 +48,7 @@ NAMES = [
     "a05_store_coverage",
     "a07_store_indicators",
     "a06_json_inventory",
+    "c05_backtest_view",
 ]
 
 
