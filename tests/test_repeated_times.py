@@ -49,6 +49,7 @@ NAMES = [
     "a07_store_indicators",
     "a06_json_inventory",
     "c05_backtest_view",
+    "i03_stored_index",
 ]
 
 
