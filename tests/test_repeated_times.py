@@ -50,6 +50,7 @@ NAMES = [
     "a06_json_inventory",
     "c05_backtest_view",
     "i03_stored_index",
+    "c01_session",
 ]
 
 
