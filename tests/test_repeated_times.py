@@ -51,6 +51,7 @@ NAMES = [
     "c05_backtest_view",
     "i03_stored_index",
     "c01_session",
+    "i06_p06_eq_counters",
 ]
 
 
