@@ -52,6 +52,7 @@ NAMES = [
     "i03_stored_index",
     "c01_session",
     "i06_p06_eq_counters",
+    "a08_health",
 ]
 
 
