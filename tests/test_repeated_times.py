@@ -53,6 +53,7 @@ NAMES = [
     "c01_session",
     "i06_p06_eq_counters",
     "a08_health",
+    "i06_p07_ne_counters",
 ]
 
 
