@@ -54,6 +54,7 @@ NAMES = [
     "i06_p06_eq_counters",
     "a08_health",
     "i06_p07_ne_counters",
+    "i06_p10_between_counters",
 ]
 
 
