@@ -55,6 +55,7 @@ NAMES = [
     "a08_health",
     "i06_p07_ne_counters",
     "i06_p10_between_counters",
+    "i06_p11_in_counters",
 ]
 
 
