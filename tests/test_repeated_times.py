@@ -57,6 +57,7 @@ NAMES = [
     "i06_p10_between_counters",
     "i06_p11_in_counters",
     "m01_validate",
+    "i08_capabilities",
 ]
 
 
