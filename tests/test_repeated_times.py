@@ -58,6 +58,7 @@ NAMES = [
     "i06_p11_in_counters",
     "m01_validate",
     "i08_capabilities",
+    "p02_store_activity",
 ]
 
 
