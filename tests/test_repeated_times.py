@@ -59,6 +59,7 @@ NAMES = [
     "m01_validate",
     "i08_capabilities",
     "p02_store_activity",
+    "p01_store_prices",
 ]
 
 
