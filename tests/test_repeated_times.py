@@ -60,6 +60,7 @@ NAMES = [
     "i08_capabilities",
     "p02_store_activity",
     "p01_store_prices",
+    "p06_eq_store",
 ]
 
 
