@@ -61,6 +61,7 @@ NAMES = [
     "p02_store_activity",
     "p01_store_prices",
     "p06_eq_store",
+    "p10_between_store",
 ]
 
 
