@@ -62,6 +62,7 @@ NAMES = [
     "p01_store_prices",
     "p06_eq_store",
     "p10_between_store",
+    "p07_ne_store",
 ]
 
 
