@@ -63,6 +63,7 @@ NAMES = [
     "p06_eq_store",
     "p10_between_store",
     "p07_ne_store",
+    "p11_in_store",
 ]
 
 
