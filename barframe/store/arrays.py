@@ -85,8 +85,9 @@ class Writer:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
 
-    def _frame(self, rows: np.ndarray, family: Family) -> DataFrame:
-        if (np.diff(rows["ts"]) <= 0).any():
+    def _frame(self, rows: np.ndarray, family: Family, equal_ts: bool = False) -> DataFrame:
+        step = np.diff(rows["ts"])
+        if (step < 0).any() or not equal_ts and (step == 0).any():
             raise invalid_data("rows must be sorted by ts")
         cols = [pa.array(np.ascontiguousarray(rows[f.name]), mask=rows[f.name] == MISSING if f.nullable else None) for f in family.schema]
         return self.spark.createDataFrame(pa.Table.from_arrays(cols, family.columns))
@@ -97,5 +98,5 @@ class Writer:
     def write_kline_flow_range(self, symbol, timeframe, rows, *, timeframe_ms, price_scale, volume_scale, quote_scale) -> dict[str, Any]:
         return self.store.append(self.store.register_kline(symbol, timeframe, timeframe_ms, price_scale, volume_scale, quote_scale), self._frame(rows, KLINE_FLOW))
 
-    def write_scalar_range(self, symbol, timeframe, category, name, rows, *, timeframe_ms) -> dict[str, Any]:
-        return self.store.append(self.store.register_scalar(Key(symbol, category, f"{timeframe}@@{name}"), timeframe_ms), self._frame(rows, SCALAR))
+    def write_scalar_range(self, symbol, timeframe, category, name, rows, *, timeframe_ms, equal_ts=False) -> dict[str, Any]:
+        return self.store.append(self.store.register_scalar(Key(symbol, category, f"{timeframe}@@{name}"), timeframe_ms, equal_ts), self._frame(rows, SCALAR, equal_ts))

@@ -3,10 +3,14 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from barframe.errors import BarframeError
+from barframe.store.arrays import Writer
+from barframe.store.bridge import call
 
 COPIES = 3
 
@@ -42,6 +46,8 @@ def check(spark, d, name):
 NAMES = [
     "m03_scrub",
     "a01_store_series",
+    "w10_append_scalars",
+    "w13_array_writes",
     "a02_store_stats",
     "a03_store_parts",
     "a04_store_chunks",
@@ -70,3 +76,22 @@ NAMES = [
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, repeated, name):
     check(spark, repeated, name)
+
+
+def test_rows_of_one_time_by_json_and_arrays(spark, tmp_path):
+    """What such a series holds comes back whole and in order, by the JSON verbs and by arrays; others refuse it."""
+    root, b = str(tmp_path / "st"), {"symbol": "BTC", "timeframe": "1m", "category": "feature", "name": "x"}
+    rows = [{"ts": 60_000 * (i // 2), "value": 9 - i} for i in range(6)]
+    with pytest.raises(BarframeError):
+        call(spark, root, "write-scalar-range", b | {"timeframe_ms": 60_000, "records": rows})
+    for part in (rows[:4], rows[4:]):
+        call(spark, root, "write-scalar-range", b | {"name": "y", "timeframe_ms": 60_000, "equal_ts": True, "records": part})
+    found = call(spark, root, "read-scalar-range", b | {"name": "y", "start_ts": 0, "end_ts": 1 << 60})["records"]
+    assert found == rows
+    array = np.array([(r["ts"], r["value"]) for r in rows], [("ts", np.int64), ("value", np.int64)])
+    with pytest.raises(BarframeError):
+        Writer(spark, root).write_scalar_range("BTC", "1m", "feature", "z", array, timeframe_ms=60_000)
+    with pytest.raises(BarframeError):
+        Writer(spark, root).write_scalar_range("BTC", "1m", "feature", "u", array[::-1], timeframe_ms=60_000, equal_ts=True)
+    Writer(spark, root).write_scalar_range("BTC", "1m", "feature", "v", array, timeframe_ms=60_000, equal_ts=True)
+    assert call(spark, root, "read-scalar-range", b | {"name": "v", "start_ts": 0, "end_ts": 1 << 60})["records"] == rows
